@@ -53,11 +53,9 @@ class WordIds:
         if len(self.known) > self.max_words:
             self.known, self.older = {}, self.known
         known, older = self.known, self.older
-        new = words.difference(known)
-        if older:
-            known.update((w, older[w]) for w in new.intersection(older))
-            new.difference_update(older)
-        new = list(new)
+        new = {w for w in words if w not in known}
+        known.update((w, older[w]) for w in new if w in older)
+        new = [w for w in new if w not in older]
         for w, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
             known[w] = array("I", e.ids).tobytes()
 
