@@ -19,6 +19,29 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from tessera.llm import toxicity
+
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, _table(spark, sf_dir, "labels"))
+    return toxicity.score_documents(docs, model, threshold=0.3).select("doc_id", F.coalesce(toxicity.held_out(), F.lit(False)).alias("held_out"), "score", "predicted", "n_hits", "n_quoted", "n_edited", "terms")
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm import quality
+
+    docs = _table(spark, sf_dir, "documents")
+    return quality.judge(docs, quality.train(docs, _table(spark, sf_dir, "labels")))
+
+
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.html_extract import extract_pages
+
+    return extract_pages(_table(spark, sf_dir, "pages"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.simhash import near_duplicates
 
@@ -51,6 +74,9 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_toxicity": op1_toxicity,
+        "op3_quality": op3_quality,
+        "op4_html": op4_html,
         "op5_simhash": op5_simhash,
         "op6_token_counts": op6_token_counts,
         "op7_media": op7_media,
