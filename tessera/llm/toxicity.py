@@ -71,7 +71,7 @@ def quotation_score(text: str, at: int, size: int, window: int = 60) -> float:
     return score
 
 
-def learn_terms(toxic: list[str], clean: list[str], ratio: float = 100.0, surprise: float = 18.0, share: float = 0.01) -> list[tuple[str, bool]]:
+def learn_terms(toxic: list[str], clean: list[str], ratio: float = 100.0, surprise: float = 25.0, share: float = 0.01) -> list[tuple[str, bool]]:
     """Words, and stems (beginnings of 4 to 10 characters), that mark toxic texts: (term, whether it is a stem).
 
     A form qualifies if toxic documents have it ``ratio`` times as often as clean ones, and so often that chance,
