@@ -72,6 +72,13 @@ def op8_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(_table(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"))
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm import secret_scan
+
+    found = secret_scan.scan(_table(spark, sf_dir, "documents"), secret_scan.train(spark))
+    return found.select("doc_id", "start", "length", "kind", "score", "is_secret", "token_sha256")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.packing import pack_documents
 
@@ -88,6 +95,7 @@ def queries() -> dict[str, Query]:
         "op6_token_counts": op6_token_counts,
         "op7_media": op7_media,
         "op8_sentence_pieces": op8_sentence_pieces,
+        "op9_secrets": op9_secrets,
         "op10_packing": op10_packing,
     }
 

@@ -19,6 +19,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -188,3 +189,13 @@ def score_documents(docs: DataFrame, model: ToxicModel, threshold: float = 0.3,
             )
 
     return map_documents(docs, run, "doc_id long, score double, predicted int, n_hits long, n_quoted long, n_edited long, terms array<string>")
+
+
+def without_toxic(docs: DataFrame, model: ToxicModel, threshold: float = 0.3) -> DataFrame:
+    """The documents that score below ``threshold``, rows and columns unchanged; no shuffle."""
+
+    @F.pandas_udf("double")
+    def score(texts: pd.Series) -> pd.Series:
+        return pd.Series([model.score(model.hits(t or "")) for t in texts], dtype="float64")
+
+    return docs.where(score(F.coalesce("text", F.lit(""))) < threshold)
