@@ -4,17 +4,18 @@ DataFrame functions only.
 
 1. Lines are trimmed and lower-cased and equal ones are counted together (partial aggregates, so a line that a third
    of all documents share is one row per task before the shuffle).
-2. Each distinct line's signature is made of the character shingles that start words (more exactly: that follow
-   anything but a letter), which are chosen by content and so estimate the similarity of all shingles.  Of the
-   shingles' hashes the signature has, for each of ``bands * rows`` constants, the least hash XOR constant.
-3. Lines that agree in all rows of a band are candidates.  Bands of up to four lines give all their pairs; in larger
+2. A line's shingles are the windows of ``window`` characters that start words (more exactly: that follow anything but
+   a Latin letter, so scripts without spaces have one at every character).  Of their hashes the signature has, for each
+   of ``hashes`` constants, the least hash XOR constant.
+3. A band is ``rows`` of the signature's numbers; each number is in about as many bands.  Lines that agree in all rows
+   of a band are candidates: 0.99 of pairs with similarity 0.8, nearly all from 0.85 on.  Bands of up to four lines give all their pairs; in larger
    ones each line meets its three neighbours in order and the first, and after the first union-find, all pairs of
    lines from different components, so that no pair of the band that could still join components is left out.
-4. Candidates are verified by the exact Jaccard similarity of all their 5-character shingles.
+4. Candidates are verified by the exact Jaccard similarity of their sets of shingles.
 5. Of each component the line that comes first, by doc_id and line number, is kept.
 
-Null and empty texts have no lines to remove; blank lines are never removed and have no class.  A line shorter than
-a shingle is one shingle.  Lines of rows that share a doc_id are told apart by ``line_no`` only where the rows differ
+Null and empty texts have no lines to remove; blank lines are never removed and have no class.  A window at a
+line's end is shorter.  Lines of rows that share a doc_id are told apart by ``line_no`` only where the rows differ
 in length; equal rows keep the same lines.  A null doc_id comes before all others.  Keys of lines are 64-bit hashes.
 """
 
@@ -27,8 +28,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tessera.llm.shared import components, drop_shared, shared_folder, shared_table
 
-#: Positions that follow no letter (of the Latin script, lower case); what starts there is taken as a shingle.
-_ANCHORS = r"(?<![a-z\x{df}-\x{24f}])(?=(\S.{0,%d}))"
+#: The line's start and each character but a letter (of the Latin script, lower case), and the window that follows.
+_WINDOWS = r"(?:^|[^a-z\x{df}-\x{24f}])(?=([^ ].{0,%d}))"
 
 
 def split_lines(docs: DataFrame) -> DataFrame:
@@ -38,8 +39,19 @@ def split_lines(docs: DataFrame) -> DataFrame:
     return lines.withColumn("norm", norm).withColumn("key", F.when(F.col("norm") != "", F.xxhash64("norm")))
 
 
-def shingles(text: Column, width: int) -> Column:
-    return F.when(F.length(text) <= width, F.array(text)).otherwise(F.regexp_extract_all(text, F.lit(r"(?s)(?=(.{%d}))" % width), F.lit(1)))
+def shingles(norm: Column, window: int) -> Column:
+    return F.regexp_extract_all(norm, F.lit(_WINDOWS % (window - 1)), F.lit(1))
+
+
+def band_rows(hashes: int, bands: int, rows: int, seed: int) -> list[list[int]]:
+    """Which of the signature's numbers each band has; all are used about equally often."""
+    draw, used, out = random.Random(seed), [0] * hashes, []
+    for _ in range(bands):
+        chosen = sorted(range(hashes), key=lambda i: (used[i], draw.random()))[:rows]
+        for i in chosen:
+            used[i] += 1
+        out.append(sorted(chosen))
+    return out
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -60,25 +72,25 @@ def _table(df: DataFrame, name: str, key: str) -> tuple[DataFrame, str, str]:
     return spark.table(name), name, path
 
 
-def _verified(pairs: DataFrame, lines: DataFrame, width: int, threshold: float) -> DataFrame:
+def _verified(pairs: DataFrame, lines: DataFrame, window: int, threshold: float) -> DataFrame:
     text = lines.select("key", "norm")
     a, b = text.toDF("a", "text_a"), text.toDF("b", "text_b")
     both = pairs.join(a, "a").join(b, "b")
-    # Sizes that differ too much can't reach the threshold; lengths bound the sizes only without repeats, so sets are compared.
-    return both.where(jaccard(shingles(F.col("text_a"), width), shingles(F.col("text_b"), width)) >= threshold).select("a", "b")
+    return both.where(jaccard(shingles(F.col("text_a"), window), shingles(F.col("text_b"), window)) >= threshold).select("a", "b")
 
 
-def line_classes(docs: DataFrame, threshold: float = 0.8, width: int = 5, bands: int = 8, rows: int = 4, window: int = 8, seed: int = 7) -> DataFrame:
+def line_classes(docs: DataFrame, threshold: float = 0.8, window: int = 8, hashes: int = 24, bands: int = 14, rows: int = 5, seed: int = 7) -> DataFrame:
     """doc_id, line_no, class_doc, class_line (the line that is kept for it), kept: one row per line."""
     spark = docs.sparkSession
     first = F.min(F.struct("doc_id", "line_no"))
     distinct = split_lines(docs).where(F.col("key").isNotNull()).groupBy("key").agg(F.min("norm").alias("norm"), first.alias("first"), F.count(F.lit(1)).alias("n"))
     draw = random.Random(seed)
-    least = [F.min(F.col("h").bitwiseXOR(F.lit(_signed(draw.getrandbits(64))))).alias(f"m{k}") for k in range(bands * rows)]
-    starts = distinct.select("key", "norm", F.col("first.doc_id").alias("doc_id"), F.col("first.line_no").alias("line_no"), "n", F.explode(F.regexp_extract_all("norm", F.lit(_ANCHORS % (window - 1)), F.lit(1))).alias("s"))
-    signed = starts.select("key", "norm", "doc_id", "line_no", "n", F.xxhash64("s").alias("h")).groupBy("key", "norm", "doc_id", "line_no", "n").agg(*least)
-    band = F.array(*[F.xxhash64(F.lit(b), *[f"m{b * rows + r}" for r in range(rows)]) for b in range(bands)])
-    lines, lines_name, lines_path = _table(signed.select("key", "norm", F.struct("doc_id", "line_no").alias("first"), "n", band.alias("bands")), "lines", "key")
+    least = [F.min(F.col("h").bitwiseXOR(F.lit(_signed(draw.getrandbits(64))))).alias(f"m{k}") for k in range(hashes)]
+    hashed = distinct.select("key", F.explode(shingles(F.col("norm"), window)).alias("s")).select("key", F.xxhash64("s").alias("h"))
+    band = F.array(*[F.xxhash64(F.lit(b), *[f"m{k}" for k in chosen]) for b, chosen in enumerate(band_rows(hashes, bands, rows, seed))])
+    # Both sides are partitioned by key already, by the same exchange.
+    signed = distinct.join(hashed.groupBy("key").agg(*least), "key", "left")
+    lines, lines_name, lines_path = _table(signed.select("key", "norm", "first", "n", F.when(F.col("m0").isNotNull(), band).alias("bands")), "lines", "key")
 
     member = lines.select("key", F.explode("bands").alias("band"))
     in_band = Window.partitionBy("band")
@@ -86,7 +98,7 @@ def line_classes(docs: DataFrame, threshold: float = 0.8, width: int = 5, bands:
     ordered = in_band.orderBy("key")
     partners = F.array(F.lag("key", 1).over(ordered), F.lag("key", 2).over(ordered), F.lag("key", 3).over(ordered), F.first("key").over(ordered))
     pairs = met.select("key", partners.alias("p")).select(F.col("key").alias("b"), F.explode("p").alias("a")).where("a < b").distinct()
-    links, links_path = shared_table(_verified(pairs, lines, width, threshold), "pairs")
+    links, links_path = shared_table(_verified(pairs, lines, window, threshold), "pairs")
     roots, _ = shared_table(components(links), "roots")
 
     # What larger bands still leave open: pairs of different components.
@@ -95,7 +107,7 @@ def line_classes(docs: DataFrame, threshold: float = 0.8, width: int = 5, bands:
     open_ = large.join(mixed, "band")
     other = open_.select("band", F.col("key").alias("b"), F.col("root").alias("root_b"))
     across = open_.join(other, "band").where("root < root_b").select(F.least("key", "b").alias("a"), F.greatest("key", "b").alias("b")).distinct()
-    more, more_path = shared_table(_verified(across.join(pairs, ["a", "b"], "left_anti"), lines, width, threshold), "pairs")
+    more, more_path = shared_table(_verified(across.join(pairs, ["a", "b"], "left_anti"), lines, window, threshold), "pairs")
     if not more.isEmpty():
         roots, _ = shared_table(components(links.union(more)), "roots")
 
