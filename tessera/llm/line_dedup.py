@@ -22,11 +22,10 @@ in length; equal rows keep the same lines.  A null doc_id comes before all other
 from __future__ import annotations
 
 import random
-import uuid
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tessera.llm.shared import components, drop_shared, shared_folder, shared_table
+from tessera.llm.shared import bucketed_table, components, drop_shared, shared_table
 
 #: The line's start and each character but a letter (of the Latin script, lower case), and the window that follows.
 _WINDOWS = r"(?:^|[^a-z\x{df}-\x{24f}])(?=([^ ].{0,%d}))"
@@ -63,15 +62,6 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _table(df: DataFrame, name: str, key: str) -> tuple[DataFrame, str, str]:
-    """A table in the shared folder, bucketed by ``key`` so that joins on it don't move it."""
-    spark = df.sparkSession
-    name = f"tessera_{name}_{uuid.uuid4().hex}"
-    path = f"{shared_folder(spark)}/tables/{name}"
-    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).option("path", path).saveAsTable(name)
-    return spark.table(name), name, path
-
-
 def _verified(pairs: DataFrame, lines: DataFrame, window: int, threshold: float) -> DataFrame:
     text = lines.select("key", "norm")
     a, b = text.toDF("a", "text_a"), text.toDF("b", "text_b")
@@ -86,13 +76,11 @@ def line_classes(docs: DataFrame, threshold: float = 0.8, window: int = 8, hashe
     distinct = split_lines(docs).where(F.col("key").isNotNull()).groupBy("key").agg(F.min("norm").alias("norm"), first.alias("first"), F.count(F.lit(1)).alias("n"))
     draw = random.Random(seed)
     least = [F.min(F.col("h").bitwiseXOR(F.lit(_signed(draw.getrandbits(64))))).alias(f"m{k}") for k in range(hashes)]
-    hashed = distinct.select("key", F.explode(shingles(F.col("norm"), window)).alias("s")).select("key", F.xxhash64("s").alias("h"))
+    lines, lines_name, lines_path = bucketed_table(distinct, "lines", "key")
+    # Lines lie in buckets of their keys, so their signatures are made without a shuffle.
+    hashed = lines.select("key", F.explode(shingles(F.col("norm"), window)).alias("s")).select("key", F.xxhash64("s").alias("h"))
     band = F.array(*[F.xxhash64(F.lit(b), *[f"m{k}" for k in chosen]) for b, chosen in enumerate(band_rows(hashes, bands, rows, seed))])
-    # Both sides are partitioned by key already, by the same exchange.
-    signed = distinct.join(hashed.groupBy("key").agg(*least), "key", "left")
-    lines, lines_name, lines_path = _table(signed.select("key", "norm", "first", "n", F.when(F.col("m0").isNotNull(), band).alias("bands")), "lines", "key")
-
-    member = lines.select("key", F.explode("bands").alias("band"))
+    member = hashed.groupBy("key").agg(*least).select("key", F.explode(band).alias("band"))
     in_band = Window.partitionBy("band")
     met, met_path = shared_table(member.withColumn("size", F.count(F.lit(1)).over(in_band)).where("size > 1"), "bands")
     ordered = in_band.orderBy("key")

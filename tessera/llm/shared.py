@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -17,14 +19,42 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Makes Spark delete a query's shuffle files when the query ends, not when the driver happens to collect its garbage.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _tidy(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEAN)
+        else:
+            spark.conf.set(_CLEAN, before)
+
+
 def shared_table(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Write ``df`` to the shared folder and read it again: its lineage ends, and lost executors lose nothing."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with _tidy(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def bucketed_table(df: DataFrame, name: str, key: str) -> tuple[DataFrame, str, str]:
+    """(table, its name, its path): in the shared folder, in buckets of ``key``, so joins and groups on it don't move it."""
+    spark = df.sparkSession
+    name = f"tessera_{name}_{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/tables/{name}"
+    with _tidy(spark):
+        df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).option("path", path).saveAsTable(name)
+    return spark.table(name), name, path
+
+
 def drop_shared(spark: SparkSession, path: str) -> None:
     """Delete a table that ``shared_table`` wrote and nothing reads any more."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
