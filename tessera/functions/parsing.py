@@ -7,9 +7,10 @@ import io
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import types as T
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _csv_with_escapes(lines: pd.Series) -> pd.Series:
     """RFC 4180 quoting together with backslash escapes, which no built-in reader has."""
     return pd.Series([next(csv.reader([x], doublequote=True, escapechar="\\"), [""]) if x else [""] for x in lines])
@@ -48,7 +49,7 @@ def split_pmml(line: Column) -> Column:
 
 def join_delimited(values: Column) -> Column:
     """Comma-joined values; those with commas, quotes, backslashes or line ends are quoted."""
-    escape = lambda v: F.when(v.rlike(r'[",\\\r\n]'), F.concat(F.lit('"'), F.regexp_replace(F.regexp_replace(v, r"\\", r"\\\\\\\\"), '"', '""'), F.lit('"'))).otherwise(v)
+    escape = lambda v: F.when(v.rlike(r'[",\\\r\n]'), F.concat(F.lit('"'), F.regexp_replace(F.regexp_replace(v, r"\\", r"\\\\"), '"', '""'), F.lit('"'))).otherwise(v)
     return F.array_join(F.transform(values, escape), ",")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tessera.functions.vectors import euclidean, mean_vector, scale
@@ -35,9 +37,6 @@ def assign(points: DataFrame, clusters: DataFrame, vector: str = "features") ->
 
 
 def _nearest_udf(centers: list[tuple[int, list[float]]]):
-    import numpy as np
-    import pandas as pd
-
     ids, table = np.array([i for i, _ in centers], np.int32), np.array([c for _, c in centers], np.float64)
 
     @F.pandas_udf("id int, distance double")
@@ -97,9 +96,6 @@ def silhouette(assigned: DataFrame, vector: str = "features", seed: int = 1) ->
 
     Points are cut into blocks; each pair of blocks is one row, whose distances numpy sums by cluster.
     """
-    import numpy as np
-    import pandas as pd
-
     n = assigned.count()
     if n > SILHOUETTE_POINTS:
         assigned = assigned.sample(False, SILHOUETTE_POINTS / n, seed)

@@ -76,7 +76,7 @@ def top_candidates(users: DataFrame, items: DataFrame, extra: DataFrame | None,
         wanted = wanted.join(extra.select("user", F.col("n").alias("extra")), "user", "left")
     else:
         wanted = wanted.withColumn("extra", F.lit(0))
-    wanted = wanted.select("user", F.col("features").cast("array<float>").alias("features"), (F.coalesce("extra", F.lit(0)) + top).cast("long").alias("most"))
+    wanted = wanted.select("user", "features", (F.coalesce("extra", F.lit(0)) + top).cast("long").alias("most"))
     kinds = dict(items.dtypes)
     schema = f"user {dict(wanted.dtypes)['user']}, item {kinds['id']}, value double"
     sized = items.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("features")).alias("rank")).first()
@@ -95,7 +95,7 @@ def top_candidates(users: DataFrame, items: DataFrame, extra: DataFrame | None,
         return wanted.mapInPandas(score, schema)
 
     n_blocks = -(-sized.n // block)
-    item_blocks = items.select("id", F.col("features").cast("array<float>").alias("features"), F.pmod(F.xxhash64("id"), F.lit(n_blocks)).alias("block")).groupBy("block").agg(F.array_sort(F.collect_list(F.struct("id", "features"))).alias("rows"))
+    item_blocks = items.select("id", "features", F.pmod(F.xxhash64("id"), F.lit(n_blocks)).alias("block")).groupBy("block").agg(F.array_sort(F.collect_list(F.struct("id", "features"))).alias("rows"))
     n_users = max(1, -(-wanted.count() // 4096))
     user_blocks = wanted.withColumn("ub", F.pmod(F.xxhash64("user"), F.lit(n_users))).groupBy("ub").agg(F.collect_list(F.struct("user", "features", "most")).alias("users")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))))
 

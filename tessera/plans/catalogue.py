@@ -249,13 +249,13 @@ def recommend_rescored(spark, sf_dir):
     m AS (SELECT g, list(v ORDER BY d) AS f FROM (SELECT g, d, avg(v) AS v FROM (SELECT g, unnest(f) AS v, generate_subscripts(f, 1) AS d FROM g JOIN x USING (id)) GROUP BY g, d) GROUP BY g),
     kn AS (SELECT DISTINCT g, i FROM g JOIN known ON u = id),
     s AS (SELECT m.g AS user_id, y.id AS item_id, list_dot_product(m.f, y.f) AS v FROM m, y WHERE NOT EXISTS (SELECT 1 FROM kn WHERE kn.g = m.g AND kn.i = y.id))
-    SELECT user_id AS group_id, item_id, round(v, 7) AS value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY v DESC, item_id) AS rn FROM s) WHERE rn <= 10""",
+    SELECT user_id AS group_id, item_id, round(v, 6) AS value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY v DESC, item_id) AS rn FROM s) WHERE rn <= 10""",
 )
 def recommend_to_many(spark, sf_dir):
     users = user_factors(spark, sf_dir)
     groups = users.select(F.floor(F.col("id") / 2).alias("group"), F.col("id").alias("user"))
     rows = serving.recommend_to_group(groups, users, item_factors(spark, sf_dir), known(spark, sf_dir))
-    return rows.select(F.col("group").alias("group_id"), F.col("item").alias("item_id"), F.round("value", 7).alias("value"))
+    return rows.select(F.col("group").alias("group_id"), F.col("item").alias("item_id"), _r("value"))
 
 
 # Rank 2, where the inverse has a closed form.
