@@ -13,6 +13,7 @@ rows do; null and empty texts are one piece, the closing id.  Results are the sa
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -25,6 +26,7 @@ import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from tessera.llm.byte_pairs import byte_alphabet
 from tessera.llm.docmap import map_documents
 
 #: Letters, digits and white space on which re and regex agree.
@@ -32,49 +34,57 @@ _PLAIN = re.compile("[^\x00-\x1b\x20-\x7eÀ-ÖØ-öø-ɏ]")
 _FAST = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[A-Za-zÀ-ÖØ-öø-ɏ]+| ?[0-9]+| ?[^\sA-Za-z0-9À-ÖØ-öø-ɏ]+|\s+(?!\S)|\s+")
 
 
+class Words(dict):
+    """Ids of pre-tokens; two generations of at most ``most`` each, of which the older one is given up in the end."""
+
+    def __init__(self, encode: Callable[[bytes], list[int]], most: int):
+        super().__init__()
+        self.encode, self.most, self.older = encode, most, {}
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            ids = array("I", self.encode(word.encode())).tobytes()
+        if len(self) >= self.most:
+            self.older = dict(self)
+            self.clear()
+        self[word] = ids
+        return ids
+
+
 class WordIds:
-    """Ids of whole texts from a cache of pre-tokens; words not seen yet go to the library, in one batch per text.
+    """Ids of whole texts, as the tokenizers library gives them for a byte-level BPE file without normalization.
 
-    The cache has two generations of at most ``max_words`` each: what the younger lacks moves over from the older.
+    Pre-tokens are looked up in a bounded cache; the file's vocabulary, whose ids are the ranks of its merges, encodes
+    those that are not there.  Texts that may hold special strings go to the library itself.
     """
 
-    def __init__(self, path: str, max_words: int = 400_000):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    def __init__(self, path: str, most_words: int = 120_000):
         import public_tokenizers
+        import tiktoken
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.library = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        stand_in, special = byte_alphabet(), {t["id"] for t in spec["added_tokens"]}
+        ranks = {bytes(stand_in[c] for c in s): i for s, i in spec["model"]["vocab"].items() if i not in special}
+        pieces = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.exact = regex.compile(public_tokenizers.PATTERN)
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.max_words = max_words
-
-    def _learn(self, words: set[str]) -> None:
-        if len(self.known) > self.max_words:
-            self.known, self.older = {}, self.known
-        known, older = self.known, self.older
-        new = {w for w in words if w not in known}
-        known.update((w, older[w]) for w in new if w in older)
-        new = [w for w in new if w not in older]
-        for w, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            known[w] = array("I", e.ids).tobytes()
+        self.of = Words(pieces._core_bpe.encode_single_piece, most_words).__getitem__
 
     def encode(self, text: str) -> bytes:
         """Little-endian 32-bit ids; special strings as the library handles them."""
         if "<|" in text:
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        words = self.exact.findall(text) if _PLAIN.search(text) else _FAST.findall(text)
-        try:
-            return b"".join(map(self.known.__getitem__, words))
-        except KeyError:
-            self._learn(set(words))
-            return b"".join(map(self.known.__getitem__, words))
+            return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+        return b"".join(map(self.of, self.exact.findall(text) if _PLAIN.search(text) else _FAST.findall(text)))
 
 
 class Packer:
     """Places pieces (key, start, tokens, loss tokens) and yields closed sequences as lists of pieces."""
 
-    def __init__(self, max_tokens: int, max_segments: int, max_loss: int, window: int = 256):
+    def __init__(self, max_tokens: int, max_segments: int, max_loss: int, window: int = 128):
         self.limits = np.array([max_tokens, max_segments, max_loss], np.float64)
         self.window = window
         self.waiting: list[tuple] = []  # (key, start, tokens, loss share)
@@ -132,7 +142,7 @@ def pack_documents(
     max_loss: int | None = None,
     end_id: int = 0,
     bears_loss: Callable[[int], bool] | None = None,
-    window: int = 256,
+    window: int = 128,
 ) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset: one row per piece.
 
@@ -164,7 +174,7 @@ def pack_documents(
 
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
         batch_of = lambda out: pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)] if out else [pa.array([], pa.int64())] * 7, names=names)
-        for batch in batches:
+        for batch in (b.slice(k, 512) for b in batches for k in range(0, b.num_rows, 512)):
             out: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = words.encode(text or "") + end
