@@ -8,9 +8,13 @@ DataFrame functions only.
    a Latin letter, so scripts without spaces have one at every character).  Of their hashes the signature has, for each
    of ``hashes`` constants, the least hash XOR constant.
 3. A band is ``rows`` of the signature's numbers; each number is in about as many bands.  Lines that agree in all rows
-   of a band are candidates: 0.99 of pairs with similarity 0.8, nearly all from 0.85 on.  Bands of up to four lines give all their pairs; in larger
-   ones each line meets its three neighbours in order and the first, and after the first union-find, all pairs of
-   lines from different components, so that no pair of the band that could still join components is left out.
+   of a band are candidates: 0.96 of the pairs with similarity 0.8, 0.98 from 0.85 and all but a few from 0.9 on.
+   Sets of up to three shingles are similar to nothing but equal sets, so those have one band, the whole set.
+   Bands of up to four lines give all their pairs; in larger ones each line meets its three neighbours in order and
+   the first.  After a first union-find, lines of different components that still share a band meet by prefix
+   filtering, which is exact: in order of rarity, sets with a Jaccard similarity of 0.8 share one of their first
+   0.2 n + 1 shingles.  So no pair of a band that could still join components is left out, and no group of similar
+   lines is expanded into all its pairs.
 4. Candidates are verified by the exact Jaccard similarity of their sets of shingles.
 5. Of each component the line that comes first, by doc_id and line number, is kept.
 
@@ -69,6 +73,28 @@ def _verified(pairs: DataFrame, lines: DataFrame, window: int, threshold: float)
     return both.where(jaccard(shingles(F.col("text_a"), window), shingles(F.col("text_b"), window)) >= threshold).select("a", "b")
 
 
+def _hashes(lines: DataFrame, window: int) -> DataFrame:
+    """key, h: the hashes of each line's set of shingles."""
+    return lines.select("key", F.explode(F.array_distinct(shingles(F.col("norm"), window))).alias("s")).select("key", F.xxhash64("s").alias("h"))
+
+
+def _by_prefix(open_: DataFrame, lines: DataFrame, window: int, threshold: float) -> DataFrame:
+    """Pairs (a, b) of different components in one band that share a shingle of their prefixes.
+
+    ``open_``: (band, key, root).  Rarity is counted among the lines in question.
+    """
+    keys = open_.select("key").distinct()
+    sets = _hashes(lines.join(keys, "key", "left_semi"), window)
+    counted = sets.join(sets.groupBy("h").agg(F.count(F.lit(1)).alias("n")), "h")
+    ordered = counted.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("n", "h"))).alias("all"))
+    length = (F.size("all") - F.ceil(F.size("all") * threshold - 1e-9) + 1).cast("int")
+    first = ordered.select("key", F.size("all").alias("size"), F.explode(F.slice("all", F.lit(1), length)).alias("x")).select("key", "size", F.col("x.h").alias("h"))
+    here = open_.join(first, "key").select("band", "h", "key", "root", "size")
+    there = here.select("band", "h", F.col("key").alias("b"), F.col("root").alias("root_b"), F.col("size").alias("size_b"))
+    near = (F.col("size") >= threshold * F.col("size_b")) & (F.col("size_b") >= threshold * F.col("size"))
+    return here.join(there, ["band", "h"]).where((F.col("root") < F.col("root_b")) & near).select(F.least("key", "b").alias("a"), F.greatest("key", "b").alias("b")).distinct()
+
+
 def line_classes(docs: DataFrame, threshold: float = 0.8, window: int = 8, hashes: int = 24, bands: int = 14, rows: int = 5, seed: int = 7) -> DataFrame:
     """doc_id, line_no, class_doc, class_line (the line that is kept for it), kept: one row per line."""
     spark = docs.sparkSession
@@ -78,9 +104,11 @@ def line_classes(docs: DataFrame, threshold: float = 0.8, window: int = 8, hashe
     least = [F.min(F.col("h").bitwiseXOR(F.lit(_signed(draw.getrandbits(64))))).alias(f"m{k}") for k in range(hashes)]
     lines, lines_name, lines_path = bucketed_table(distinct, "lines", "key")
     # Lines lie in buckets of their keys, so their signatures are made without a shuffle.
-    hashed = lines.select("key", F.explode(shingles(F.col("norm"), window)).alias("s")).select("key", F.xxhash64("s").alias("h"))
+    hashed = _hashes(lines, window)
+    signed = hashed.groupBy("key").agg(*least, F.count(F.lit(1)).alias("size"), F.bit_xor("h").alias("whole"))
     band = F.array(*[F.xxhash64(F.lit(b), *[f"m{k}" for k in chosen]) for b, chosen in enumerate(band_rows(hashes, bands, rows, seed))])
-    member = hashed.groupBy("key").agg(*least).select("key", F.explode(band).alias("band"))
+    # Below this size one shingle more or less is too much.
+    member = signed.select("key", F.explode(F.when(F.col("size") * (1 - threshold) < threshold, F.array(F.xxhash64(F.lit(-1), "size", "whole"))).otherwise(band)).alias("band"))
     in_band = Window.partitionBy("band")
     met, met_path = shared_table(member.withColumn("size", F.count(F.lit(1)).over(in_band)).where("size > 1"), "bands")
     ordered = in_band.orderBy("key")
@@ -92,9 +120,8 @@ def line_classes(docs: DataFrame, threshold: float = 0.8, window: int = 8, hashe
     # What larger bands still leave open: pairs of different components.
     large = met.where("size > 4").join(roots, met.key == roots.node, "left").select("band", "key", F.coalesce("root", "key").alias("root"))
     mixed = large.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band")
-    open_ = large.join(mixed, "band")
-    other = open_.select("band", F.col("key").alias("b"), F.col("root").alias("root_b"))
-    across = open_.join(other, "band").where("root < root_b").select(F.least("key", "b").alias("a"), F.greatest("key", "b").alias("b")).distinct()
+    open_, open_path = shared_table(large.join(mixed, "band"), "open")
+    across = _by_prefix(open_, lines, window, threshold)
     more, more_path = shared_table(_verified(across.join(pairs, ["a", "b"], "left_anti"), lines, window, threshold), "pairs")
     if not more.isEmpty():
         roots, _ = shared_table(components(links.union(more)), "roots")
@@ -104,7 +131,7 @@ def line_classes(docs: DataFrame, threshold: float = 0.8, window: int = 8, hashe
     firsts = classed.groupBy("root").agg(F.min("first").alias("head"))
     heads, _ = shared_table(classed.join(firsts, "root").select("key", "head"), "heads")
     spark.sql(f"DROP TABLE {lines_name}")
-    for path in (lines_path, met_path, links_path, more_path):
+    for path in (lines_path, met_path, links_path, open_path, more_path):
         drop_shared(spark, path)
 
     own = split_lines(docs).select("doc_id", "line_no", "key")
