@@ -55,7 +55,7 @@ def join_delimited(values: Column) -> Column:
 
 def join_pmml(values: Column) -> Column:
     """Space-joined values; quotes are escaped, and values with spaces or quotes stand in quotes."""
-    escape = lambda v: F.when(v.rlike(r'[" ]') | (v == ""), F.concat(F.lit('"'), F.regexp_replace(v, '"', r'\\\\"'), F.lit('"'))).otherwise(v)
+    escape = lambda v: F.when(v.rlike(r'[" ]') | (v == ""), F.concat(F.lit('"'), F.regexp_replace(v, '"', r'\\"'), F.lit('"'))).otherwise(v)
     return F.array_join(F.transform(values, escape), " ")
 
 

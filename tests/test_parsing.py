@@ -28,7 +28,7 @@ def test_joining(spark):
     line = df.select(P.join_delimited(F.col("v")).alias("value"))
     assert P.parse_lines(line).first().tokens == ["a", "b,c", 'd"e', "f\\g"]
     pm = df.select(P.join_pmml(F.array(F.lit("a b"), F.lit('c"d'), F.lit("e"))).alias("x")).first().x
-    assert pm == '"a b" "c\\"d" e'
+    assert pm == '"a b" "c\\"d" e', pm
     assert spark.createDataFrame([(pm,)], "x string").select(P.split_pmml(F.col("x")).alias("t")).first().t == ["a b", 'c"d', "e"]
 
 
