@@ -19,8 +19,8 @@ DataFrame functions only.
 5. Of each component the line that comes first, by doc_id and line number, is kept.
 
 Null and empty texts have no lines to remove; blank lines are never removed and have no class.  A window at a
-line's end is shorter.  Lines of rows that share a doc_id are told apart by ``line_no`` only where the rows differ
-in length; equal rows keep the same lines.  A null doc_id comes before all others.  Keys of lines are 64-bit hashes.
+line's end is shorter.  Rows that share a doc_id are told apart by their texts; equal rows keep the
+same lines.  A null doc_id comes before all others.  Keys of lines are 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -36,8 +36,8 @@ _WINDOWS = r"(?:^|[^a-z\x{df}-\x{24f}])(?=([^ ].{0,%d}))"
 
 
 def split_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, line_no (from 0), line, key (of the normalized line; null if blank)."""
-    lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    """doc_id, text_key (hash of the text), line_no (from 0), line, key (of the normalized line; null if blank)."""
+    lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     norm = F.lower(F.trim("line"))
     return lines.withColumn("norm", norm).withColumn("key", F.when(F.col("norm") != "", F.xxhash64("norm")))
 
@@ -96,9 +96,10 @@ def _by_prefix(open_: DataFrame, lines: DataFrame, window: int, threshold: float
 
 
 def line_classes(docs: DataFrame, threshold: float = 0.8, window: int = 8, hashes: int = 24, bands: int = 14, rows: int = 5, seed: int = 7) -> DataFrame:
-    """doc_id, line_no, class_doc, class_line (the line that is kept for it), kept: one row per line."""
+    """doc_id, line_no, text_key, class_doc, class_line (the line that is kept for it), kept: one row per line."""
     spark = docs.sparkSession
-    first = F.min(F.struct("doc_id", "line_no"))
+    place = F.struct("doc_id", "text_key", "line_no")
+    first = F.min(place)
     distinct = split_lines(docs).where(F.col("key").isNotNull()).groupBy("key").agg(F.min("norm").alias("norm"), first.alias("first"), F.count(F.lit(1)).alias("n"))
     draw = random.Random(seed)
     least = [F.min(F.col("h").bitwiseXOR(F.lit(_signed(draw.getrandbits(64))))).alias(f"m{k}") for k in range(hashes)]
@@ -134,11 +135,11 @@ def line_classes(docs: DataFrame, threshold: float = 0.8, window: int = 8, hashe
     for path in (lines_path, met_path, links_path, open_path, more_path):
         drop_shared(spark, path)
 
-    own = split_lines(docs).select("doc_id", "line_no", "key")
-    place = F.struct("doc_id", "line_no")
+    own = split_lines(docs).select("doc_id", "text_key", "line_no", "key")
     return own.join(heads, "key", "left").select(
         "doc_id",
         "line_no",
+        "text_key",
         F.when(F.col("head").isNotNull(), F.col("head.doc_id")).when(F.col("key").isNotNull(), F.col("doc_id")).alias("class_doc"),
         F.when(F.col("head").isNotNull(), F.col("head.line_no")).when(F.col("key").isNotNull(), F.col("line_no")).alias("class_line"),
         (F.col("head").isNull() | F.col("head").eqNullSafe(place)).alias("kept"),
@@ -146,9 +147,14 @@ def line_classes(docs: DataFrame, threshold: float = 0.8, window: int = 8, hashe
 
 
 def without_repeats(docs: DataFrame, **options) -> DataFrame:
-    """The documents without the lines that aren't kept; documents that had lines and keep none go."""
-    gone = line_classes(docs, **options).where("not kept").groupBy("doc_id").agg(F.collect_set("line_no").alias("gone"))
-    kept = F.filter(F.split("text", "\n"), lambda line, k: F.col("gone").isNull() | ~F.array_contains("gone", k))
-    joined = docs.join(gone, "doc_id", "left").withColumn("kept", kept)
-    still = F.col("gone").isNull() | F.exists("kept", lambda line: F.trim(line) != "")
-    return joined.where(still).withColumn("text", F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join("kept", "\n"))).select(docs.columns)
+    """The documents without the lines that aren't kept; documents that had lines and keep none go.
+
+    Rows without lines to remove are unchanged, among them all with a null or empty text.
+    """
+    gone = line_classes(docs, **options).where("not kept").groupBy("doc_id", "text_key").agg(F.collect_set("line_no").alias("_t_gone")).withColumnsRenamed({"doc_id": "_t_id", "text_key": "_t_key"})
+    same = docs["doc_id"].cast("long").eqNullSafe(gone["_t_id"]) & (F.xxhash64(docs["text"]) == gone["_t_key"])
+    joined = docs.join(gone, same, "left")
+    kept = F.filter(F.split("text", "\n"), lambda line, k: ~F.array_contains("_t_gone", k))
+    still = F.col("_t_gone").isNull() | F.exists(kept, lambda line: F.trim(line) != "")
+    text = F.when(F.col("_t_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    return joined.where(still).withColumn("text", text).select(docs.columns)

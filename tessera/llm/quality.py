@@ -63,11 +63,11 @@ def margins(texts: list[bytes], model: QualityModel, block: int = 1 << 20) -> np
             size += len(texts[j])
             j += 1
         group = texts[k:j]
-        data = np.frombuffer(b"\n".join(group), np.uint8)
+        data = np.frombuffer(b"\0\0\0".join(group), np.uint8)  # so much that no n-gram reaches the next text
         sums = np.zeros(len(data))
         for g in gram_hashes(data):
             sums += model.weights[g]
-        first = np.cumsum([0] + [len(t) + 1 for t in group[:-1]])
+        first = np.cumsum([0] + [len(t) + 3 for t in group[:-1]])
         total = np.concatenate([[0.0], np.cumsum(sums)])
         for i, t in enumerate(group):
             if t:

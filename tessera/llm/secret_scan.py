@@ -171,8 +171,8 @@ def redact(docs: DataFrame, model: PipelineModel, mark: str = "[SECRET]", thresh
     found = scan(docs, model, threshold).where("is_secret").dropDuplicates(["doc_id", "text_key", "start"])
     # Back to front, so that places before a replacement stay right.
     spans = found.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list(F.struct("start", "length")), asc=False).alias("spans"))
-    keyed = docs.withColumn("text_key", F.xxhash64("text"))
-    other = spans.withColumnsRenamed({"doc_id": "found_id", "text_key": "found_key"})
-    joined = keyed.join(other, keyed["doc_id"].cast("long").eqNullSafe(other["found_id"]) & (keyed["text_key"] == other["found_key"]), "left")
-    clean = F.aggregate("spans", F.col("text"), lambda text, s: F.concat(F.substr(text, F.lit(1), s["start"].cast("int")), F.lit(mark), F.substr(text, (s["start"] + s["length"] + 1).cast("int"))))
-    return joined.withColumn("text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(clean)).select(docs.columns)
+    other = spans.withColumnsRenamed({"doc_id": "_t_id", "text_key": "_t_key", "spans": "_t_spans"})
+    same = docs["doc_id"].cast("long").eqNullSafe(other["_t_id"]) & (F.xxhash64(docs["text"]) == other["_t_key"])
+    joined = docs.join(other, same, "left")
+    clean = F.aggregate("_t_spans", F.col("text"), lambda text, s: F.concat(F.substr(text, F.lit(1), s["start"].cast("int")), F.lit(mark), F.substr(text, (s["start"] + s["length"] + 1).cast("int"))))
+    return joined.withColumn("text", F.when(F.col("_t_spans").isNull(), F.col("text")).otherwise(clean)).select(docs.columns)
