@@ -11,10 +11,9 @@ DataFrame functions only.
    of a band are candidates: 0.96 of the pairs with similarity 0.8, 0.98 from 0.85 and all but a few from 0.9 on.
    Sets of up to three shingles are similar to nothing but equal sets, so those have one band, the whole set.
    Bands of up to four lines give all their pairs; in larger ones each line meets its three neighbours in order and
-   the first.  After a first union-find, lines of different components that still share a band meet by prefix
-   filtering, which is exact: in order of rarity, sets with a Jaccard similarity of 0.8 share one of their first
-   0.2 n + 1 shingles.  So no pair of a band that could still join components is left out, and no group of similar
-   lines is expanded into all its pairs.
+   the first.  After a first union-find, lines of different components that still share a band are joined by prefix
+   filtering, which is exact.  So no pair of a band that could still join components is left out, and no group of
+   similar lines is expanded into all its pairs.
 4. Candidates are verified by the exact Jaccard similarity of their sets of shingles.
 5. Of each component the line that comes first, by doc_id and line number, is kept.
 
@@ -79,20 +78,27 @@ def _hashes(lines: DataFrame, window: int) -> DataFrame:
 
 
 def _by_prefix(open_: DataFrame, lines: DataFrame, window: int, threshold: float) -> DataFrame:
-    """Pairs (a, b) of different components in one band that share a shingle of their prefixes.
+    """Pairs (a, b) of lines of different components that can be similar, by positional prefix filtering.
 
-    ``open_``: (band, key, root).  Rarity is counted among the lines in question.
+    ``open_``: (key, root).  Shingles are ordered by rarity, counted among the lines in question.  Similar lines' first
+    common shingle lies in the first n - ceil(2t / (1 + t) n) + 1 shingles of the smaller set and the first
+    n - ceil(t n) + 1 of the larger one, and what follows it in both must suffice for the similarity.  Each pair is met
+    at its first common shingle only.
     """
-    keys = open_.select("key").distinct()
-    sets = _hashes(lines.join(keys, "key", "left_semi"), window)
+    sets = _hashes(lines.join(open_.select("key"), "key", "left_semi"), window)
     counted = sets.join(sets.groupBy("h").agg(F.count(F.lit(1)).alias("n")), "h")
-    ordered = counted.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("n", "h"))).alias("all"))
-    length = (F.size("all") - F.ceil(F.size("all") * threshold - 1e-9) + 1).cast("int")
-    first = ordered.select("key", F.size("all").alias("size"), F.explode(F.slice("all", F.lit(1), length)).alias("x")).select("key", "size", F.col("x.h").alias("h"))
-    here = open_.join(first, "key").select("band", "h", "key", "root", "size")
-    there = here.select("band", "h", F.col("key").alias("b"), F.col("root").alias("root_b"), F.col("size").alias("size_b"))
-    near = (F.col("size") >= threshold * F.col("size_b")) & (F.col("size_b") >= threshold * F.col("size"))
-    return here.join(there, ["band", "h"]).where((F.col("root") < F.col("root_b")) & near).select(F.least("key", "b").alias("a"), F.greatest("key", "b").alias("b")).distinct()
+    ordered = counted.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("n", "h"))).alias("all")).select("key", F.size("all").alias("size"), F.transform("all", lambda x: x["h"]).alias("all"))
+    need = lambda share: F.ceil(F.col("size") * share - 1e-9)
+    length = (F.col("size") - need(threshold) + 1).cast("int")
+    head = open_.join(ordered, "key").select("key", "root", "size", F.slice("all", F.lit(1), length).alias("head"))
+    each = head.select("*", F.posexplode("head").alias("pos", "h")).withColumn("before", F.slice("head", F.lit(1), F.col("pos"))).drop("head")
+    small = each.where(F.col("pos") < F.col("size") - need(2 * threshold / (1 + threshold)) + 1)
+    large = each.select("h", *[F.col(c).alias(f"{c}_b") for c in ("key", "root", "size", "pos", "before")])
+    order = (F.col("size") < F.col("size_b")) | ((F.col("size") == F.col("size_b")) & (F.col("key") < F.col("key_b")))
+    most = F.least(F.col("size") - F.col("pos"), F.col("size_b") - F.col("pos_b"))
+    enough = (F.col("size") >= threshold * F.col("size_b") - 1e-9) & (most >= (F.col("size") + F.col("size_b")) * (threshold / (1 + threshold)) - 1e-9)
+    met = order & enough & (F.col("root") != F.col("root_b")) & ~F.arrays_overlap("before", "before_b")
+    return small.join(large, "h").where(met).select(F.least("key", "key_b").alias("a"), F.greatest("key", "key_b").alias("b")).distinct()
 
 
 def line_classes(docs: DataFrame, threshold: float = 0.8, window: int = 8, hashes: int = 24, bands: int = 14, rows: int = 5, seed: int = 7) -> DataFrame:
@@ -121,7 +127,7 @@ def line_classes(docs: DataFrame, threshold: float = 0.8, window: int = 8, hashe
     # What larger bands still leave open: pairs of different components.
     large = met.where("size > 4").join(roots, met.key == roots.node, "left").select("band", "key", F.coalesce("root", "key").alias("root"))
     mixed = large.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band")
-    open_, open_path = shared_table(large.join(mixed, "band"), "open")
+    open_, open_path = shared_table(large.join(mixed, "band").select("key", "root").distinct(), "open")
     across = _by_prefix(open_, lines, window, threshold)
     more, more_path = shared_table(_verified(across.join(pairs, ["a", "b"], "left_anti"), lines, window, threshold), "pairs")
     if not more.isEmpty():

@@ -292,7 +292,7 @@ def test_prefix_filtering_is_exact(spark):
         norms.append(" ".join(line))
     norms = [*dict.fromkeys(norms)]
     lines = spark.createDataFrame([(k, x) for k, x in enumerate(norms)], "key long, norm string")
-    open_ = spark.createDataFrame([(0, k, k) for k in range(len(norms))], "band long, key long, root long")
+    open_ = spark.createDataFrame([(k, k) for k in range(len(norms))], "key long, root long")
     pairs = line_dedup._by_prefix(open_, lines, 8, 0.8)
     got = {(p.a, p.b) for p in line_dedup._verified(pairs, lines, 8, 0.8).collect()}
     pattern = re.compile(r"(?:^|[^a-zß-ɏ])(?=([^ ].{0,7}))")
