@@ -27,6 +27,7 @@ from tessera.llm.docmap import map_documents
 from tessera.llm.fuzzy_lexicon import FuzzyLexicon
 
 _WORD = re.compile(r"[^\W_]+")
+STEMS = range(4, 11)  # lengths of stems
 _QUOTES = "\"“”„«»‹›‘’'`"
 #: Words that report what others say, in the four languages of the corpus.
 _REPORTS = re.compile(r"\b(?:said|says|say|called|calls|calling|quote|quoted|wrote|writes|word|term|slur|insult|sagte|nannte|schrieb|zitat|wort|dit|écrit|appelé|mot|citation|dijo|llamó|escribió|palabra|cita)\b")
@@ -82,21 +83,33 @@ def learn_terms(toxic: list[str], clean: list[str], ratio: float = 100.0, surpri
     """
     if not toxic or not clean:
         return []
-    forms = lambda words: {(w, False) for w in words if 3 <= len(w) <= 24} | {(w[:n], True) for w in words for n in range(4, min(10, len(w)) + 1)}
+    scale = len(clean) / len(toxic)
+    least = max(3.0, share * len(toxic), surprise / scale)
+    # Level by level, as a longer beginning is in no more documents than a shorter one; so few forms are ever counted.
+    stems: set[str] = set()
+    for n in STEMS:
+        level: Counter = Counter()
+        for t in toxic:
+            level.update({w[:n] for w in _WORD.findall(t.lower()) if len(w) >= n and (n == STEMS[0] or w[: n - 1] in stems)})
+        stems.update(f for f, k in level.items() if k >= least)
+
+    def forms(word: str) -> list[tuple[str, bool]]:
+        out = [(word[:n], True) for n in STEMS if n <= len(word) and word[:n] in stems]
+        whole = 3 <= len(word) <= 24 and (len(word) < STEMS[0] or word[: STEMS[-1]] in stems)
+        return [*out, (word, False)] if whole else out
+
     around: dict[tuple[str, bool], set[int]] = defaultdict(set)
     for t in toxic:
         words = ["", *_WORD.findall(t.lower()), ""]
         for before, word, after in {w: (b, w, a) for b, w, a in zip(words, words[1:], words[2:], strict=False)}.values():
-            where = zlib.crc32(f"{before} {after}".encode())
-            for f in forms((word,)):
-                around[f].add(where)
-    seen = Counter({f: len(x) for f, x in around.items()})
-    scale = len(clean) / len(toxic)
-    keep = {f for f, n in seen.items() if n >= max(3, share * len(toxic)) and n * scale >= surprise}
+            for f in forms(word):
+                around[f].add(zlib.crc32(f"{before} {after}".encode()))
+    seen = Counter({f: len(x) for f, x in around.items() if len(x) >= least})
+    del around
     rivals: Counter = Counter()
     for t in clean:
-        rivals.update(keep.intersection(forms(set(_WORD.findall(t.lower())))))
-    keep = {f for f in keep if seen[f] * scale >= ratio * rivals[f]}
+        rivals.update({f for w in set(_WORD.findall(t.lower())) for f in forms(w) if f in seen})
+    keep = {f for f in seen if seen[f] * scale >= ratio * rivals[f]}
     chosen: list[tuple[str, bool]] = []
     for term, stem in sorted(keep, key=lambda f: (20 * rivals[f] - seen[f], f[1], -len(f[0]), f[0])):
         implied = any(s and term.startswith(t) for t, s in chosen)
