@@ -56,49 +56,52 @@ def band_rows(hashes: int, bands: int, rows: int, seed: int) -> list[list[int]]:
     return out
 
 
+def hash_set(norm: Column, window: int) -> Column:
+    return F.array_distinct(F.transform(shingles(norm, window), lambda s: F.xxhash64(s)))
+
+
 def jaccard(a: Column, b: Column) -> Column:
+    """Of two arrays without repeats."""
     common = F.size(F.array_intersect(a, b))
-    return common / (F.size(F.array_distinct(a)) + F.size(F.array_distinct(b)) - common)
+    return common / (F.size(a) + F.size(b) - common)
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _verified(pairs: DataFrame, lines: DataFrame, window: int, threshold: float) -> DataFrame:
-    text = lines.select("key", "norm")
-    a, b = text.toDF("a", "text_a"), text.toDF("b", "text_b")
-    both = pairs.join(a, "a").join(b, "b")
-    return both.where(jaccard(shingles(F.col("text_a"), window), shingles(F.col("text_b"), window)) >= threshold).select("a", "b")
-
-
-def _hashes(lines: DataFrame, window: int) -> DataFrame:
-    """key, h: the hashes of each line's set of shingles."""
-    return lines.select("key", F.explode(F.array_distinct(shingles(F.col("norm"), window))).alias("s")).select("key", F.xxhash64("s").alias("h"))
+def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) whose sets (key, all) are similar enough."""
+    both = pairs.join(sets.toDF("a", "all_a"), "a").join(sets.toDF("b", "all_b"), "b")
+    return both.where(jaccard(F.col("all_a"), F.col("all_b")) >= threshold).select("a", "b")
 
 
-def _by_prefix(open_: DataFrame, lines: DataFrame, window: int, threshold: float) -> DataFrame:
+def _by_prefix(open_: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b) of lines of different components that can be similar, by positional prefix filtering.
 
-    ``open_``: (key, root).  Shingles are ordered by rarity, counted among the lines in question.  Similar lines' first
+    ``open_``: (key, root); ``sets``: (key, all).  Shingles are ordered by rarity, counted among the lines in question.  Similar lines' first
     common shingle lies in the first n - ceil(2t / (1 + t) n) + 1 shingles of the smaller set and the first
     n - ceil(t n) + 1 of the larger one, and what follows it in both must suffice for the similarity.  Each pair is met
     at its first common shingle only.
     """
-    sets = _hashes(lines.join(open_.select("key"), "key", "left_semi"), window)
-    counted = sets.join(sets.groupBy("h").agg(F.count(F.lit(1)).alias("n")), "h")
+    each = sets.join(open_.select("key"), "key", "left_semi").select("key", F.explode("all").alias("h"))
+    counted = each.join(each.groupBy("h").agg(F.count(F.lit(1)).alias("n")), "h")
     ordered = counted.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("n", "h"))).alias("all")).select("key", F.size("all").alias("size"), F.transform("all", lambda x: x["h"]).alias("all"))
     need = lambda share: F.ceil(F.col("size") * share - 1e-9)
     length = (F.col("size") - need(threshold) + 1).cast("int")
     head = open_.join(ordered, "key").select("key", "root", "size", F.slice("all", F.lit(1), length).alias("head"))
     each = head.select("*", F.posexplode("head").alias("pos", "h")).withColumn("before", F.slice("head", F.lit(1), F.col("pos"))).drop("head")
+    # Of the lines with a shingle, those of the component that has most of them need not meet each other.
+    main = each.groupBy("h", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("h").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
+    each = each.join(main, "h").withColumn("odd", F.col("root") != F.col("main")).drop("main")
     small = each.where(F.col("pos") < F.col("size") - need(2 * threshold / (1 + threshold)) + 1)
-    large = each.select("h", *[F.col(c).alias(f"{c}_b") for c in ("key", "root", "size", "pos", "before")])
+    large = each.select("h", *[F.col(c).alias(f"{c}_b") for c in ("key", "root", "size", "pos", "before", "odd")])
     order = (F.col("size") < F.col("size_b")) | ((F.col("size") == F.col("size_b")) & (F.col("key") < F.col("key_b")))
     most = F.least(F.col("size") - F.col("pos"), F.col("size_b") - F.col("pos_b"))
     enough = (F.col("size") >= threshold * F.col("size_b") - 1e-9) & (most >= (F.col("size") + F.col("size_b")) * (threshold / (1 + threshold)) - 1e-9)
     met = order & enough & (F.col("root") != F.col("root_b")) & ~F.arrays_overlap("before", "before_b")
-    return small.join(large, "h").where(met).select(F.least("key", "key_b").alias("a"), F.greatest("key", "key_b").alias("b")).distinct()
+    pairs = small.where("odd").join(large, "h").where(met).unionByName(small.where("not odd").join(large.where("odd_b"), "h").where(met))
+    return pairs.select(F.least("key", "key_b").alias("a"), F.greatest("key", "key_b").alias("b")).distinct()
 
 
 def line_classes(docs: DataFrame, threshold: float = 0.8, window: int = 8, hashes: int = 24, bands: int = 14, rows: int = 5, seed: int = 7) -> DataFrame:
@@ -111,25 +114,28 @@ def line_classes(docs: DataFrame, threshold: float = 0.8, window: int = 8, hashe
     least = [F.min(F.col("h").bitwiseXOR(F.lit(_signed(draw.getrandbits(64))))).alias(f"m{k}") for k in range(hashes)]
     lines, lines_name, lines_path = bucketed_table(distinct, "lines", "key")
     # Lines lie in buckets of their keys, so their signatures are made without a shuffle.
-    hashed = _hashes(lines, window)
+    hashed = lines.select("key", F.explode(F.array_distinct(shingles(F.col("norm"), window))).alias("s")).select("key", F.xxhash64("s").alias("h"))
     signed = hashed.groupBy("key").agg(*least, F.count(F.lit(1)).alias("size"), F.bit_xor("h").alias("whole"))
     band = F.array(*[F.xxhash64(F.lit(b), *[f"m{k}" for k in chosen]) for b, chosen in enumerate(band_rows(hashes, bands, rows, seed))])
     # Below this size one shingle more or less is too much.
     member = signed.select("key", F.explode(F.when(F.col("size") * (1 - threshold) < threshold, F.array(F.xxhash64(F.lit(-1), "size", "whole"))).otherwise(band)).alias("band"))
     in_band = Window.partitionBy("band")
     met, met_path = shared_table(member.withColumn("size", F.count(F.lit(1)).over(in_band)).where("size > 1"), "bands")
+    # Only lines that share a band with another one need their sets.
+    found = lines.join(met.select("key").distinct(), "key", "left_semi").select("key", hash_set(F.col("norm"), window).alias("all"))
+    sets, sets_name, sets_path = bucketed_table(found, "sets", "key")
     ordered = in_band.orderBy("key")
     partners = F.array(F.lag("key", 1).over(ordered), F.lag("key", 2).over(ordered), F.lag("key", 3).over(ordered), F.first("key").over(ordered))
     pairs = met.select("key", partners.alias("p")).select(F.col("key").alias("b"), F.explode("p").alias("a")).where("a < b").distinct()
-    links, links_path = shared_table(_verified(pairs, lines, window, threshold), "pairs")
+    links, links_path = shared_table(_verified(pairs, sets, threshold), "pairs")
     roots, _ = shared_table(components(links), "roots")
 
     # What larger bands still leave open: pairs of different components.
     large = met.where("size > 4").join(roots, met.key == roots.node, "left").select("band", "key", F.coalesce("root", "key").alias("root"))
     mixed = large.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band")
     open_, open_path = shared_table(large.join(mixed, "band").select("key", "root").distinct(), "open")
-    across = _by_prefix(open_, lines, window, threshold)
-    more, more_path = shared_table(_verified(across.join(pairs, ["a", "b"], "left_anti"), lines, window, threshold), "pairs")
+    across = _by_prefix(open_, sets, threshold)
+    more, more_path = shared_table(_verified(across.join(pairs, ["a", "b"], "left_anti"), sets, threshold), "pairs")
     if not more.isEmpty():
         roots, _ = shared_table(components(links.union(more)), "roots")
 
@@ -137,8 +143,9 @@ def line_classes(docs: DataFrame, threshold: float = 0.8, window: int = 8, hashe
     classed = lines.select("key", "first", "n").join(nodes, lines.key == nodes.node, "left").where("n > 1 or root is not null").select("key", "first", F.coalesce("root", "key").alias("root"))
     firsts = classed.groupBy("root").agg(F.min("first").alias("head"))
     heads, _ = shared_table(classed.join(firsts, "root").select("key", "head"), "heads")
-    spark.sql(f"DROP TABLE {lines_name}")
-    for path in (lines_path, met_path, links_path, open_path, more_path):
+    for name in (lines_name, sets_name):
+        spark.sql(f"DROP TABLE {name}")
+    for path in (lines_path, sets_path, met_path, links_path, open_path, more_path):
         drop_shared(spark, path)
 
     own = split_lines(docs).select("doc_id", "text_key", "line_no", "key")

@@ -292,9 +292,10 @@ def test_prefix_filtering_is_exact(spark):
         norms.append(" ".join(line))
     norms = [*dict.fromkeys(norms)]
     lines = spark.createDataFrame([(k, x) for k, x in enumerate(norms)], "key long, norm string")
+    lines = lines.select("key", line_dedup.hash_set(lines.norm, 8).alias("all"))
     open_ = spark.createDataFrame([(k, k) for k in range(len(norms))], "key long, root long")
-    pairs = line_dedup._by_prefix(open_, lines, 8, 0.8)
-    got = {(p.a, p.b) for p in line_dedup._verified(pairs, lines, 8, 0.8).collect()}
+    pairs = line_dedup._by_prefix(open_, lines, 0.8)
+    got = {(p.a, p.b) for p in line_dedup._verified(pairs, lines, 0.8).collect()}
     pattern = re.compile(r"(?:^|[^a-zß-ɏ])(?=([^ ].{0,7}))")
     sets = [frozenset(pattern.findall(x)) for x in norms]
     assert got == {(b, a) for a in range(len(norms)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
