@@ -161,7 +161,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, most: dict[
     return out
 
 
-def train(docs: DataFrame, labels: DataFrame, most_toxic: int = 1500, most_clean: int = 8000) -> ToxicModel:
+def train(docs: DataFrame, labels: DataFrame, most_toxic: int = 1000, most_clean: int = 4000) -> ToxicModel:
     """Learn from at most ``most_toxic`` and ``most_clean`` labelled documents that aren't held out."""
     return fit(labelled_sample(docs, labels, "toxic", {1: most_toxic, 0: most_clean}))
 
