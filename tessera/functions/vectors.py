@@ -42,6 +42,12 @@ def scale(x: Column, by: Column) -> Column:
     return F.transform(x, lambda v: v.cast("double") * by)
 
 
+def weighted_mean(value: Column, weight: Column) -> Column:
+    """An aggregate: sum of weighted values over the sum of weights; null without weight."""
+    total = F.sum(F.when(value.isNotNull(), weight))
+    return F.when(total != 0, F.sum(value * weight) / total)
+
+
 def mean_vector(df: DataFrame, vector: str, keys: list[str], mean: bool = True) -> DataFrame:
     """Element-wise mean (or sum) of a vector column by ``keys``: rows (keys..., vector).
 

@@ -15,10 +15,6 @@ class Rescorer:
     rescore: Callable[[Column, Column], Column] | None = None
     is_filtered: Callable[[Column], Column] | None = None
 
-    @property
-    def changes_order(self) -> bool:
-        return self.rescore is not None or self.is_filtered is not None
-
     def filter_only(self, rows: DataFrame, item: str) -> DataFrame:
         return rows.where(~F.coalesce(self.is_filtered(F.col(item)), F.lit(False))) if self.is_filtered else rows
 

@@ -113,14 +113,16 @@ def top_candidates(users: DataFrame, items: DataFrame, extra: DataFrame | None,
 def recommend(users: DataFrame, items: DataFrame, known: DataFrame | None = None, how_many: int = 10, offset: int = 0, rescorer: Rescorer | None = None) -> DataFrame:
     """user, item, value: items by dot product, without the user's ``known`` items if given."""
     check_page(how_many, offset)
-    if rescorer is not None and rescorer.changes_order:
+    if rescorer is not None:
+        items = rescorer.filter_only(items, "id")
+    if rescorer is not None and rescorer.rescore is not None:
         scored = all_scores(users, items)
     else:
         extra = known.groupBy("user").agg(F.count(F.lit(1)).alias("n")) if known is not None else None
         scored = top_candidates(users, items, extra, how_many + offset)
     if known is not None:
         scored = scored.join(known.select("user", "item"), ["user", "item"], "left_anti")
-    if rescorer is not None:
+    if rescorer is not None and rescorer.rescore is not None:
         scored = rescorer.apply(scored, "item", "value")
     return page(scored.where(~F.isnan("value")), F.desc("value"), "item", how_many, offset, ["user"])
 

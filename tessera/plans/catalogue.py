@@ -691,6 +691,94 @@ def fraction_loaded(spark, sf_dir):
     return spark.createDataFrame([(round(serving.fraction_loaded(expected, there), 6),)], "fraction double")
 
 
+@query("update_messages", f"""WITH {_LOG} SELECT seq, CASE WHEN model THEN '{{}}' ELSE '["Y","' || k || '",[' || v || ',' || (v + 1) || ']]' END AS value FROM lg""")
+def update_messages(spark, sf_dir):
+    return _log(spark, sf_dir).select("seq", "value")
+
+
+@query("update_log_clusters", "SELECT CAST(c AS INTEGER) AS id, s AS count, v AS c0 FROM (SELECT event_id % 7 AS c, event_id AS s, round(value) AS v, row_number() OVER (PARTITION BY event_id % 7 ORDER BY event_id DESC) AS rn FROM events) WHERE rn = 1")
+def update_log_clusters(spark, sf_dir):
+    from tessera.streaming.updates import cluster_messages, latest_clusters
+
+    e = table(spark, sf_dir, "events").select((F.col("event_id") % 7).cast("int").alias("id"), F.array(F.round("value")).alias("center"), F.col("event_id").alias("count"))
+    log = cluster_messages(e).withColumn("seq", F.from_json("value", "array<string>")[2].cast("bigint"))
+    return latest_clusters(log).select("id", "count", F.get("center", 0).alias("c0"))
+
+
+@query("als_predict_pairs", f"WITH {PAIRS}, {FACTORS} SELECT u AS user_id, i AS item_id, round({DOT}, 6) AS predicted FROM pairs JOIN x ON x.id = u JOIN y ON y.id = i")
+def als_predict_pairs(spark, sf_dir):
+    rows = als.predict(pairs(spark, sf_dir), user_factors(spark, sf_dir), item_factors(spark, sf_dir))
+    return rows.select(F.col("user").alias("user_id"), F.col("item").alias("item_id"), _r("predicted"))
+
+
+@query("weighted_means", "SELECT l_returnflag, round(sum(l_discount * l_quantity) / sum(l_quantity), 6) AS mean FROM lineitem GROUP BY 1")
+def weighted_means(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.round(vectors.weighted_mean(F.col("l_discount"), F.col("l_quantity")), 6).alias("mean"))
+
+
+# ---------------------------------------------------------------- lines in, answers out
+
+
+@query(
+    "categorical_values",
+    """SELECT CAST(f AS INTEGER) AS feature, v AS value, CAST(row_number() OVER (PARTITION BY f ORDER BY v) - 1 AS INTEGER) AS code
+    FROM (SELECT DISTINCT 1 AS f, o_orderstatus AS v FROM orders UNION ALL SELECT DISTINCT 2, o_orderpriority FROM orders)""",
+)
+def categorical_values(spark, sf_dir):
+    from tessera.plans.schema import InputSchema, distinct_values
+
+    schema = InputSchema(feature_names=["o_orderkey", "o_orderstatus", "o_orderpriority"], id_features=["o_orderkey"], numeric_features=[])
+    codes = distinct_values(table(spark, sf_dir, "orders"), schema)
+    rows = [(f, v, k) for f, values in codes.values.items() for k, v in enumerate(values)]
+    return spark.createDataFrame(rows, "feature int, value string, code int")
+
+
+def _line_schema():
+    from tessera.plans.schema import Encodings, InputSchema
+
+    schema = InputSchema(feature_names=["key", "q", "p", "d", "t", "st", "y"], id_features=["key"], categorical_features=["st", "y"], target_feature="y")
+    return schema, Encodings({5: ["F", "O"], 6: ["A", "N", "R"]})
+
+
+def _order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    q, d = F.when(F.col("l_linenumber") != 7, F.col("l_quantity")), F.when(F.col("l_linenumber") != 6, F.col("l_discount"))
+    key = F.concat_ws("-", "l_orderkey", "l_linenumber")
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.concat_ws(",", key, text(q), text(F.col("l_extendedprice")), text(d), text(F.col("l_tax")), "l_linestatus", F.lit("")).alias("value"))
+
+
+@query("predict_lines", f"WITH {_DIST} SELECT k AS l_orderkey, n AS l_linenumber, CASE c WHEN 0 THEN 'A' WHEN 1 THEN 'N' ELSE 'R' END AS prediction FROM z")
+def predict_lines(spark, sf_dir):
+    from tessera.plans.endpoints import predict_lines as predict
+
+    schema, codes = _line_schema()
+    return predict(_order_lines(spark, sf_dir), _classifier(), schema, codes).select("l_orderkey", "l_linenumber", "prediction")
+
+
+@query("distribution_lines", f"WITH {_DIST} SELECT k AS l_orderkey, n AS l_linenumber, unnest(['A', 'N', 'R']) AS class, unnest([round(p0, 6), round(p1, 6), round(p2, 6)]) AS probability FROM z")
+def distribution_lines(spark, sf_dir):
+    from tessera.plans.endpoints import distribution_lines as distribution
+
+    schema, codes = _line_schema()
+    rows = distribution(_order_lines(spark, sf_dir), _classifier(), schema, codes).select("l_orderkey", "l_linenumber", F.explode("distribution").alias("x"))
+    return rows.select("l_orderkey", "l_linenumber", F.col("x.class").alias("class"), F.round("x.probability", 6).alias("probability"))
+
+
+@query(
+    "assign_lines",
+    """WITH p AS (SELECT event_id, round(value) AS a, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS b FROM events), c AS (SELECT * FROM (VALUES (2, 10.0, 20.0), (3, 100.0, 50.0), (4, 40.0, 80.0)) t(id, x, y)),
+    d AS (SELECT event_id, id, sqrt((a - x) * (a - x) + (b - y) * (b - y)) AS d FROM p, c) SELECT event_id, CAST(arg_min(id, struct_pack(d := d, id := id)) AS INTEGER) AS cluster_id, round(min(d), 6) AS distance FROM d GROUP BY 1""",
+)
+def assign_lines(spark, sf_dir):
+    from tessera.plans.endpoints import assign_lines as assign
+    from tessera.plans.schema import InputSchema
+
+    schema = InputSchema(feature_names=["id", "a", "b"], id_features=["id"], categorical_features=[])
+    clusters = spark.createDataFrame([(2, [10.0, 20.0], 1), (3, [100.0, 50.0], 1), (4, [40.0, 80.0], 1)], "id int, center array<double>, count long")
+    lines = table(spark, sf_dir, "events").select("event_id", F.concat_ws(",", F.col("event_id").cast("string"), F.round("value").cast("string"), F.get_json_object("props", "$.k")).alias("value"))
+    return assign(lines, clusters, schema).select("event_id", "cluster_id", _r("distance"))
+
+
 # ---------------------------------------------------------------- training, search and streams (rows only)
 
 
