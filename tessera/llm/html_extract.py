@@ -14,15 +14,17 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|$)"
-    r"|<(?P<raw>script|style|noscript|template|svg|math|iframe|textarea|select|object|title)\b[^>]*(?:/>|>.*?(?:</(?P=raw)\s*>|$)|$)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^<>\"']|\"[^\"]*\"|'[^']*'|[\"'])*)(?:>|$)"
+    r"|<(?P<raw>script|style|noscript|template|svg|iframe|textarea|select|object|title)\b[^>]*(?:/>|>.*?(?:</(?P=raw)\s*>|$)|$)"
+    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?>[^<>\"']+|\"[^\"]*\"|'[^']*'|[\"'])*+)(?:>|$)"
     r"|<[!?][^>]*(?:>|$)"
     r"|(?P<text>[^<]+|<)",
     re.S | re.I,
@@ -32,19 +34,21 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCK = frozenset(
     "address article aside blockquote caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-DROPPED = frozenset("nav header footer aside form button input select textarea dialog menu head figure figcaption label fieldset canvas audio video".split())
+DROPPED = frozenset("nav header footer aside form button input select textarea dialog menu head label fieldset canvas audio video".split())
 PARAGRAPH = frozenset("p pre td blockquote li dd".split())
 CONTAINER = frozenset("article body div main section td".split())
-ENDS = {
-    "li": ("li", frozenset("ul ol menu dir".split())),
-    "dt": ("dt dd", frozenset(["dl"])),
-    "dd": ("dt dd", frozenset(["dl"])),
-    "tr": ("tr td th", frozenset(["table"])),
-    "td": ("td th", frozenset("tr table".split())),
-    "th": ("td th", frozenset("tr table".split())),
-    "option": ("option", frozenset(["select"])),
+ENDS = {  # what an opening tag ends, and where that stops
+    "li": (("li",), frozenset("ul ol menu dir".split())),
+    "dt": (("dt", "dd"), frozenset(["dl"])),
+    "dd": (("dt", "dd"), frozenset(["dl"])),
+    "tr": (("tr", "td", "th"), frozenset(["table"])),
+    "td": (("td", "th"), frozenset("tr table".split())),
+    "th": (("td", "th"), frozenset("tr table".split())),
+    "option": (("option",), frozenset(["select"])),
 }
 BONUS = {"article": 25.0, "main": 15.0, "section": 3.0, "div": 5.0, "td": 3.0, "blockquote": 3.0, "body": 0.0, "ul": -3.0, "ol": -3.0}
+#: Ancestors that get points of a paragraph; beyond that the shares are small.
+LEVELS = 12
 _UNLIKELY = re.compile(
     r"(?:^|[^a-z])(?:ads?|advert\w*|banner|breadcrumbs?|combx|comments?|commentlist|community|consent|cookies?|cookie\w*|disqus|disclaimer|footer|gdpr|header|legends?|login|masthead|menu|meta|modal|nav|navbar|navigation|newsletter|notice|outbrain|pager|pagination|popup|promo\w*|recommend\w*|related|remark|replies|reply|rss|share|sharing|shoutbox|sidebar|signup|skyscraper|social|sponsor\w*|subscribe|subscription|taboola|tags|teaser|toolbar|topbar|widget|alert|warning|paywall|hidden|trending|popular|copyright|site-info|responses?|feedback)(?:$|[^a-z])"
 )
@@ -68,6 +72,15 @@ class Node:
 def parse(page: str) -> Node:
     """The tree; texts are strings among a node's kids, with character references decoded."""
     root = node = Node("body", "", None)
+    opened: Counter[str] = Counter()  # tags from the root to node, so that looking up is done only if it finds something
+
+    def to(target: Node) -> Node:
+        at = node
+        while at is not target:
+            opened[at.tag] -= 1
+            at = at.parent
+        return at
+
     for m in _TOKEN.finditer(page):
         text = m["text"]
         if text is not None:
@@ -78,47 +91,45 @@ def parse(page: str) -> Node:
             continue
         tag = tag.lower()
         if m["end"]:
-            if tag in VOID or tag in ("html", "body"):
-                if tag == "br":
-                    node.kids.append(" ")
-                continue
-            at = node
-            while at.parent is not None and at.tag != tag:
-                at = at.parent
-            if at.parent is not None:
-                node = at.parent
+            if tag == "br":
+                node.kids.append(" ")
+            elif opened[tag]:
+                node = to(next(x for x in _up(node) if x.tag == tag).parent)
             continue
         if tag in ("html", "body"):  # the root stands for both
             if tag == "body":
-                node = root
+                node = to(root)
             continue
-        if tag in BLOCK and any(x.tag == "head" for x in _up(node)):  # a head that was left open
-            node = root
         if tag in BLOCK:
-            for x in _up(node):  # a block ends an open paragraph
-                if x.tag == "p":
-                    node = x.parent
-                    break
-                if x.tag in ("td", "th", "button", "object", "caption"):
-                    break
-        if tag in ENDS:
-            names, stop = ENDS[tag]
-            names, until = names.split(), None
+            if opened["head"]:  # a head that was left open
+                node = to(root)
+            if opened["p"]:  # a block ends an open paragraph
+                for x in _up(node):
+                    if x.tag == "p":
+                        node = to(x.parent)
+                        break
+                    if x.tag in ("td", "th", "button", "object", "caption"):
+                        break
+        if tag in ENDS and any(opened[n] for n in ENDS[tag][0]):
+            until = None
             for x in _up(node):
-                if x.tag in stop:
+                if x.tag in ENDS[tag][1]:
                     break
-                if x.tag in names:
+                if x.tag in ENDS[tag][0]:
                     until = x
             if until is not None:
-                node = until.parent
+                node = to(until.parent)
         if tag in VOID:
-            if tag in ("br", "hr", "wbr"):
-                node.kids.append(Node(tag, "", node) if tag == "hr" else " " if tag == "br" else "")
+            if tag == "hr":
+                node.kids.append(Node(tag, "", node))
+            elif tag == "br":
+                node.kids.append(" ")
             continue
         new = Node(tag, m["attrs"] or "", node)
         node.kids.append(new)
         if not (m["attrs"] or "").rstrip().endswith("/"):
             node = new
+            opened[tag] += 1
     return root
 
 
@@ -130,7 +141,7 @@ def _up(node: Node | None) -> Iterator[Node]:
 
 def unlikely(node: Node) -> bool:
     """Whether the tag, its names or its state say that it is no part of an article."""
-    if node.tag in DROPPED or node.hidden:
+    if node.hidden or (node.tag in DROPPED and not (node.tag == "header" and any(x.tag == "article" for x in _up(node)))):
         return True
     if not node.names or node.tag in ("article", "main"):
         return False
@@ -207,7 +218,7 @@ def _score(order: list[Node], size: dict[int, list[float]]) -> list[Node]:
         node.paragraph = True
         points = (1 + text.count(",") + min(3.0, len(text) / 100)) * (1 - _density(size[id(node)]))
         first = node if node.tag in CONTAINER else node.parent
-        for level, up in enumerate(_up(first)):
+        for level, up in enumerate(islice(_up(first), LEVELS)):
             if up.points is None:
                 up.points = BONUS.get(up.tag, 0.0) + (25 if up.names and _LIKELY.search(up.names) else 0)
                 candidates.append(up)
@@ -215,8 +226,8 @@ def _score(order: list[Node], size: dict[int, list[float]]) -> list[Node]:
     return candidates
 
 
-def _blocks(nodes: list[Node], size: dict[int, list[float]]) -> list[str]:
-    """Texts between the borders of blocks, in page order."""
+def _blocks(nodes: list[Node], size: dict[int, list[float]], trusted: bool = False) -> list[str]:
+    """Texts between the borders of blocks, in page order; lists of links go unless what holds them is ``trusted``."""
     out: list[str] = []
     piece: list[str] = []
 
@@ -237,7 +248,7 @@ def _blocks(nodes: list[Node], size: dict[int, list[float]]) -> list[str]:
             close()
         else:
             own = size.get(id(k), [0.0, 0.0])
-            if k.tag in ("ul", "ol", "div", "section", "table", "dl") and _density(own) > 0.6 and own[0]:
+            if not trusted and k.tag in ("ul", "ol", "div", "section", "table", "dl") and _density(own) > 0.6 and own[0]:
                 close()  # a list of links
                 continue
             if k.tag in BLOCK:
@@ -278,7 +289,7 @@ def main_text(page: str | None) -> str:
                 chosen.append(k)
             elif k.tag == "p" and ((own[0] > 80 and density < 0.25) or (own[0] and density == 0 and re.search(r"[.!?](?:\s|$)", _text(k)))):
                 chosen.append(k)
-    return "\n".join(_blocks(chosen, size))
+    return "\n".join(_blocks(chosen, size, any(x.tag in ("article", "main") for x in _up(best))))
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
