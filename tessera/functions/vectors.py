@@ -18,7 +18,14 @@ def norm(x: Column) -> Column:
 
 
 def cosine(x: Column, y: Column, norm_y: Column | None = None) -> Column:
-    return dot(x, y) / (norm(x) * (norm(y) if norm_y is None else norm_y))
+    """Null where either vector is zero."""
+    return F.try_divide(dot(x, y), norm(x) * (norm(y) if norm_y is None else norm_y))
+
+
+def unit(x: Column) -> Column:
+    """Scaled to length 1; null for a zero vector."""
+    length = norm(x)
+    return F.when(length > 0, scale(x, F.lit(1.0) / length))
 
 
 def euclidean(x: Column, y: Column) -> Column:

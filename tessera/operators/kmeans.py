@@ -80,7 +80,7 @@ def _center_pairs(scatter: DataFrame) -> DataFrame:
 
 def davies_bouldin(assigned: DataFrame, clusters: DataFrame) -> DataFrame:
     """Mean over clusters of the worst (scatter + scatter) / distance."""
-    worst = _center_pairs(_scatter(assigned, clusters)).groupBy("id").agg(F.max((F.col("scatter") + F.col("scatter2")) / F.col("apart")).alias("worst"))
+    worst = _center_pairs(_scatter(assigned, clusters)).groupBy("id").agg(F.max(F.try_divide(F.col("scatter") + F.col("scatter2"), F.col("apart"))).alias("worst"))
     return clusters.join(worst, "id", "left").agg(F.avg(F.coalesce("worst", F.lit(0.0))).alias("davies_bouldin"))
 
 
@@ -88,7 +88,7 @@ def dunn(assigned: DataFrame, clusters: DataFrame) -> DataFrame:
     """Least distance between centers over the largest mean distance within a cluster."""
     scatter = _scatter(assigned, clusters)
     inter = _center_pairs(scatter).agg(F.min("apart").alias("inter"))
-    return inter.crossJoin(F.broadcast(scatter.agg(F.max("scatter").alias("intra")))).select((F.col("inter") / F.col("intra")).alias("dunn"))
+    return inter.crossJoin(F.broadcast(scatter.agg(F.max("scatter").alias("intra")))).select(F.try_divide("inter", "intra").alias("dunn"))
 
 
 def silhouette(assigned: DataFrame, vector: str = "features", seed: int = 1) -> DataFrame:

@@ -16,7 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tessera.functions.vectors import cosine, dot, mean_vector, norm
+from tessera.functions.vectors import cosine, dot, mean_vector, norm, unit
 from tessera.operators.rescoring import Rescorer
 
 MAX_ROWS = 100_000
@@ -148,11 +148,16 @@ def recommend_to_group(groups: DataFrame, users: DataFrame, items: DataFrame, kn
 def similar_items(seeds: DataFrame, items: DataFrame, how_many: int = 10, offset: int = 0, rescorer: Rescorer | None = None) -> DataFrame:
     """request, item, value: items by cosine to the normalized sum of each request's (request, item) vectors."""
     check_page(how_many, offset)
-    unit = items.withColumn("features", F.expr("transform(features, v -> cast(v as double))"))
-    wanted = seeds.join(unit, seeds.item == unit.id).select("request", "features")
+    units = items.select("id", unit(F.col("features")).alias("features")).where("features is not null")
+    wanted = seeds.join(items.select("id", F.col("features").cast("array<double>").alias("features")), seeds.item == F.col("id")).select("request", "features")
     sums = mean_vector(wanted, "features", ["request"], mean=False)
-    scored = unit.crossJoin(F.broadcast(sums.withColumnRenamed("features", "target"))).select("request", F.col("id").alias("item"), cosine(F.col("features"), F.col("target")).alias("value"))
-    scored = scored.join(F.broadcast(seeds.select("request", "item")), ["request", "item"], "left_anti")
+    targets = sums.select(F.col("request").alias("id"), unit(F.col("features")).alias("features")).where("features is not null")
+    if rescorer is not None and rescorer.rescore is not None:
+        scored = all_scores(targets, units)
+    else:
+        left_out = seeds.groupBy(F.col("request").alias("user")).agg(F.count(F.lit(1)).alias("n"))
+        scored = top_candidates(targets, units if rescorer is None else rescorer.filter_only(units, "id"), left_out, how_many + offset)
+    scored = scored.withColumnRenamed("user", "request").join(seeds.select("request", "item"), ["request", "item"], "left_anti")
     if rescorer is not None:
         scored = rescorer.apply(scored, "item", "value")
     return page(scored, F.desc("value"), "item", how_many, offset, ["request"])
