@@ -9,7 +9,8 @@ The model's pieces never cross from another character to a word mark, so a text
 and what follows, which are encoded one by one; a bounded cache keeps units that were met before.  Characters
 that the model lacks fall back to their UTF-8 bytes.
 
-Null and empty texts have the begin and end ids only.  Equal texts get equal ids.
+Null and empty texts have the begin and end ids only.  Equal texts get equal ids, repeated rows are repeated, texts of
+any length are encoded whole, and other columns are not looked at.
 """
 
 from __future__ import annotations

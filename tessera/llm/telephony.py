@@ -1,4 +1,8 @@
-"""Telephony audio in WAV containers: mu-law and A-law by lookup table, IMA ADPCM by numpy across blocks, resampling."""
+"""Telephony audio in WAV containers: mu-law and A-law by lookup table, IMA ADPCM by numpy across blocks, resampling.
+
+Null and empty texts or media have a defined form (64 zero bytes; null PCM); repeated rows are repeated, equal ones give
+equal values; texts of any length are stored whole; other columns, whatever their names, are not looked at.
+"""
 
 from __future__ import annotations
 

@@ -12,7 +12,7 @@ Two deterministic transducers are composed.
 
 Nulls and empty texts count 0 tokens; equal texts get equal counts.  Strings of special tokens inside a text
 count one token each, as is the tokenizers library's default.  Memory is bounded by ``max_states``: beyond it the
-tables are built anew, which changes no count.
+tables are built anew, which changes no count.  Repeated rows are repeated; other columns are not looked at.
 """
 
 from __future__ import annotations
