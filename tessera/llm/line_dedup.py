@@ -30,8 +30,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tessera.llm.shared import bucketed_table, components, drop_shared, shared_table
 
-#: The line's start and each character but a letter (of the Latin script, lower case), and the window that follows.
-_WINDOWS = r"(?:^|[^a-z\x{df}-\x{24f}])(?=([^ ].{0,%d}))"
+#: The line's start and each character but a letter (of the Latin script, lower case), and the window that follows;
+#: letters before such a character are skipped at once.
+_WINDOWS = r"(?:^|[a-z\x{df}-\x{24f}]*+[^a-z\x{df}-\x{24f}])(?=([^ ].{0,%d}))"
 
 
 def split_lines(docs: DataFrame) -> DataFrame:
@@ -114,7 +115,7 @@ def line_classes(docs: DataFrame, threshold: float = 0.8, window: int = 8, hashe
     least = [F.min(F.col("h").bitwiseXOR(F.lit(_signed(draw.getrandbits(64))))).alias(f"m{k}") for k in range(hashes)]
     lines, lines_name, lines_path = bucketed_table(distinct, "lines", "key")
     # Lines lie in buckets of their keys, so their signatures are made without a shuffle.
-    hashed = lines.select("key", F.explode(F.array_distinct(shingles(F.col("norm"), window))).alias("s")).select("key", F.xxhash64("s").alias("h"))
+    hashed = lines.select("key", F.explode(hash_set(F.col("norm"), window)).alias("h"))
     signed = hashed.groupBy("key").agg(*least, F.count(F.lit(1)).alias("size"), F.bit_xor("h").alias("whole"))
     band = F.array(*[F.xxhash64(F.lit(b), *[f"m{k}" for k in chosen]) for b, chosen in enumerate(band_rows(hashes, bands, rows, seed))])
     # Below this size one shingle more or less is too much.
@@ -128,7 +129,7 @@ def line_classes(docs: DataFrame, threshold: float = 0.8, window: int = 8, hashe
     partners = F.array(F.lag("key", 1).over(ordered), F.lag("key", 2).over(ordered), F.lag("key", 3).over(ordered), F.first("key").over(ordered))
     pairs = met.select("key", partners.alias("p")).select(F.col("key").alias("b"), F.explode("p").alias("a")).where("a < b").distinct()
     links, links_path = shared_table(_verified(pairs, sets, threshold), "pairs")
-    roots, _ = shared_table(components(links), "roots")
+    roots, roots_path = shared_table(components(links), "roots")
 
     # What larger bands still leave open: pairs of different components.
     large = met.where("size > 4").join(roots, met.key == roots.node, "left").select("band", "key", F.coalesce("root", "key").alias("root"))
@@ -136,16 +137,20 @@ def line_classes(docs: DataFrame, threshold: float = 0.8, window: int = 8, hashe
     open_, open_path = shared_table(large.join(mixed, "band").select("key", "root").distinct(), "open")
     across = _by_prefix(open_, sets, threshold)
     more, more_path = shared_table(_verified(across.join(pairs, ["a", "b"], "left_anti"), sets, threshold), "pairs")
-    if not more.isEmpty():
-        roots, _ = shared_table(components(links.union(more)), "roots")
-
-    nodes = roots.select("node", "root").union(roots.select(F.col("root").alias("node"), "root").distinct())
+    # The second union-find is over components.
+    root_of = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
+    joined = components(more.join(root_of("a"), "a", "left").join(root_of("b"), "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")))
+    again, again_path = shared_table(joined, "roots")
+    heads_of = lambda t: t.select(F.col("root").alias("node"), "root")
+    nodes = roots.union(heads_of(roots)).union(again.select("node", F.col("node").alias("root"))).union(heads_of(again)).distinct()
+    final = again.select(F.col("node").alias("root"), F.col("root").alias("top"))
+    nodes = nodes.join(final, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
     classed = lines.select("key", "first", "n").join(nodes, lines.key == nodes.node, "left").where("n > 1 or root is not null").select("key", "first", F.coalesce("root", "key").alias("root"))
     firsts = classed.groupBy("root").agg(F.min("first").alias("head"))
     heads, _ = shared_table(classed.join(firsts, "root").select("key", "head"), "heads")
     for name in (lines_name, sets_name):
         spark.sql(f"DROP TABLE {name}")
-    for path in (lines_path, sets_path, met_path, links_path, open_path, more_path):
+    for path in (lines_path, sets_path, met_path, links_path, open_path, more_path, again_path, roots_path):
         drop_shared(spark, path)
 
     own = split_lines(docs).select("doc_id", "text_key", "line_no", "key")
