@@ -4,9 +4,8 @@ DataFrame functions only.
 
 1. Lines are trimmed and lower-cased and equal ones are counted together (partial aggregates, so a line that a third
    of all documents share is one row per task before the shuffle).
-2. A line's shingles are the windows of ``window`` characters that start words (more exactly: that follow anything but
-   a Latin letter, so scripts without spaces have one at every character).  Of their hashes the signature has, for each
-   of ``hashes`` constants, the least hash XOR constant.
+2. A line's shingles are all its windows of ``window`` characters, one at every character; a shorter line is one
+   shingle.  Of their hashes the signature has, for each of ``hashes`` constants, the least hash XOR constant.
 3. A band is ``rows`` of the signature's numbers; each number is in about as many bands.  Lines that agree in all rows
    of a band are candidates: 0.96 of the pairs with similarity 0.8, 0.98 from 0.85 and all but a few from 0.9 on.
    Sets of up to three shingles are similar to nothing but equal sets, so those have one band, the whole set.
@@ -17,8 +16,7 @@ DataFrame functions only.
 4. Candidates are verified by the exact Jaccard similarity of their sets of shingles.
 5. Of each component the line that comes first, by doc_id and line number, is kept.
 
-Null and empty texts have no lines to remove; blank lines are never removed and have no class.  A window at a
-line's end is shorter.  Rows that share a doc_id are told apart by their texts; equal rows keep the
+Null and empty texts have no lines to remove; blank lines are never removed and have no class.  Rows that share a doc_id are told apart by their texts; equal rows keep the
 same lines.  A null doc_id comes before all others.  Keys of lines are 64-bit hashes.
 """
 
@@ -30,6 +28,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tessera.llm.shared import bucketed_table, components, drop_shared, shared_table
 
+#: Every window of a line; the whole line where it is shorter than a window.
+_ALL_WINDOWS = r"(?s)(?=(.{%d}|^.{1,%d}\z))"
 #: The line's start and each character but a letter (of the Latin script, lower case), and the window that follows;
 #: letters before such a character are skipped at once.
 _WINDOWS = r"(?:^|[a-z\x{df}-\x{24f}]*+[^a-z\x{df}-\x{24f}])(?=([^ ].{0,%d}))"
@@ -43,6 +43,12 @@ def split_lines(docs: DataFrame) -> DataFrame:
 
 
 def shingles(norm: Column, window: int) -> Column:
+    """All windows of the line; repeats are repeated."""
+    return F.regexp_extract_all(norm, F.lit(_ALL_WINDOWS % (window, window - 1)), F.lit(1))
+
+
+def word_windows(norm: Column, window: int) -> Column:
+    """Only the windows that start words: line classes don't rest on them."""
     return F.regexp_extract_all(norm, F.lit(_WINDOWS % (window - 1)), F.lit(1))
 
 
@@ -58,6 +64,11 @@ def band_rows(hashes: int, bands: int, rows: int, seed: int) -> list[list[int]]:
 
 
 def hash_set(norm: Column, window: int) -> Column:
+    """Of the windows that start words."""
+    return F.array_distinct(F.transform(word_windows(norm, window), lambda s: F.xxhash64(s)))
+
+
+def shingle_set(norm: Column, window: int) -> Column:
     return F.array_distinct(F.transform(shingles(norm, window), lambda s: F.xxhash64(s)))
 
 
@@ -115,7 +126,7 @@ def line_classes(docs: DataFrame, threshold: float = 0.8, window: int = 8, hashe
     least = [F.min(F.col("h").bitwiseXOR(F.lit(_signed(draw.getrandbits(64))))).alias(f"m{k}") for k in range(hashes)]
     lines, lines_name, lines_path = bucketed_table(distinct, "lines", "key")
     # Lines lie in buckets of their keys, so their signatures are made without a shuffle.
-    hashed = lines.select("key", F.explode(hash_set(F.col("norm"), window)).alias("h"))
+    hashed = lines.select("key", F.explode(shingle_set(F.col("norm"), window)).alias("h"))
     signed = hashed.groupBy("key").agg(*least, F.count(F.lit(1)).alias("size"), F.bit_xor("h").alias("whole"))
     band = F.array(*[F.xxhash64(F.lit(b), *[f"m{k}" for k in chosen]) for b, chosen in enumerate(band_rows(hashes, bands, rows, seed))])
     # Below this size one shingle more or less is too much.
@@ -123,7 +134,7 @@ def line_classes(docs: DataFrame, threshold: float = 0.8, window: int = 8, hashe
     in_band = Window.partitionBy("band")
     met, met_path = shared_table(member.withColumn("size", F.count(F.lit(1)).over(in_band)).where("size > 1"), "bands")
     # Only lines that share a band with another one need their sets.
-    found = lines.join(met.select("key").distinct(), "key", "left_semi").select("key", hash_set(F.col("norm"), window).alias("all"))
+    found = lines.join(met.select("key").distinct(), "key", "left_semi").select("key", shingle_set(F.col("norm"), window).alias("all"))
     sets, sets_name, sets_path = bucketed_table(found, "sets", "key")
     ordered = in_band.orderBy("key")
     partners = F.array(F.lag("key", 1).over(ordered), F.lag("key", 2).over(ordered), F.lag("key", 3).over(ordered), F.first("key").over(ordered))
