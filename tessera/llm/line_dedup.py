@@ -8,7 +8,7 @@ DataFrame functions only.
    shingle.  Of their hashes the signature has, for each of ``hashes`` constants, the least hash XOR constant.
 3. A band is ``rows`` of the signature's numbers; each number is in about as many bands.  Lines that agree in all rows
    of a band are candidates: 0.96 of the pairs with similarity 0.8, 0.98 from 0.85 and all but a few from 0.9 on.
-   Sets of up to three shingles are similar to nothing but equal sets, so those have one band, the whole set.
+   Sets of every size have all bands.
    Bands of up to four lines give all their pairs; in larger ones each line meets its three neighbours in order and
    the first.  After a first union-find, lines of different components that still share a band are joined by prefix
    filtering, which is exact.  So no pair of a band that could still join components is left out, and no group of
@@ -23,6 +23,7 @@ same lines.  A null doc_id comes before all others.  Keys of lines are 64-bit ha
 from __future__ import annotations
 
 import random
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -35,6 +36,10 @@ _ALL_WINDOWS = r"(?s)(?=(.{%d}|^.{1,%d}\z))"
 _WINDOWS = r"(?:^|[a-z\x{df}-\x{24f}]*+[^a-z\x{df}-\x{24f}])(?=([^ ].{0,%d}))"
 
 
+#: The bits of a hash that counts go by.
+_LOW = (1 << 18) - 1
+
+
 def split_lines(docs: DataFrame) -> DataFrame:
     """doc_id, text_key (hash of the text), line_no (from 0), line, key (of the normalized line; null if blank)."""
     lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
@@ -82,36 +87,38 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) whose sets (key, all) are similar enough."""
+def _verified(pairs: DataFrame, sets: DataFrame, threshold: float, of: Callable[[Column], Column] = lambda c: c) -> DataFrame:
+    """Pairs (a, b) whose sets, ``of`` what ``sets`` (key, all) holds, are similar enough."""
     both = pairs.join(sets.toDF("a", "all_a"), "a").join(sets.toDF("b", "all_b"), "b")
-    return both.where(jaccard(F.col("all_a"), F.col("all_b")) >= threshold).select("a", "b")
+    # A lambda's argument is made once.
+    sides = F.array(F.struct(of(F.col("all_a")).alias("x"), of(F.col("all_b")).alias("y")))
+    return both.where(F.exists(sides, lambda s: jaccard(s["x"], s["y"]) >= threshold)).select("a", "b")
 
 
 def _by_prefix(open_: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b) of lines of different components that can be similar, by positional prefix filtering.
 
-    ``open_``: (key, root); ``sets``: (key, all).  Shingles are ordered by rarity, counted among the lines in question.  Similar lines' first
-    common shingle lies in the first n - ceil(2t / (1 + t) n) + 1 shingles of the smaller set and the first
-    n - ceil(t n) + 1 of the larger one, and what follows it in both must suffice for the similarity.  Each pair is met
-    at its first common shingle only.
+    ``open_``: (key, root); ``sets``: (key, all).  Shingles are ordered by rarity, counted among the lines in question by
+    the last bits of their hashes, so the counts can go to all tasks and shingles stay where their lines are.  Similar
+    lines' first common shingle lies in the first n - ceil(2t / (1 + t) n) + 1 shingles of the smaller set and the first
+    n - ceil(t n) + 1 of the larger one, and what follows it in both must suffice for the similarity.
     """
-    each = sets.join(open_.select("key"), "key", "left_semi").select("key", F.explode("all").alias("h"))
-    counted = each.join(each.groupBy("h").agg(F.count(F.lit(1)).alias("n")), "h")
+    each = sets.join(open_.select("key"), "key", "left_semi").select("key", F.explode("all").alias("h")).withColumn("low", F.col("h").bitwiseAND(_LOW))
+    counted = each.join(F.broadcast(each.groupBy("low").agg(F.count(F.lit(1)).alias("n"))), "low")
     ordered = counted.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("n", "h"))).alias("all")).select("key", F.size("all").alias("size"), F.transform("all", lambda x: x["h"]).alias("all"))
     need = lambda share: F.ceil(F.col("size") * share - 1e-9)
     length = (F.col("size") - need(threshold) + 1).cast("int")
     head = open_.join(ordered, "key").select("key", "root", "size", F.slice("all", F.lit(1), length).alias("head"))
-    each = head.select("*", F.posexplode("head").alias("pos", "h")).withColumn("before", F.slice("head", F.lit(1), F.col("pos"))).drop("head")
+    each = head.select("*", F.posexplode("head").alias("pos", "h")).drop("head")
     # Of the lines with a shingle, those of the component that has most of them need not meet each other.
     main = each.groupBy("h", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("h").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
     each = each.join(main, "h").withColumn("odd", F.col("root") != F.col("main")).drop("main")
     small = each.where(F.col("pos") < F.col("size") - need(2 * threshold / (1 + threshold)) + 1)
-    large = each.select("h", *[F.col(c).alias(f"{c}_b") for c in ("key", "root", "size", "pos", "before", "odd")])
+    large = each.select("h", *[F.col(c).alias(f"{c}_b") for c in ("key", "root", "size", "pos", "odd")])
     order = (F.col("size") < F.col("size_b")) | ((F.col("size") == F.col("size_b")) & (F.col("key") < F.col("key_b")))
     most = F.least(F.col("size") - F.col("pos"), F.col("size_b") - F.col("pos_b"))
     enough = (F.col("size") >= threshold * F.col("size_b") - 1e-9) & (most >= (F.col("size") + F.col("size_b")) * (threshold / (1 + threshold)) - 1e-9)
-    met = order & enough & (F.col("root") != F.col("root_b")) & ~F.arrays_overlap("before", "before_b")
+    met = order & enough & (F.col("root") != F.col("root_b"))
     pairs = small.where("odd").join(large, "h").where(met).unionByName(small.where("not odd").join(large.where("odd_b"), "h").where(met))
     return pairs.select(F.least("key", "key_b").alias("a"), F.greatest("key", "key_b").alias("b")).distinct()
 
@@ -126,28 +133,27 @@ def line_classes(docs: DataFrame, threshold: float = 0.8, window: int = 8, hashe
     least = [F.min(F.col("h").bitwiseXOR(F.lit(_signed(draw.getrandbits(64))))).alias(f"m{k}") for k in range(hashes)]
     lines, lines_name, lines_path = bucketed_table(distinct, "lines", "key")
     # Lines lie in buckets of their keys, so their signatures are made without a shuffle.
-    hashed = lines.select("key", F.explode(shingle_set(F.col("norm"), window)).alias("h"))
-    signed = hashed.groupBy("key").agg(*least, F.count(F.lit(1)).alias("size"), F.bit_xor("h").alias("whole"))
+    # Repeats of a shingle don't change its minima.
+    hashed = lines.select("key", F.explode(shingles(F.col("norm"), window)).alias("s")).select("key", F.xxhash64("s").alias("h"))
+    signed = hashed.groupBy("key").agg(*least)
     band = F.array(*[F.xxhash64(F.lit(b), *[f"m{k}" for k in chosen]) for b, chosen in enumerate(band_rows(hashes, bands, rows, seed))])
-    # Below this size one shingle more or less is too much.
-    member = signed.select("key", F.explode(F.when(F.col("size") * (1 - threshold) < threshold, F.array(F.xxhash64(F.lit(-1), "size", "whole"))).otherwise(band)).alias("band"))
+    member = signed.select("key", F.explode(band).alias("band"))
     in_band = Window.partitionBy("band")
     met, met_path = shared_table(member.withColumn("size", F.count(F.lit(1)).over(in_band)).where("size > 1"), "bands")
-    # Only lines that share a band with another one need their sets.
-    found = lines.join(met.select("key").distinct(), "key", "left_semi").select("key", shingle_set(F.col("norm"), window).alias("all"))
-    sets, sets_name, sets_path = bucketed_table(found, "sets", "key")
+    # Sets are eight times as large as their lines: they are made where they are used, and lines are what moves.
+    norms, set_of = lines.select("key", F.col("norm").alias("all")), lambda c: shingle_set(c, window)
     ordered = in_band.orderBy("key")
     partners = F.array(F.lag("key", 1).over(ordered), F.lag("key", 2).over(ordered), F.lag("key", 3).over(ordered), F.first("key").over(ordered))
     pairs = met.select("key", partners.alias("p")).select(F.col("key").alias("b"), F.explode("p").alias("a")).where("a < b").distinct()
-    links, links_path = shared_table(_verified(pairs, sets, threshold), "pairs")
+    links, links_path = shared_table(_verified(pairs, norms, threshold, set_of), "pairs")
     roots, roots_path = shared_table(components(links), "roots")
 
     # What larger bands still leave open: pairs of different components.
     large = met.where("size > 4").join(roots, met.key == roots.node, "left").select("band", "key", F.coalesce("root", "key").alias("root"))
     mixed = large.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band")
     open_, open_path = shared_table(large.join(mixed, "band").select("key", "root").distinct(), "open")
-    across = _by_prefix(open_, sets, threshold)
-    more, more_path = shared_table(_verified(across.join(pairs, ["a", "b"], "left_anti"), sets, threshold), "pairs")
+    across = _by_prefix(open_, norms.select("key", set_of(F.col("all")).alias("all")), threshold)
+    more, more_path = shared_table(_verified(across.join(pairs, ["a", "b"], "left_anti"), norms, threshold, set_of), "pairs")
     # The second union-find is over components.
     root_of = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
     joined = components(more.join(root_of("a"), "a", "left").join(root_of("b"), "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")))
@@ -159,9 +165,8 @@ def line_classes(docs: DataFrame, threshold: float = 0.8, window: int = 8, hashe
     classed = lines.select("key", "first", "n").join(nodes, lines.key == nodes.node, "left").where("n > 1 or root is not null").select("key", "first", F.coalesce("root", "key").alias("root"))
     firsts = classed.groupBy("root").agg(F.min("first").alias("head"))
     heads, _ = shared_table(classed.join(firsts, "root").select("key", "head"), "heads")
-    for name in (lines_name, sets_name):
-        spark.sql(f"DROP TABLE {name}")
-    for path in (lines_path, sets_path, met_path, links_path, open_path, more_path, again_path, roots_path):
+    spark.sql(f"DROP TABLE {lines_name}")
+    for path in (lines_path, met_path, links_path, open_path, more_path, again_path, roots_path):
         drop_shared(spark, path)
 
     own = split_lines(docs).select("doc_id", "text_key", "line_no", "key")

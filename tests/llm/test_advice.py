@@ -46,3 +46,11 @@ def test_line_classes_by_all_shingles(spark):
     got = line_heads(spark, lines)
     wrong = sum(got[k] != find(k) for k in range(len(lines)))
     assert sum(find(k) != k for k in range(len(lines))) > 50 and wrong <= 0.03 * len(lines)
+
+
+def test_lines_of_four_and_five_shingles(spark):
+    """A set of four within one of five has similarity 0.8."""
+    r = random.Random(5)
+    longer = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(12)) for _ in range(100)]
+    got = line_heads(spark, [x for line in longer for x in (line, line[:11])])
+    assert sum(got[2 * k + 1] == 2 * k for k in range(100)) >= 88  # bands find 0.96 of them
