@@ -7,10 +7,26 @@ Whole terms accept at a word's end; stems accept any word that begins with them.
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 
 OUTSIDE, FOREIGN = 0, 1  # character classes: ends a word; a word character that no term has
-POINTS = 0x300  # code points with classes of their own; the others are FOREIGN letters
+_LETTERS: list[np.ndarray] = []
+
+
+def word_points() -> np.ndarray:
+    """Whether each code point, up to the last that is one, is a word character: letters, digits, and * @ $."""
+    if not _LETTERS:
+        points = np.array([c for c in range(sys.maxunicode + 1) if chr(c).isalnum() or chr(c) in "*@$"])
+        _LETTERS.append(np.zeros(points[-1] + 2, bool))
+        _LETTERS[0][points] = True
+    return _LETTERS[0]
+
+
+def _fold(c: str) -> str:
+    """Lower case; a sigma at a word's end is a sigma."""
+    return c.lower().replace("ς", "σ")
 
 
 class FuzzyLexicon:
@@ -18,13 +34,13 @@ class FuzzyLexicon:
 
     def __init__(self, terms: list[tuple[str, bool]], min_fuzzy: int = 5):
         self.terms, self.min_fuzzy = list(dict.fromkeys(terms)), min_fuzzy
-        self.letters = {c: k for k, c in enumerate(sorted({c for t, _ in self.terms for c in t}), FOREIGN + 1)}
+        self.letters = {c: k for k, c in enumerate(sorted({c for t, _ in self.terms for c in _fold(t)}), FOREIGN + 1)}
         self.child: list[dict[str, int]] = [{}]
         self.ends: list[list[int]] = [[]]
         self.fuzzy_below = [False]
         for k, (term, _) in enumerate(self.terms):
             node = 0
-            for c in term:
+            for c in _fold(term):
                 if c not in self.child[node]:
                     self.child[node][c] = len(self.child)
                     self.child.append({})
@@ -104,20 +120,21 @@ class FuzzyLexicon:
         self.settled = np.array([bool(s) and all(x[0] == "hit" for x in s) for s in order])
 
     def _classes(self) -> np.ndarray:
-        out = np.full(POINTS + 1, OUTSIDE, np.uint8)
-        out[POINTS] = FOREIGN
-        for c in range(POINTS):
-            ch = chr(c)
-            if ch.isalnum() or ch in "*@$":
-                low = ch.lower()
-                out[c] = self.letters.get(low, FOREIGN) if len(low) == 1 else FOREIGN
+        """Of the code points up to the last word character; the last entry stands for all beyond it."""
+        word = word_points()
+        out = np.full(len(word), OUTSIDE, np.uint8 if len(self.letters) < 250 else np.uint16)
+        out[word] = FOREIGN
+        # All code points whose lower case is a term's letter: few letters have more than two.
+        for c in np.flatnonzero(word).tolist():
+            if (k := self.letters.get(_fold(chr(c)))) is not None:
+                out[c] = k
         return out
 
     def find(self, points: np.ndarray) -> list[tuple[int, int, int]]:
         """(position, term, edits) of the words of ``points`` (code points) that match; all words in lock step."""
         if len(self.terms) == 0 or not len(points):
             return []
-        cls = np.append(self.classes[np.minimum(points, POINTS)], np.uint8(OUTSIDE))
+        cls = np.append(self.classes[np.minimum(points, len(self.classes) - 1)], self.classes.dtype.type(OUTSIDE))
         word = cls[:-1] != OUTSIDE
         start = np.flatnonzero(word & ~np.concatenate([[False], word[:-1]]))
         width, table = self.next.shape[1], self.next.ravel()

@@ -2,7 +2,9 @@
 
 import random
 
-from tessera.llm import line_dedup
+import numpy as np
+
+from tessera.llm import fuzzy_lexicon, line_dedup
 
 
 def line_heads(spark, lines, **options):
@@ -54,3 +56,13 @@ def test_lines_of_four_and_five_shingles(spark):
     longer = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(12)) for _ in range(100)]
     got = line_heads(spark, [x for line in longer for x in (line, line[:11])])
     assert sum(got[2 * k + 1] == 2 * k for k in range(100)) >= 88  # bands find 0.96 of them
+
+
+def test_terms_beside_typographic_signs_and_in_other_scripts():
+    terms = ["grumpod", "scum", "дурак", "λόγος", "混蛋"]
+    lex = fuzzy_lexicon.FuzzyLexicon([(t, False) for t in terms])
+    found = lambda text: [(lex.terms[t][0], e) for _, t, e in lex.find(np.frombuffer(text.encode("utf-32-le"), "<u4"))]
+    for t in terms:
+        for text in (t, t.upper(), f"“{t}”", f"‘{t}’", f"so—{t}—it", f"a {t}… b", f"–{t}", f"、{t}。"):
+            assert found(text) == [(t, 0)], text
+    assert found("дурок") == [("дурак", 1)] and found("xдуракy") == [] and found("U0001f642grumpod".replace("U0001f642", chr(0x1F642))) == [("grumpod", 0)]
