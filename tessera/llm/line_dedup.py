@@ -123,37 +123,26 @@ def _by_prefix(open_: DataFrame, sets: DataFrame, threshold: float) -> DataFrame
     return pairs.select(F.least("key", "key_b").alias("a"), F.greatest("key", "key_b").alias("b")).distinct()
 
 
-def line_classes(docs: DataFrame, threshold: float = 0.8, window: int = 8, hashes: int = 24, bands: int = 14, rows: int = 5, seed: int = 7) -> DataFrame:
-    """doc_id, line_no, text_key, class_doc, class_line (the line that is kept for it), kept: one row per line."""
-    spark = docs.sparkSession
-    place = F.struct("doc_id", "text_key", "line_no")
-    first = F.min(place)
-    distinct = split_lines(docs).where(F.col("key").isNotNull()).groupBy("key").agg(F.min("norm").alias("norm"), first.alias("first"), F.count(F.lit(1)).alias("n"))
-    draw = random.Random(seed)
-    least = [F.min(F.col("h").bitwiseXOR(F.lit(_signed(draw.getrandbits(64))))).alias(f"m{k}") for k in range(hashes)]
-    lines, lines_name, lines_path = bucketed_table(distinct, "lines", "key")
-    # Lines lie in buckets of their keys, so their signatures are made without a shuffle.
-    # Repeats of a shingle don't change its minima.
-    hashed = lines.select("key", F.explode(shingles(F.col("norm"), window)).alias("s")).select("key", F.xxhash64("s").alias("h"))
-    signed = hashed.groupBy("key").agg(*least)
-    band = F.array(*[F.xxhash64(F.lit(b), *[f"m{k}" for k in chosen]) for b, chosen in enumerate(band_rows(hashes, bands, rows, seed))])
-    member = signed.select("key", F.explode(band).alias("band"))
+def linked(member: DataFrame, sets_of: Callable[[DataFrame], DataFrame], threshold: float, of: Callable[[Column], Column] = lambda c: c) -> tuple[DataFrame, list[str]]:
+    """((node, root) of all keys with links, the tables it reads).
+
+    ``member``: (key, band); ``sets_of`` makes (key, all) for the keys of those that share a band, ``of`` sets of ``all``.
+    """
     in_band = Window.partitionBy("band")
     met, met_path = shared_table(member.withColumn("size", F.count(F.lit(1)).over(in_band)).where("size > 1"), "bands")
-    # Sets are eight times as large as their lines: they are made where they are used, and lines are what moves.
-    norms, set_of = lines.select("key", F.col("norm").alias("all")), lambda c: shingle_set(c, window)
+    sets = sets_of(met)
     ordered = in_band.orderBy("key")
     partners = F.array(F.lag("key", 1).over(ordered), F.lag("key", 2).over(ordered), F.lag("key", 3).over(ordered), F.first("key").over(ordered))
     pairs = met.select("key", partners.alias("p")).select(F.col("key").alias("b"), F.explode("p").alias("a")).where("a < b").distinct()
-    links, links_path = shared_table(_verified(pairs, norms, threshold, set_of), "pairs")
+    links, links_path = shared_table(_verified(pairs, sets, threshold, of), "pairs")
     roots, roots_path = shared_table(components(links), "roots")
 
     # What larger bands still leave open: pairs of different components.
     large = met.where("size > 4").join(roots, met.key == roots.node, "left").select("band", "key", F.coalesce("root", "key").alias("root"))
     mixed = large.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band")
     open_, open_path = shared_table(large.join(mixed, "band").select("key", "root").distinct(), "open")
-    across = _by_prefix(open_, norms.select("key", set_of(F.col("all")).alias("all")), threshold)
-    more, more_path = shared_table(_verified(across.join(pairs, ["a", "b"], "left_anti"), norms, threshold, set_of), "pairs")
+    across = _by_prefix(open_, sets.select("key", of(F.col("all")).alias("all")), threshold)
+    more, more_path = shared_table(_verified(across.join(pairs, ["a", "b"], "left_anti"), sets, threshold, of), "pairs")
     # The second union-find is over components.
     root_of = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
     joined = components(more.join(root_of("a"), "a", "left").join(root_of("b"), "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")))
@@ -162,11 +151,31 @@ def line_classes(docs: DataFrame, threshold: float = 0.8, window: int = 8, hashe
     nodes = roots.union(heads_of(roots)).union(again.select("node", F.col("node").alias("root"))).union(heads_of(again)).distinct()
     final = again.select(F.col("node").alias("root"), F.col("root").alias("top"))
     nodes = nodes.join(final, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    return nodes, [met_path, links_path, open_path, more_path, again_path, roots_path]
+
+
+def line_classes(docs: DataFrame, threshold: float = 0.8, window: int = 8, hashes: int = 24, bands: int = 14, rows: int = 5, seed: int = 7) -> DataFrame:
+    """doc_id, line_no, text_key, class_doc, class_line (the line that is kept for it), kept: one row per line."""
+    spark = docs.sparkSession
+    place = F.struct("doc_id", "text_key", "line_no")
+    first = F.min(place)
+    distinct = split_lines(docs).where(F.col("key").isNotNull()).groupBy("key").agg(F.min("norm").alias("norm"), first.alias("first"), F.count(F.lit(1)).alias("n"))
+    draw = random.Random(seed)
+    least = [F.min(F.col("h").bitwiseXOR(F.lit(_signed(draw.getrandbits(64))))).alias(f"m{k}") for k in range(hashes)]
+    lines, lines_name, lines_path = bucketed_table(distinct, "lines", "key")
+    # Lines lie in buckets of their keys, so their signatures are made without a shuffle.
+    # Repeats of a shingle don't change its minima.
+    hashed = lines.select("key", F.explode(shingles(F.col("norm"), window)).alias("s")).select("key", F.xxhash64("s").alias("h"))
+    signed = hashed.groupBy("key").agg(*least)
+    band = F.array(*[F.xxhash64(F.lit(b), *[f"m{k}" for k in chosen]) for b, chosen in enumerate(band_rows(hashes, bands, rows, seed))])
+    member = signed.select("key", F.explode(band).alias("band"))
+    # Sets are eight times as large as their lines: they are made where they are used, and lines are what moves.
+    nodes, paths = linked(member, lambda met: lines.select("key", F.col("norm").alias("all")), threshold, lambda c: shingle_set(c, window))
     classed = lines.select("key", "first", "n").join(nodes, lines.key == nodes.node, "left").where("n > 1 or root is not null").select("key", "first", F.coalesce("root", "key").alias("root"))
     firsts = classed.groupBy("root").agg(F.min("first").alias("head"))
     heads, _ = shared_table(classed.join(firsts, "root").select("key", "head"), "heads")
     spark.sql(f"DROP TABLE {lines_name}")
-    for path in (lines_path, met_path, links_path, open_path, more_path, again_path, roots_path):
+    for path in (lines_path, *paths):
         drop_shared(spark, path)
 
     own = split_lines(docs).select("doc_id", "text_key", "line_no", "key")

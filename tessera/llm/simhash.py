@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tessera.llm.docmap import map_documents, utf8_list
+from tessera.llm.near_copies import near_copies
 from tessera.llm.shared import bits_apart, components, shared_table
 from tessera.llm.simhash_bits import fingerprint
 
@@ -75,10 +76,11 @@ def near_duplicates(docs: DataFrame, most: int = 3) -> DataFrame:
     return fps.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, most: int = 3) -> DataFrame:
-    """The documents without all but one of each component: the one whose doc_id names it.
+def keep_one(docs: DataFrame, width: int = 5, threshold: float = 0.8) -> DataFrame:
+    """The documents without all but one of each component of near copies: the one whose doc_id names it.
 
+    Near copies share ``threshold`` of their ``width``-word shingles; ``near_duplicates`` keeps the query's contract.
     Rows that repeat a kept doc_id stay; rows with a null doc_id stay.
     """
-    gone = near_duplicates(docs, most).where("doc_id <> component_id").select("doc_id").distinct()
+    gone = near_copies(docs, width, threshold).where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)

@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from tessera.llm import fuzzy_lexicon, line_dedup
+from tessera.llm import fuzzy_lexicon, line_dedup, simhash
 
 
 def line_heads(spark, lines, **options):
@@ -66,3 +66,21 @@ def test_terms_beside_typographic_signs_and_in_other_scripts():
         for text in (t, t.upper(), f"“{t}”", f"‘{t}’", f"so—{t}—it", f"a {t}… b", f"–{t}", f"、{t}。"):
             assert found(text) == [(t, 0)], text
     assert found("дурок") == [("дурак", 1)] and found("xдуракy") == [] and found("U0001f642grumpod".replace("U0001f642", chr(0x1F642))) == [("grumpod", 0)]
+
+
+def test_near_duplicate_stage_takes_five_words_and_similarity(spark):
+    """Pairs of five-word Jaccard 0.8 and more lose one document, pairs below keep both."""
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(6))
+    texts, want = [], set()
+    for k in range(80):
+        words = [word() for _ in range(r.choice([60, 150, 400]))]
+        other = [*words]
+        for _ in range(r.choice([1, 2, 4, 8])):
+            other[r.randrange(len(other))] = word()
+        texts += [" ".join(words), " ".join(other)]
+        a, b = ({tuple(w[j : j + 5]) for j in range(len(w) - 4)} for w in (words, other))
+        want |= {2 * k} if len(a & b) >= 0.8 * len(a | b) else {2 * k, 2 * k + 1}
+    df = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    assert 90 < len(want) < 150
+    assert {x.doc_id for x in simhash.keep_one(df).collect()} == want
