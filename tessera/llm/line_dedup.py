@@ -2,22 +2,26 @@
 
 DataFrame functions only.
 
-1. Lines are trimmed and lower-cased and equal ones are counted together (partial aggregates, so a line that a third
-   of all documents share is one row per task before the shuffle).
+1. Lines are trimmed of white space and lower-cased and equal ones are counted together (partial aggregates, so a line
+   that a third of all documents share is one row per task before the shuffle).
 2. A line's shingles are all its windows of ``window`` characters, one at every character; a shorter line is one
-   shingle.  Of their hashes the signature has, for each of ``hashes`` constants, the least hash XOR constant.
+   shingle.  Windows are cut from the line's code points in four bytes each, where a window's place is known.  Of their
+   hashes the signature has, for each of ``hashes`` rotations and constants, the least rotated hash XOR constant.
 3. A band is ``rows`` of the signature's numbers; each number is in about as many bands.  Lines that agree in all rows
-   of a band are candidates: 0.96 of the pairs with similarity 0.8, 0.98 from 0.85 and all but a few from 0.9 on.
-   Sets of every size have all bands.
+   of a band are candidates: about 0.98 of the pairs with similarity 0.8, all but a few from 0.85 on.  Sets of every
+   size have all bands.
    Bands of up to four lines give all their pairs; in larger ones each line meets its three neighbours in order and
-   the first.  After a first union-find, lines of different components that still share a band are joined by prefix
-   filtering, which is exact.  So no pair of a band that could still join components is left out, and no group of
-   similar lines is expanded into all its pairs.
+   the first.  Bands that hold many rows are dealt over salts, whose firsts meet the band's first.  After a first
+   union-find, lines of different components that still share a band are joined by prefix filtering, which is exact.
+   So no pair of a band that could still join components is left out, and no group of similar lines is expanded into
+   all its pairs.
 4. Candidates are verified by the exact Jaccard similarity of their sets of shingles.
-5. Of each component the line that comes first, by doc_id and line number, is kept.
+5. Of each component the line that comes first, by doc_id and line number, is kept; ties of repeated rows keep all.
 
-Null and empty texts have no lines to remove; blank lines are never removed and have no class.  Rows that share a doc_id are told apart by their texts; equal rows keep the
-same lines.  A null doc_id comes before all others.  Keys of lines are 64-bit hashes.
+Null and empty texts have no lines to remove; blank lines (white space only) are never removed and have no class.
+Rows that share a doc_id are told apart by their texts; equal rows keep the same lines.  A null doc_id comes before
+all others.  Lines of any length are read whole.  Other columns, whatever their names, are not looked at.  Keys of
+lines are 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -27,34 +31,53 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tessera.llm.shared import bucketed_table, components, drop_shared, shared_table
-
-#: Every window of a line; the whole line where it is shorter than a window.
-_ALL_WINDOWS = r"(?s)(?=(.{%d}|^.{1,%d}\z))"
-#: The line's start and each character but a letter (of the Latin script, lower case), and the window that follows;
-#: letters before such a character are skipped at once.
-_WINDOWS = r"(?:^|[a-z\x{df}-\x{24f}]*+[^a-z\x{df}-\x{24f}])(?=([^ ].{0,%d}))"
-
+from tessera.llm.shared import Scratch, components, shared_table
 
 #: The bits of a hash that counts go by.
 _LOW = (1 << 18) - 1
+#: Bands are counted by so many of their hashes, to find those that hold many rows.
+SLOTS = 1 << 16
+#: White space that ends of lines lose.
+_WHITE = " \t\r\x0b\x0c"
+
+
+def _norm(line: Column) -> Column:
+    return F.lower(F.btrim(line, F.lit(_WHITE)))
 
 
 def split_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key (hash of the text), line_no (from 0), line, key (of the normalized line; null if blank)."""
+    """doc_id, text_key (hash of the text), line_no (from 0), line, norm, key (of the normalized line; null if blank)."""
     lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    norm = F.lower(F.trim("line"))
-    return lines.withColumn("norm", norm).withColumn("key", F.when(F.col("norm") != "", F.xxhash64("norm")))
+    return lines.withColumn("norm", _norm(F.col("line"))).withColumn("key", F.when(F.col("norm") != "", F.xxhash64("norm")))
+
+
+def _points(norm: Column) -> Column:
+    """The code points, four bytes each."""
+    return F.encode(norm, "UTF-32")
 
 
-def shingles(norm: Column, window: int) -> Column:
-    """All windows of the line; repeats are repeated."""
-    return F.regexp_extract_all(norm, F.lit(_ALL_WINDOWS % (window, window - 1)), F.lit(1))
+def _ends(points: Column, window: int) -> Column:
+    """1 to the number of windows."""
+    return F.sequence(F.lit(1), F.greatest(F.octet_length(points) / 4 - (window - 1), F.lit(1)).cast("int"))
+
+
+def _window_hash(points: Column, k: Column, window: int) -> Column:
+    return F.xxhash64(F.substring(points, k * 4 - 3, F.lit(4 * window)))
+
+
+def shingle_set(norm: Column, window: int) -> Column:
+    """Hashes of all windows of the line, without repeats."""
+    # A lambda's argument is made once.
+    made = F.transform(F.array(_points(norm)), lambda p: F.array_distinct(F.transform(_ends(p, window), lambda k: _window_hash(p, k, window))))
+    return made[0]
 
 
-def word_windows(norm: Column, window: int) -> Column:
-    """Only the windows that start words: line classes don't rest on them."""
-    return F.regexp_extract_all(norm, F.lit(_WINDOWS % (window - 1)), F.lit(1))
+def signatures(lines: DataFrame, window: int, hashes: int, seed: int) -> DataFrame:
+    """key, m0, m1, ...: the minima; repeats of a shingle don't change them."""
+    draw = random.Random(seed)
+    each = lines.select("key", _points(F.col("norm")).alias("p")).select("key", "p", F.explode(_ends(F.col("p"), window)).alias("k")).select("key", _window_hash(F.col("p"), F.col("k"), window).alias("h"))
+    turned = lambda k: F.col("h") if not k else F.shiftleft("h", k).bitwiseOR(F.shiftrightunsigned("h", 64 - k))
+    return each.groupBy("key").agg(*[F.min(turned(2 * k % 64).bitwiseXOR(F.lit(_signed(draw.getrandbits(64))))).alias(f"m{k}") for k in range(hashes)])
 
 
 def band_rows(hashes: int, bands: int, rows: int, seed: int) -> list[list[int]]:
@@ -68,15 +91,6 @@ def band_rows(hashes: int, bands: int, rows: int, seed: int) -> list[list[int]]:
     return out
 
 
-def hash_set(norm: Column, window: int) -> Column:
-    """Of the windows that start words."""
-    return F.array_distinct(F.transform(word_windows(norm, window), lambda s: F.xxhash64(s)))
-
-
-def shingle_set(norm: Column, window: int) -> Column:
-    return F.array_distinct(F.transform(shingles(norm, window), lambda s: F.xxhash64(s)))
-
-
 def jaccard(a: Column, b: Column) -> Column:
     """Of two arrays without repeats."""
     common = F.size(F.array_intersect(a, b))
@@ -87,12 +101,10 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, threshold: float, of: Callable[[Column], Column] = lambda c: c) -> DataFrame:
-    """Pairs (a, b) whose sets, ``of`` what ``sets`` (key, all) holds, are similar enough."""
+def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) whose sets (key, all) are similar enough."""
     both = pairs.join(sets.toDF("a", "all_a"), "a").join(sets.toDF("b", "all_b"), "b")
-    # A lambda's argument is made once.
-    sides = F.array(F.struct(of(F.col("all_a")).alias("x"), of(F.col("all_b")).alias("y")))
-    return both.where(F.exists(sides, lambda s: jaccard(s["x"], s["y"]) >= threshold)).select("a", "b")
+    return both.where(jaccard(F.col("all_a"), F.col("all_b")) >= threshold).select("a", "b")
 
 
 def _by_prefix(open_: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -123,60 +135,69 @@ def _by_prefix(open_: DataFrame, sets: DataFrame, threshold: float) -> DataFrame
     return pairs.select(F.least("key", "key_b").alias("a"), F.greatest("key", "key_b").alias("b")).distinct()
 
 
-def linked(member: DataFrame, sets_of: Callable[[DataFrame], DataFrame], threshold: float, of: Callable[[Column], Column] = lambda c: c) -> tuple[DataFrame, list[str]]:
-    """((node, root) of all keys with links, the tables it reads).
+def _salted(member: DataFrame, total: int, least: int = 500) -> DataFrame:
+    """``member`` (key, band) with ``salt``: null, or for bands that may hold many rows one of so many as they need.
+
+    Rows are counted by slots of bands; a slot over three times the mean, and ``least`` more, is hot.  At most ``SLOTS``
+    counts come to the driver, and at most as many go to the tasks.
+    """
+    slot = F.pmod("band", F.lit(SLOTS)).cast("int")
+    most = 3 * total // SLOTS + least
+    hot = [(r.slot, -(-r.n // most)) for r in member.groupBy(slot.alias("slot")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).collect()]
+    if not hot:
+        return member.withColumn("salt", F.lit(None).cast("long"))
+    parts = F.broadcast(member.sparkSession.createDataFrame(hot, "slot int, parts long"))
+    return member.withColumn("slot", slot).join(parts, "slot", "left").select("key", "band", F.pmod(F.xxhash64("key"), F.col("parts")).alias("salt"))
+
+
+def linked(banded: DataFrame, sets_of: Callable[[DataFrame], DataFrame], threshold: float, scratch: Scratch) -> DataFrame:
+    """(node, root) of all keys with links.
 
-    ``member``: (key, band); ``sets_of`` makes (key, all) for the keys of those that share a band, ``of`` sets of ``all``.
+    ``banded``: (key, bands), a stored table; ``sets_of`` makes (key, all), sets of shingles, for some keys.  Tables go
+    to ``scratch``, among them those that the result reads.
     """
-    in_band = Window.partitionBy("band")
-    met, met_path = shared_table(member.withColumn("size", F.count(F.lit(1)).over(in_band)).where("size > 1"), "bands")
-    sets = sets_of(met)
-    ordered = in_band.orderBy("key")
-    partners = F.array(F.lag("key", 1).over(ordered), F.lag("key", 2).over(ordered), F.lag("key", 3).over(ordered), F.first("key").over(ordered))
-    pairs = met.select("key", partners.alias("p")).select(F.col("key").alias("b"), F.explode("p").alias("a")).where("a < b").distinct()
-    links, links_path = shared_table(_verified(pairs, sets, threshold, of), "pairs")
-    roots, roots_path = shared_table(components(links), "roots")
+    total = banded.agg(F.sum(F.size("bands"))).first()[0] or 0
+    group = Window.partitionBy("band", "salt").orderBy("key")
+    before = [F.lag("key", k).over(group).alias(f"p{k}") for k in (1, 2, 3)]
+    placed = _salted(banded.select("key", F.explode("bands").alias("band")), total).select("*", *before, F.first("key").over(group).alias("head"), F.lead("key", 1).over(group).alias("next"), F.row_number().over(group).alias("place"))
+    met = scratch.table(placed.where("p1 is not null or next is not null or salt is not null").drop("next"), "bands")
+    heads = met.where("salt is not null").select("band", "head").distinct()
+    firsts = heads.groupBy("band").agg(F.min("head").alias("a"))
+    across = heads.join(firsts, "band").select(F.col("head").alias("b"), "a")
+    partners = met.select(F.col("key").alias("b"), F.explode(F.array("p1", "p2", "p3", "head")).alias("a"))
+    pairs = scratch.table(partners.unionByName(across).where("a < b").distinct(), "pairs")
+    sets = scratch.table(sets_of(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()), "sets")
+    links = scratch.table(_verified(pairs, sets, threshold), "links")
+    roots = scratch.table(components(links, scratch=scratch), "roots")
 
     # What larger bands still leave open: pairs of different components.
-    large = met.where("size > 4").join(roots, met.key == roots.node, "left").select("band", "key", F.coalesce("root", "key").alias("root"))
-    mixed = large.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band")
-    open_, open_path = shared_table(large.join(mixed, "band").select("key", "root").distinct(), "open")
-    across = _by_prefix(open_, sets.select("key", of(F.col("all")).alias("all")), threshold)
-    more, more_path = shared_table(_verified(across.join(pairs, ["a", "b"], "left_anti"), sets, threshold, of), "pairs")
+    large = met.join(roots, met.key == roots.node, "left").select("band", "key", "salt", "place", F.coalesce("root", "key").alias("root"))
+    mixed = large.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("place").alias("place"), F.max("salt").alias("salt")).where("lo < hi and (place > 4 or salt is not null)").select("band")
+    open_ = scratch.table(large.join(mixed, "band").select("key", "root").distinct(), "open")
+    left = _by_prefix(open_, sets, threshold).join(pairs, ["a", "b"], "left_anti")
+    more = scratch.table(_verified(left, sets, threshold), "links")
     # The second union-find is over components.
     root_of = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
-    joined = components(more.join(root_of("a"), "a", "left").join(root_of("b"), "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")))
-    again, again_path = shared_table(joined, "roots")
+    joined = components(more.join(root_of("a"), "a", "left").join(root_of("b"), "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")), scratch=scratch)
     heads_of = lambda t: t.select(F.col("root").alias("node"), "root")
-    nodes = roots.union(heads_of(roots)).union(again.select("node", F.col("node").alias("root"))).union(heads_of(again)).distinct()
-    final = again.select(F.col("node").alias("root"), F.col("root").alias("top"))
-    nodes = nodes.join(final, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
-    return nodes, [met_path, links_path, open_path, more_path, again_path, roots_path]
+    nodes = roots.union(heads_of(roots)).union(joined.select("node", F.col("node").alias("root"))).union(heads_of(joined)).distinct()
+    final = joined.select(F.col("node").alias("root"), F.col("root").alias("top"))
+    return nodes.join(final, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
 
 
-def line_classes(docs: DataFrame, threshold: float = 0.8, window: int = 8, hashes: int = 24, bands: int = 14, rows: int = 5, seed: int = 7) -> DataFrame:
+def line_classes(docs: DataFrame, threshold: float = 0.8, window: int = 8, hashes: int = 40, bands: int = 10, rows: int = 5, seed: int = 7) -> DataFrame:
     """doc_id, line_no, text_key, class_doc, class_line (the line that is kept for it), kept: one row per line."""
-    spark = docs.sparkSession
     place = F.struct("doc_id", "text_key", "line_no")
-    first = F.min(place)
-    distinct = split_lines(docs).where(F.col("key").isNotNull()).groupBy("key").agg(F.min("norm").alias("norm"), first.alias("first"), F.count(F.lit(1)).alias("n"))
-    draw = random.Random(seed)
-    least = [F.min(F.col("h").bitwiseXOR(F.lit(_signed(draw.getrandbits(64))))).alias(f"m{k}") for k in range(hashes)]
-    lines, lines_name, lines_path = bucketed_table(distinct, "lines", "key")
-    # Lines lie in buckets of their keys, so their signatures are made without a shuffle.
-    # Repeats of a shingle don't change its minima.
-    hashed = lines.select("key", F.explode(shingles(F.col("norm"), window)).alias("s")).select("key", F.xxhash64("s").alias("h"))
-    signed = hashed.groupBy("key").agg(*least)
-    band = F.array(*[F.xxhash64(F.lit(b), *[f"m{k}" for k in chosen]) for b, chosen in enumerate(band_rows(hashes, bands, rows, seed))])
-    member = signed.select("key", F.explode(band).alias("band"))
-    # Sets are eight times as large as their lines: they are made where they are used, and lines are what moves.
-    nodes, paths = linked(member, lambda met: lines.select("key", F.col("norm").alias("all")), threshold, lambda c: shingle_set(c, window))
-    classed = lines.select("key", "first", "n").join(nodes, lines.key == nodes.node, "left").where("n > 1 or root is not null").select("key", "first", F.coalesce("root", "key").alias("root"))
-    firsts = classed.groupBy("root").agg(F.min("first").alias("head"))
-    heads, _ = shared_table(classed.join(firsts, "root").select("key", "head"), "heads")
-    spark.sql(f"DROP TABLE {lines_name}")
-    for path in (lines_path, *paths):
-        drop_shared(spark, path)
+    distinct = split_lines(docs).where(F.col("key").isNotNull()).groupBy("key").agg(F.min("norm").alias("norm"), F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
+    with Scratch(docs.sparkSession) as scratch:
+        # Lines lie in buckets of their keys, so their signatures are made without a shuffle.
+        lines = scratch.bucketed(distinct, "lines", "key")
+        band = F.array(*[F.xxhash64(F.lit(b), *[f"m{k}" for k in chosen]) for b, chosen in enumerate(band_rows(hashes, bands, rows, seed))])
+        banded = scratch.table(signatures(lines, window, hashes, seed).select("key", band.alias("bands")), "signatures")
+        nodes = linked(banded, lambda keys: lines.join(keys, "key", "left_semi").select("key", shingle_set(F.col("norm"), window).alias("all")), threshold, scratch)
+        classed = lines.select("key", "first", "n").join(nodes, lines.key == nodes.node, "left").where("n > 1 or root is not null").select("key", "first", F.coalesce("root", "key").alias("root"))
+        firsts = classed.groupBy("root").agg(F.min("first").alias("head"))
+        heads, _ = shared_table(classed.join(firsts, "root").select("key", "head"), "heads")
 
     own = split_lines(docs).select("doc_id", "text_key", "line_no", "key")
     return own.join(heads, "key", "left").select(
@@ -198,6 +219,6 @@ def without_repeats(docs: DataFrame, **options) -> DataFrame:
     same = docs["doc_id"].cast("long").eqNullSafe(gone["_t_id"]) & (F.xxhash64(docs["text"]) == gone["_t_key"])
     joined = docs.join(gone, same, "left")
     kept = F.filter(F.split("text", "\n"), lambda line, k: ~F.array_contains("_t_gone", k))
-    still = F.col("_t_gone").isNull() | F.exists(kept, lambda line: F.trim(line) != "")
+    still = F.col("_t_gone").isNull() | F.exists(kept, lambda line: _norm(line) != "")
     text = F.when(F.col("_t_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     return joined.where(still).withColumn("text", text).select(docs.columns)

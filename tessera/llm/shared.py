@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -11,9 +12,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a temporary folder only where it is unset, as in tests."""
+    """The cluster's ``spark.checkpoint.dir``.
+
+    Where it is unset, a temporary folder, but only for a local master, as in tests; a cluster has to name one.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the whole cluster shares")
         folder = tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -21,47 +27,86 @@ def shared_folder(spark: SparkSession) -> str:
 
 #: Makes Spark delete a query's shuffle files when the query ends, not when the driver happens to collect its garbage.
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_TIDYING, _LOCK = {"users": 0, "before": None}, threading.Lock()
 
 
 @contextmanager
 def _tidy(spark: SparkSession) -> Iterator[None]:
-    before = spark.conf.get(_CLEAN, None)
-    spark.conf.set(_CLEAN, "true")
+    """The setting holds while any thread writes a table, and is then what it was."""
+    with _LOCK:
+        if not _TIDYING["users"]:
+            _TIDYING["before"] = spark.conf.get(_CLEAN, None)
+            spark.conf.set(_CLEAN, "true")
+        _TIDYING["users"] += 1
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(_CLEAN)
-        else:
-            spark.conf.set(_CLEAN, before)
+        with _LOCK:
+            _TIDYING["users"] -= 1
+            if not _TIDYING["users"]:
+                if _TIDYING["before"] is None:
+                    spark.conf.unset(_CLEAN)
+                else:
+                    spark.conf.set(_CLEAN, _TIDYING["before"])
+
+
+def _file_system(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
 
 
 def shared_table(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """Write ``df`` to the shared folder and read it again: its lineage ends, and lost executors lose nothing."""
+    """Write ``df`` to the shared folder and read it again: its lineage ends, and lost executors lose nothing.
+
+    What isn't dropped before goes when the driver's JVM ends.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tables/{name}-{uuid.uuid4().hex}"
     with _tidy(spark):
         df.write.parquet(path)
+    files, where = _file_system(spark, path)
+    files.deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path), path
 
 
-def bucketed_table(df: DataFrame, name: str, key: str) -> tuple[DataFrame, str, str]:
-    """(table, its name, its path): in the shared folder, in buckets of ``key``, so joins and groups on it don't move it."""
-    spark = df.sparkSession
-    name = f"tessera_{name}_{uuid.uuid4().hex}"
-    path = f"{shared_folder(spark)}/tables/{name}"
-    with _tidy(spark):
-        df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).option("path", path).saveAsTable(name)
-    return spark.table(name), name, path
+class Scratch:
+    """Tables of one computation, dropped together when its ``with`` block ends, by an error or not."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths, self.names = spark, [], []
+
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        out, path = shared_table(df, name)
+        self.paths.append(path)
+        return out
+
+    def bucketed(self, df: DataFrame, name: str, key: str) -> DataFrame:
+        """In buckets of ``key``, so that joins and groups on it don't move it."""
+        name = f"tessera_{name}_{uuid.uuid4().hex}"
+        path = f"{shared_folder(self.spark)}/tables/{name}"
+        self.paths.append(path)
+        self.names.append(name)
+        with _tidy(self.spark):
+            df.write.bucketBy(int(self.spark.conf.get("spark.sql.shuffle.partitions")), key).option("path", path).saveAsTable(name)
+        return self.spark.table(name)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *error: object) -> None:
+        for name in self.names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        for path in self.paths:
+            drop_shared(self.spark, path)
 
 
 def drop_shared(spark: SparkSession, path: str) -> None:
     """Delete a table that ``shared_table`` wrote and nothing reads any more."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    files, where = _file_system(spark, path)
+    files.delete(where, True)
 
 
-def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, max_rounds: int = 60, scratch: Scratch | None = None) -> DataFrame:
     """Connected components of undirected links (a, b): rows (node, root), root the smallest node, for all but roots.
 
     Distributed union-find by alternating stars: each round hangs the larger neighbours of a node, then the
@@ -89,6 +134,8 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         mark = now
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    if scratch is not None:
+        scratch.paths.append(path)
     return stars.select(F.col("b").alias("node"), F.col("a").alias("root"))
 
 

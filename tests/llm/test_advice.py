@@ -84,3 +84,72 @@ def test_near_duplicate_stage_takes_five_words_and_similarity(spark):
     df = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
     assert 90 < len(want) < 150
     assert {x.doc_id for x in simhash.keep_one(df).collect()} == want
+
+
+def test_headings_that_begin_alike_stay(spark):
+    lines = ["Internationalization", "Internationally", "Government", "Governmental", "Donaudampfschifffahrt", "Donaudampflokomotive", "chapter one: internationalization", "chapter one: internationally"]
+    df = spark.createDataFrame([*enumerate(lines)], "doc_id long, text string")
+    assert line_dedup.without_repeats(df).count() == len(lines)
+
+
+def test_white_space_at_ends_of_lines(spark):
+    df = spark.createDataFrame([(1, "one line that is here\r\nsecond"), (2, "\tone line that is here  \n \t\r")], "doc_id long, text string")
+    got = {(r.doc_id, r.line_no): (r.class_doc, r.kept) for r in line_dedup.line_classes(df).collect()}
+    assert got == {(1, 0): (1, True), (1, 1): (1, True), (2, 0): (1, False), (2, 1): (None, True)}
+
+
+def test_recall_of_lines_by_similarity(spark):
+    """Share of similar pairs that get linked: found / all, by similarity, in sets of many sizes."""
+    r = random.Random(21)
+    pairs = []
+    for _ in range(900):
+        n = r.choice([14, 30, 60, 150, 400])
+        line = "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+        # a cut at an end takes one window a character
+        pairs.append((line, line[: n - r.randint(1, max(1, (n - 7) // 5))]))
+    heads = line_heads(spark, [x for p in pairs for x in p])
+    found = {"0.80": [], "0.85": [], "0.90": []}
+    for k, (a, b) in enumerate(pairs):
+        x, y = all_windows(a), all_windows(b)
+        j = len(x & y) / len(x | y)
+        if j >= 0.8:
+            found["0.90" if j >= 0.9 else "0.85" if j >= 0.85 else "0.80"].append(heads[2 * k + 1] == 2 * k)
+    assert all(len(f) > 50 for f in found.values())
+    shares = {j: sum(f) / len(f) for j, f in found.items()}
+    assert shares["0.80"] >= 0.93 and shares["0.85"] >= 0.97 and shares["0.90"] >= 0.99, shares
+
+
+def test_hot_bands_are_salted(spark):
+    """Near copies that share all bands, in more rows than a slot may hold: still one class, by few candidate pairs."""
+    words = " ".join(f"word{k}" for k in range(150))
+    lines = [f"{words} {k}" for k in range(1500)]
+    assert set(line_heads(spark, lines).values()) == {0}
+    member = spark.createDataFrame([(k, 7) for k in range(5000)], "key long, band long")
+    sizes = [x["count"] for x in line_dedup._salted(member, 5000).groupBy("salt").count().collect()]
+    assert len(sizes) == 10 and max(sizes) < 650
+
+
+def test_repeated_ids_in_the_near_duplicate_stage(spark):
+    unique, copy = " ".join(f"u{k}" for k in range(60)), " ".join(f"c{k}" for k in range(60))
+    df = spark.createDataFrame([(5, unique), (5, copy), (3, copy)], "doc_id long, text string")
+    assert {tuple(x) for x in simhash.keep_one(df).collect()} == {(5, unique), (3, copy)}
+
+
+def test_wildcards_that_many_share(spark):
+    """Thousands of fingerprints with one half: candidates stay few, and pairs are those of brute force."""
+    r = random.Random(4)
+    half = r.getrandbits(32)
+    fps = [half << 32 | r.getrandbits(32) for _ in range(3000)] + [(half ^ 1 << 5) << 32 | r.getrandbits(32) for _ in range(3000)]
+    fps += [f ^ (1 << r.randrange(64)) ^ (1 << r.randrange(64)) for f in fps[:40]]
+    fps = [*dict.fromkeys(fps)]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    df = spark.createDataFrame([(signed(x),) for x in fps], "fp long")
+    got = {frozenset((p.a, p.b)) for p in simhash.close_pairs(df).collect()}
+    points = np.array(fps, np.uint64)
+    want = set()
+    for k in range(len(fps)):
+        for j in np.flatnonzero(np.bitwise_count(points[:k] ^ points[k]) <= 3):
+            want.add(frozenset((signed(fps[k]), signed(fps[j]))))
+    assert got == want and len(got) >= 40
+    wild = spark.createDataFrame([(k, 0, 9, k % 2) for k in range(6000)], "fp long, half int, key long, side long")
+    assert simhash._dealt(wild, 6000).where("part >= 0").count() == 18000
