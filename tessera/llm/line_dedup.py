@@ -8,11 +8,12 @@ DataFrame functions only.
    shingle.  Windows are cut from the line's code points in four bytes each, where a window's place is known.  Of their
    hashes the signature has, for each of ``hashes`` rotations and constants, the least rotated hash XOR constant.
 3. A band is ``rows`` of the signature's numbers; each number is in about as many bands.  Lines that agree in all rows
-   of a band are candidates: about 0.98 of the pairs with similarity 0.8, all but a few from 0.85 on.  Sets of every
+   of a band are candidates: about 0.97 of the pairs with similarity 0.8, all but a few from 0.85 on.  Sets of every
    size have all bands.
    Bands of up to four lines give all their pairs; in larger ones each line meets its three neighbours in order and
    the first.  Bands that hold many rows are dealt over salts, whose firsts meet the band's first.  After a first
-   union-find, lines of different components that still share a band are joined by prefix filtering, which is exact.
+   union-find, lines of different components that still share a band meet, at most 16 a line and band; in bands of more
+   they are joined by prefix filtering, which is exact.
    So no pair of a band that could still join components is left out, and no group of similar lines is expanded into
    all its pairs.
 4. Candidates are verified by the exact Jaccard similarity of their sets of shingles.
@@ -45,39 +46,34 @@ def _norm(line: Column) -> Column:
     return F.lower(F.btrim(line, F.lit(_WHITE)))
 
 
+def _blank(line: Column) -> Column:
+    return F.ltrim(line, F.lit(_WHITE)) == ""
+
+
 def split_lines(docs: DataFrame) -> DataFrame:
     """doc_id, text_key (hash of the text), line_no (from 0), line, norm, key (of the normalized line; null if blank)."""
     lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return lines.withColumn("norm", _norm(F.col("line"))).withColumn("key", F.when(F.col("norm") != "", F.xxhash64("norm")))
-
-
-def _points(norm: Column) -> Column:
-    """The code points, four bytes each."""
-    return F.encode(norm, "UTF-32")
-
-
-def _ends(points: Column, window: int) -> Column:
-    """1 to the number of windows."""
-    return F.sequence(F.lit(1), F.greatest(F.octet_length(points) / 4 - (window - 1), F.lit(1)).cast("int"))
+    return lines.withColumn("norm", _norm(F.col("line"))).withColumn("key", F.when(~_blank(F.col("line")), F.xxhash64("norm")))
 
 
-def _window_hash(points: Column, k: Column, window: int) -> Column:
-    return F.xxhash64(F.substring(points, k * 4 - 3, F.lit(4 * window)))
+def shingles(lines: DataFrame, window: int) -> DataFrame:
+    """key, h: the hash of every window of ``norm``, repeats included."""
+    points = lines.select("key", F.encode("norm", "UTF-32").alias("p"))
+    ends = F.sequence(F.lit(1), F.greatest(F.octet_length("p") / 4 - (window - 1), F.lit(1)).cast("int"))
+    return points.select("key", "p", F.explode(ends).alias("k")).select("key", F.xxhash64(F.substring("p", F.col("k") * 4 - 3, F.lit(4 * window))).alias("h"))
 
 
-def shingle_set(norm: Column, window: int) -> Column:
-    """Hashes of all windows of the line, without repeats."""
-    # A lambda's argument is made once.
-    made = F.transform(F.array(_points(norm)), lambda p: F.array_distinct(F.transform(_ends(p, window), lambda k: _window_hash(p, k, window))))
-    return made[0]
+def shingle_sets(lines: DataFrame, window: int) -> DataFrame:
+    """key, all: the hashes without repeats."""
+    return shingles(lines, window).groupBy("key").agg(F.collect_set("h").alias("all"))
 
 
 def signatures(lines: DataFrame, window: int, hashes: int, seed: int) -> DataFrame:
     """key, m0, m1, ...: the minima; repeats of a shingle don't change them."""
     draw = random.Random(seed)
-    each = lines.select("key", _points(F.col("norm")).alias("p")).select("key", "p", F.explode(_ends(F.col("p"), window)).alias("k")).select("key", _window_hash(F.col("p"), F.col("k"), window).alias("h"))
     turned = lambda k: F.col("h") if not k else F.shiftleft("h", k).bitwiseOR(F.shiftrightunsigned("h", 64 - k))
-    return each.groupBy("key").agg(*[F.min(turned(2 * k % 64).bitwiseXOR(F.lit(_signed(draw.getrandbits(64))))).alias(f"m{k}") for k in range(hashes)])
+    least = [F.min(turned(64 * k // hashes).bitwiseXOR(F.lit(_signed(draw.getrandbits(64))))).alias(f"m{k}") for k in range(hashes)]
+    return shingles(lines, window).groupBy("key").agg(*least)
 
 
 def band_rows(hashes: int, bands: int, rows: int, seed: int) -> list[list[int]]:
@@ -91,10 +87,9 @@ def band_rows(hashes: int, bands: int, rows: int, seed: int) -> list[list[int]]:
     return out
 
 
-def jaccard(a: Column, b: Column) -> Column:
-    """Of two arrays without repeats."""
-    common = F.size(F.array_intersect(a, b))
-    return common / (F.size(a) + F.size(b) - common)
+def similar(a: Column, b: Column, threshold: float) -> Column:
+    """Whether the Jaccard similarity of two arrays without repeats is at least ``threshold``."""
+    return F.size(F.array_intersect(a, b)) >= (F.size(a) + F.size(b)) * (threshold / (1 + threshold)) - 1e-9
 
 
 def _signed(x: int) -> int:
@@ -104,7 +99,7 @@ def _signed(x: int) -> int:
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b) whose sets (key, all) are similar enough."""
     both = pairs.join(sets.toDF("a", "all_a"), "a").join(sets.toDF("b", "all_b"), "b")
-    return both.where(jaccard(F.col("all_a"), F.col("all_b")) >= threshold).select("a", "b")
+    return both.where(similar(F.col("all_a"), F.col("all_b"), threshold)).select("a", "b")
 
 
 def _by_prefix(open_: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -117,7 +112,7 @@ def _by_prefix(open_: DataFrame, sets: DataFrame, threshold: float) -> DataFrame
     """
     each = sets.join(open_.select("key"), "key", "left_semi").select("key", F.explode("all").alias("h")).withColumn("low", F.col("h").bitwiseAND(_LOW))
     counted = each.join(F.broadcast(each.groupBy("low").agg(F.count(F.lit(1)).alias("n"))), "low")
-    ordered = counted.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("n", "h"))).alias("all")).select("key", F.size("all").alias("size"), F.transform("all", lambda x: x["h"]).alias("all"))
+    ordered = counted.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("n", "h"))).alias("all")).select("key", F.size("all").alias("size"), F.transform("all", lambda x: x["h"]).alias("all"))
     need = lambda share: F.ceil(F.col("size") * share - 1e-9)
     length = (F.col("size") - need(threshold) + 1).cast("int")
     head = open_.join(ordered, "key").select("key", "root", "size", F.slice("all", F.lit(1), length).alias("head"))
@@ -150,7 +145,7 @@ def _salted(member: DataFrame, total: int, least: int = 500) -> DataFrame:
     return member.withColumn("slot", slot).join(parts, "slot", "left").select("key", "band", F.pmod(F.xxhash64("key"), F.col("parts")).alias("salt"))
 
 
-def linked(banded: DataFrame, sets_of: Callable[[DataFrame], DataFrame], threshold: float, scratch: Scratch) -> DataFrame:
+def linked(banded: DataFrame, sets_of: Callable[[DataFrame], DataFrame], threshold: float, scratch: Scratch, small: int = 16) -> DataFrame:
     """(node, root) of all keys with links.
 
     ``banded``: (key, bands), a stored table; ``sets_of`` makes (key, all), sets of shingles, for some keys.  Tables go
@@ -166,15 +161,21 @@ def linked(banded: DataFrame, sets_of: Callable[[DataFrame], DataFrame], thresho
     across = heads.join(firsts, "band").select(F.col("head").alias("b"), "a")
     partners = met.select(F.col("key").alias("b"), F.explode(F.array("p1", "p2", "p3", "head")).alias("a"))
     pairs = scratch.table(partners.unionByName(across).where("a < b").distinct(), "pairs")
-    sets = scratch.table(sets_of(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()), "sets")
+    # In buckets, so that only one side of a pair's sets ever moves.
+    sets = scratch.bucketed(sets_of(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()), "sets", "key")
     links = scratch.table(_verified(pairs, sets, threshold), "links")
     roots = scratch.table(components(links, scratch=scratch), "roots")
 
     # What larger bands still leave open: pairs of different components.
     large = met.join(roots, met.key == roots.node, "left").select("band", "key", "salt", "place", F.coalesce("root", "key").alias("root"))
-    mixed = large.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("place").alias("place"), F.max("salt").alias("salt")).where("lo < hi and (place > 4 or salt is not null)").select("band")
-    open_ = scratch.table(large.join(mixed, "band").select("key", "root").distinct(), "open")
-    left = _by_prefix(open_, sets, threshold).join(pairs, ["a", "b"], "left_anti")
+    mixed = large.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("place").alias("most"), F.max("salt").alias("some")).where("lo < hi and (most > 4 or some is not null)").select("band", (F.col("some").isNull() & (F.col("most") <= small)).alias("few"))
+    open_ = scratch.table(large.join(mixed, "band").select("band", "key", "root", "few"), "open")
+    # In bands of few lines all such pairs, at most ``small`` a line; in larger ones those that prefixes leave.
+    own, other = open_.where("few").select("band", F.col("key").alias("a"), F.col("root").alias("root_a")), open_.where("few").select("band", F.col("key").alias("b"), F.col("root").alias("root_b"))
+    near = own.join(other, "band").where("a < b and root_a <> root_b").select("a", "b")
+    many = open_.where("not few").select("key", "root").distinct()
+    far = _by_prefix(many, sets, threshold)
+    left = near.unionByName(far).distinct().join(pairs, ["a", "b"], "left_anti")
     more = scratch.table(_verified(left, sets, threshold), "links")
     # The second union-find is over components.
     root_of = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
@@ -185,16 +186,16 @@ def linked(banded: DataFrame, sets_of: Callable[[DataFrame], DataFrame], thresho
     return nodes.join(final, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
 
 
-def line_classes(docs: DataFrame, threshold: float = 0.8, window: int = 8, hashes: int = 40, bands: int = 10, rows: int = 5, seed: int = 7) -> DataFrame:
+def line_classes(docs: DataFrame, threshold: float = 0.8, window: int = 8, hashes: int = 24, bands: int = 14, rows: int = 5, seed: int = 7) -> DataFrame:
     """doc_id, line_no, text_key, class_doc, class_line (the line that is kept for it), kept: one row per line."""
     place = F.struct("doc_id", "text_key", "line_no")
-    distinct = split_lines(docs).where(F.col("key").isNotNull()).groupBy("key").agg(F.min("norm").alias("norm"), F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
+    distinct = split_lines(docs).where(~_blank(F.col("line"))).groupBy(F.xxhash64("norm").alias("key")).agg(F.min("norm").alias("norm"), F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
     with Scratch(docs.sparkSession) as scratch:
         # Lines lie in buckets of their keys, so their signatures are made without a shuffle.
         lines = scratch.bucketed(distinct, "lines", "key")
         band = F.array(*[F.xxhash64(F.lit(b), *[f"m{k}" for k in chosen]) for b, chosen in enumerate(band_rows(hashes, bands, rows, seed))])
         banded = scratch.table(signatures(lines, window, hashes, seed).select("key", band.alias("bands")), "signatures")
-        nodes = linked(banded, lambda keys: lines.join(keys, "key", "left_semi").select("key", shingle_set(F.col("norm"), window).alias("all")), threshold, scratch)
+        nodes = linked(banded, lambda keys: shingle_sets(lines.join(keys, "key", "left_semi"), window), threshold, scratch)
         classed = lines.select("key", "first", "n").join(nodes, lines.key == nodes.node, "left").where("n > 1 or root is not null").select("key", "first", F.coalesce("root", "key").alias("root"))
         firsts = classed.groupBy("root").agg(F.min("first").alias("head"))
         heads, _ = shared_table(classed.join(firsts, "root").select("key", "head"), "heads")
@@ -219,6 +220,6 @@ def without_repeats(docs: DataFrame, **options) -> DataFrame:
     same = docs["doc_id"].cast("long").eqNullSafe(gone["_t_id"]) & (F.xxhash64(docs["text"]) == gone["_t_key"])
     joined = docs.join(gone, same, "left")
     kept = F.filter(F.split("text", "\n"), lambda line, k: ~F.array_contains("_t_gone", k))
-    still = F.col("_t_gone").isNull() | F.exists(kept, lambda line: _norm(line) != "")
+    still = F.col("_t_gone").isNull() | F.exists(kept, lambda line: ~_blank(line))
     text = F.when(F.col("_t_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     return joined.where(still).withColumn("text", text).select(docs.columns)

@@ -295,7 +295,7 @@ def test_prefix_filtering_is_exact(spark):
         norms.append(" ".join(line))
     norms = [*dict.fromkeys(norms)]
     lines = spark.createDataFrame([(k, x) for k, x in enumerate(norms)], "key long, norm string")
-    lines = lines.select("key", line_dedup.shingle_set(lines.norm, 8).alias("all"))
+    lines = line_dedup.shingle_sets(lines, 8)
     open_ = spark.createDataFrame([(k, k) for k in range(len(norms))], "key long, root long")
     pairs = line_dedup._by_prefix(open_, lines, 0.8)
     got = {(p.a, p.b) for p in line_dedup._verified(pairs, lines, 0.8).collect()}
