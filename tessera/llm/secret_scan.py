@@ -2,14 +2,21 @@
 
 DataFrame functions and ``pyspark.ml`` only.
 
-A text is cut after each white-space character; the pieces add up to the text, so a finding's place is exact.
-Candidates are runs of 8 or more token characters that have a digit, or that stand after an assignment to a name such
-as ``password``.  The forest sees a candidate's length, its transitions between kinds of characters, how much of it
-dictionary words cover, the path that it or its row stands in, and the words around it.  It is trained from labelled
-findings: by default a generated set of secrets and of look-alikes (checksums, ids, versions, hosts, card numbers,
-placeholders ...), or any table of (text, label) rows.
-
-Null and empty texts have no candidates.  Repeated rows give repeated findings.  Long texts are scanned whole.
+Candidates are the whole value (6 or more printable characters, quoted or up to white space, a comma or a semicolon)
+that stands after an assignment to a name such as ``password``, and runs of 8 or more token characters that have a
+digit.  Neither is longer than 2,048 characters: longer runs are data, no credentials.  Texts are read in chunks of
+8,192 characters with margins, cut where the place in the text is known; a candidate belongs to the chunk that it
+starts in, so time is in proportion to the text and its places are exact whatever the text's length.  One pattern
+takes a chunk apart into gaps and candidates.
+
+The forest sees a candidate's length, its transitions between kinds of characters, how much of it dictionary words
+cover, the path that it or its row stands in, and the words around it (up to 160 characters of its line before it).
+It is trained from labelled findings: by default a generated set of secrets and of look-alikes (checksums, ids,
+versions, hosts, card numbers, placeholders, plain words ...), or any table of (text, label) rows.
+
+Null and empty texts have no candidates.  Repeated rows give repeated findings, and redaction treats them alike; rows
+with a null doc_id are scanned like any other and told apart by their texts.  Ties can't be: a place has one finding.
+Long texts are scanned whole.  Other columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -30,27 +37,50 @@ KNOWN = r"^(?:AKIA|ASIA|ghp_|gho_|ghu_|ghs_|ghr_|github_pat_|glpat-|xox[abprs]-|
 SECRET_NAMES = r"(?i)(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|apikey|access[_-]?key|auth|bearer|credential|private[_-]?key|client[_-]?key|signing[_-]?key)"
 BENIGN_NAMES = r"(?i)(?:sha\d*|md5|commit|revision|checksum|digest|hash|uuid|guid|build|version|etag|isbn|doi|order|invoice|phone|card|serial|issue|ticket|example|sample|dummy|public)"
 DICTIONARY = r"(?i)(?:password|passwd|secret|token|example|sample|dummy|change|placeholder|your|here|test|demo|default|null|none|true|false|admin|user|name|mail|http|https|www|com|org|net|html|index|file|path|data|build|release|version|alpha|beta|stable|linux|windows|server|client|config|main|image|images|page|news|article|item|product|insert|value|string|redacted|hidden|foo|bar|baz|xxx+|\*{3,}|abc|key)"
-TOKEN = r"[A-Za-z0-9+/_.~\-]{8,}={0,2}"
+#: Characters of a chunk, of the margins before and after it, and the most that a candidate may have.
+CHUNK, BEFORE, LONGEST = 8192, 512, 2048
+_RUN = r"A-Za-z0-9+/_.~\-"
+#: A secret name, the rest of its identifier and the assignment.
+_ASSIGNED = SECRET_NAMES + r"(?:s|[_\-][A-Za-z0-9_\-]{0,20}|[0-9]{1,4}|Id|ID|Value)?[\"'\]]{0,2}[ \t]{0,64}(?:=>|:=|==|[:=])[ \t]{0,64}"
+_VALUE = "{6,%d}+" % LONGEST
+#: A gap from the last match on (or else each place without one would be tried anew), then a value in double or single quotes, a bare value, or a run with a digit.
+CANDIDATE = (
+    rf"(?s)\G(.*?)(?:({_ASSIGNED}\")([^\"\r\n]{_VALUE})\"|({_ASSIGNED}')([^'\r\n]{_VALUE})'|({_ASSIGNED})([^\s\"'`,;]{_VALUE})(?=[\s\"'`,;]|\z)"
+    rf"|((?<![{_RUN}])(?=[A-Za-z+/_.~\-]*+[0-9])[{_RUN}]{{8,{LONGEST}}}+(?![{_RUN}])={{0,2}}))"
+)
 FEATURES = ["size", "digits", "upper", "letters", "symbols", "changes", "distinct", "hex", "only_digits", "dotted", "covered", "vowels", "path", "assigned", "quoted", "named", "benign", "known"]
 
 
+def _chunks(docs: DataFrame, path: Column) -> DataFrame:
+    """doc_id, text_key, doc_path, k, shift (characters before the chunk and its margin), chunk."""
+    n = F.length("text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), path.alias("doc_path"), F.when(n <= CHUNK, F.col("text")).alias("short"), F.when(n > CHUNK, F.encode("text", "UTF-32")).alias("points"), n.alias("n"))
+    each = texts.where("n > 0").select("*", F.explode(F.sequence(F.lit(0), ((F.col("n") - 1) / CHUNK).cast("int"))).alias("k"))
+    each = each.withColumn("shift", F.greatest(F.col("k") * CHUNK - BEFORE, F.lit(0)))
+    cut = F.decode(F.substring("points", F.col("shift") * 4 + 1, F.lit(4 * (CHUNK + BEFORE + LONGEST + 512))), "UTF-32")
+    return each.select("doc_id", "text_key", "doc_path", "k", "shift", F.coalesce("short", cut).alias("chunk"))
+
+
 def candidates(docs: DataFrame, path_col: str | None = None) -> DataFrame:
-    """doc_id, text_key, piece, word, token, start (code points before it), and its context: one row per candidate."""
+    """doc_id, text_key, doc_path, token, start (code points before it), left and right context: one row a candidate."""
     path = F.col(path_col).cast("string") if path_col else F.lit(None).cast("string")
-    cut = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), path.alias("doc_path"), F.split("text", r"(?<=[ \t\n\x0B\f\r])").alias("pieces"))
-    words = cut.select("*", F.posexplode("pieces").alias("piece", "word")).where(F.length("word") >= 8)
-    before = F.concat_ws("", *[F.get("pieces", F.col("piece") - k) for k in (3, 2, 1)])
-    after = F.coalesce(F.get("pieces", F.col("piece") + 1), F.lit(""))
-    named = before.rlike(SECRET_NAMES) & before.rlike(r"[:=]\s*$")
-    likely = words.where(F.col("word").rlike("[0-9]") | F.col("word").rlike(SECRET_NAMES + r"[^\s=:]{0,20}[=:]+.") | named)
-    tokens = likely.select("*", before.alias("before"), after.alias("after"), F.posexplode(F.regexp_extract_all("word", F.lit(f"({TOKEN})"), F.lit(1))).alias("nth", "token"))
-    # What of the word stands before its nth token.
-    head = F.call_function("regexp_extract", F.col("word"), F.concat(F.lit(f"(?s)^((?:.*?{TOKEN}){{"), F.col("nth").cast("string"), F.lit(f"}}.*?){TOKEN}")), F.lit(1))
-    placed = tokens.withColumn("head", head)
-    left = F.concat("before", "head")
-    keep = F.col("token").rlike("[0-9]") | (left.rlike(SECRET_NAMES) & left.rlike("[=:]\\s*[\"'`]?$"))
-    skipped = F.aggregate(F.slice("pieces", 1, F.col("piece")), F.lit(0), lambda n, p: n + F.length(p))
-    return placed.where(keep).select("doc_id", "text_key", "doc_path", "piece", "word", "nth", "token", left.alias("left"), F.concat(F.expr("substring(word, length(head) + length(token) + 1)"), "after").alias("right"), (skipped + F.length("head")).cast("long").alias("start"))
+    found = _chunks(docs, path).withColumn("found", F.regexp_extract_all("chunk", F.lit(CANDIDATE), F.lit(0))).where(F.size("found") > 0)
+
+    # Small structs are made of a chunk's matches before these become rows, so that no row holds the chunk again.
+    def placed(match: Column, nth: Column) -> Column:
+        part = lambda groups: F.regexp_replace(match, F.lit(CANDIDATE), F.lit(groups))
+        skipped = F.aggregate(F.slice("found", F.lit(1), nth), F.lit(0), lambda n, m: n + F.length(m))
+        return F.struct(part("$3$5$7$8").alias("token"), (skipped + F.length(part("$1$2$4$6"))).alias("at"))
+
+    def around(x: Column) -> Column:
+        token, at = x["token"], x["at"]
+        left = F.substring("chunk", F.greatest(at - 159, F.lit(1)), F.least(at, F.lit(160)))
+        return F.struct(token.alias("token"), at.alias("at"), F.regexp_extract(left, r"[^\r\n]*\z", 0).alias("left"), F.substring("chunk", at + F.length(token) + 1, F.lit(40)).alias("right"))
+
+    each = found.select("doc_id", "text_key", "doc_path", "k", "shift", F.explode(F.transform(F.transform("found", placed), around)).alias("x"))
+    start = (F.col("shift") + F.col("x.at")).cast("long")
+    own = (F.col("start") >= F.col("k") * CHUNK) & (F.col("start") < (F.col("k") + 1) * CHUNK)
+    return each.withColumn("start", start).where(own).select("doc_id", "text_key", "doc_path", "x.token", "start", "x.left", "x.right")
 
 
 def _share(token: Column, drop: str) -> Column:
@@ -85,7 +115,7 @@ def with_features(found: DataFrame) -> DataFrame:
     return found.select("*", *[v.alias(k) for k, v in values.items()])
 
 
-def generated_findings(n: int = 1200, seed: int = 11) -> list[tuple[str, int]]:
+def generated_findings(n: int = 2000, seed: int = 11) -> list[tuple[str, int]]:
     """Labelled lines, half of them with a secret: (text, 1 or 0).  The same for the same arguments."""
     r = random.Random(seed)
     pick = lambda alphabet, k: "".join(r.choice(alphabet) for _ in range(k))
@@ -95,8 +125,10 @@ def generated_findings(n: int = 1200, seed: int = 11) -> list[tuple[str, int]]:
     name = lambda: r.choice(["token", "password", "passwd", "pwd", "secret", "api_key", "apikey", "access_key", "auth_token", "client_secret", "API_KEY", "DB_PASSWORD", "SECRET_KEY", "private_key", "aws_secret_access_key"])
 
     def value() -> str:
-        k = r.randrange(9)
-        if k < 3:
+        k = r.randrange(11)
+        if k > 8:
+            v = word()[:4] + pick("!@#$%&*?+", 1) + pick(mixed, r.randint(4, 8)) + pick("!@#$%&*?", r.randint(0, 2)) + pick(string.digits, r.randint(1, 4))
+        elif k < 3:
             v = pick(hexa, r.choice([16, 18, 20, 24, 32, 40, 40, 48, 64]))
         elif k < 5:
             v = pick(mixed, r.randint(16, 48))
@@ -115,12 +147,12 @@ def generated_findings(n: int = 1200, seed: int = 11) -> list[tuple[str, int]]:
         end = r.choice(["", "", "", ".", ";", ",", "###", "$$$", "!!", "%%%"])
         if r.random() < 0.1:
             return f"{prose()} {r.choice(['ghp_', 'sk_live_', 'AKIA', 'AIza'])}{pick(mixed, 32)} {prose()}"
-        line = f"{name()}{r.choice(['=', ' = ', ': ', ':', ' => '])}{q}{value()}{q}"
+        line = f"{name()}{r.choice(['=', ' = ', ': ', ':', ' => ', ':      ', '\\t=\\t'])}{q}{value()}{q}"
         line = line.upper() if r.random() < 0.05 else line
         return f"{prose()} {line}{end} {prose()}"
 
     def other() -> str:
-        k = r.randrange(15)
+        k = r.randrange(18)
         d = lambda m: pick(string.digits, m)
         end = r.choice(["", "", "", ".", ",", "###", "$$$", "!!"])
         v = [
@@ -139,6 +171,9 @@ def generated_findings(n: int = 1200, seed: int = 11) -> list[tuple[str, int]]:
             lambda: f"{word()}_{word()}_{d(3)}_{word()}",
             lambda: f"+{d(1)} ({d(3)}) 555-{d(4)} order {d(10)}",
             lambda: f"{r.choice(['version', 'build', 'id', 'serial'])}={d(4)}.{d(3)}.{d(4)}",
+            lambda: f"{name()}: {r.choice(['required', 'expired', 'optional', 'invalid', word() + word()])}",
+            lambda: f"{r.choice(['secret', 'token', 'auth', 'password'])} = {r.choice(['None', 'null', 'get_token()', 'os.environ[1]', '<' + word() + '>', '${' + word().upper() + '}', '********'])}      ",
+            lambda: f"{name()}: {word()}{word()} {prose()}",
         ][k]()
         return f"{prose()} {v}{end} {prose()}"
 
@@ -159,11 +194,11 @@ def train(spark: SparkSession, findings: DataFrame | None = None, trees: int = 2
 def scan(docs: DataFrame, model: PipelineModel, threshold: float = 0.5, path_col: str | None = None) -> DataFrame:
     """doc_id, start, length, kind, score, is_secret, token_sha256: one row per candidate, with its place to redact it.
 
-    More columns: text_key (hash of the row's text), piece, word, nth, token.
+    More columns: text_key (hash of the row's text), token.
     """
     scored = model.transform(with_features(candidates(docs, path_col))).withColumn("score", vector_to_array("probability")[1])
     kind = F.when(F.col("known") > 0, "known format").when(F.col("named") > 0, "assignment").otherwise("token")
-    return scored.select("doc_id", "start", F.length("token").cast("long").alias("length"), kind.alias("kind"), F.round("score", 6).alias("score"), (F.col("score") >= threshold).alias("is_secret"), F.sha2("token", 256).alias("token_sha256"), "text_key", "piece", "word", "nth", "token")
+    return scored.select("doc_id", "start", F.length("token").cast("long").alias("length"), kind.alias("kind"), F.round("score", 6).alias("score"), (F.col("score") >= threshold).alias("is_secret"), F.sha2("token", 256).alias("token_sha256"), "text_key", "token")
 
 
 def redact(docs: DataFrame, model: PipelineModel, mark: str = "[SECRET]", threshold: float = 0.5) -> DataFrame:

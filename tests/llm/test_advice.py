@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from tessera.llm import fuzzy_lexicon, line_dedup, simhash
+from tessera.llm import fuzzy_lexicon, line_dedup, secret_scan, simhash
 
 
 def line_heads(spark, lines, **options):
@@ -153,3 +153,30 @@ def test_wildcards_that_many_share(spark):
     assert got == want and len(got) >= 40
     wild = spark.createDataFrame([(k, 0, 9, k % 2) for k in range(6000)], "fp long, half int, key long, side long")
     assert simhash._dealt(wild, 6000).where("part >= 0").count() == 18000
+
+
+def test_secrets_with_any_characters_are_whole(spark):
+    model = secret_scan.train(spark)
+    values = ["p@ssw0rd!2024", "Tr0ub4dor&3xK!q", "$ecret#99!", "kTqWnzLpRmBv93x"]
+    texts = [f"login password={values[0]} then", f"password: '{values[1]}' here", f'the db_password = "{values[2]}" in it', f"name: web\npassword:        {values[3]}\nport: 80"]
+    texts += ["password: required for the next step", "the token = None", "author: somebody wrote it", "a passage: reading aloud"]
+    df = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    got = {}
+    for x in secret_scan.scan(df, model).where("is_secret").collect():
+        assert texts[x.doc_id][x.start : x.start + x.length] == x.token
+        got.setdefault(x.doc_id, []).append(x.token)
+    assert got == {k: [v] for k, v in enumerate(values)}
+
+
+def test_secrets_in_very_long_texts(spark):
+    """100,000 candidates without a space, and megabytes of text: every place is right, in time."""
+    secret = "ghp_" + "aB3dE5gH7jK9mN1pQ2rS4tU6vW8xY0zA1bC3"
+    texts = ["a1234567," * 100_000, ("é" * 40 + " plain words here \n") * 60_000 + secret + " end", "x" * 3_000_000, "a1" * 50_000 + " ok " + secret]
+    df = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    rows = secret_scan.candidates(df).select("doc_id", "start", "token").collect()
+    by = {}
+    for x in rows:
+        assert texts[x.doc_id][x.start : x.start + len(x.token)] == x.token
+        by.setdefault(x.doc_id, []).append((x.start, x.token))
+    assert sorted(by[0]) == [(9 * k, "a1234567") for k in range(100_000)]
+    assert [t for _, t in by[1]] == [secret] and 2 not in by and [t for _, t in by[3]] == [secret]
