@@ -3,8 +3,8 @@
 Items are pieces of examples with three sizes: tokens, segments (1 each) and loss-bearing tokens.  Bins are
 sequences with a limit on each.  A bin takes, of the waiting pieces that fit, the one with the largest dot
 product of its sizes (as shares of the limits) and the bin's free shares; ties go to the piece that came first.
-Where none fits, a piece is cut to what is left, so padding comes only from the segment or loss limits.
-What a partition cannot fill at its end goes to sequences whose lengths are powers of two.
+Where none fits, a piece is cut to what is left.  A sequence that another limit ends before it is full is cut back to a
+power of two, as is what a partition cannot fill at its end; so there is no padding, however short the examples are.
 
 Packing is local to a scan partition and streams through it: no shuffle, memory bounded by ``window`` pieces.
 Pieces of one document are cut at multiples of the sequence length first.  Rows repeat as often as the input's
@@ -45,6 +45,8 @@ class Words(dict):
         ids = self.older.get(word)
         if ids is None:
             ids = array("I", self.encode(word.encode())).tobytes()
+        if len(word) > 64:  # so that the cache is bounded in bytes
+            return ids
         if len(self) >= self.most:
             self.older = dict(self)
             self.clear()
@@ -72,11 +74,12 @@ class WordIds:
         ranks = {bytes(stand_in[c] for c in s): i for s, i in spec["model"]["vocab"].items() if i not in special}
         pieces = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.exact = regex.compile(public_tokenizers.PATTERN)
+        self.marks = [t["content"] for t in spec["added_tokens"]]
         self.of = Words(pieces._core_bpe.encode_single_piece, most_words).__getitem__
 
     def encode(self, text: str) -> bytes:
         """Little-endian 32-bit ids; special strings as the library handles them."""
-        if "<|" in text:
+        if any(mark in text for mark in self.marks):
             return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
         return b"".join(map(self.of, self.exact.findall(text) if _PLAIN.search(text) else _FAST.findall(text)))
 
@@ -87,8 +90,7 @@ class Packer:
     def __init__(self, max_tokens: int, max_segments: int, max_loss: int, window: int = 128):
         self.limits = np.array([max_tokens, max_segments, max_loss], np.float64)
         self.window = window
-        self.waiting: list[tuple] = []  # (key, start, tokens, loss share)
-        self.sizes = np.zeros((0, 3))
+        self.waiting: list[tuple] = []  # (key, start, tokens, tokens that bear loss: the last ones)
 
     def add(self, pieces: list[tuple]) -> Iterator[list[tuple]]:
         for piece in pieces:
@@ -110,7 +112,7 @@ class Packer:
         free, chosen = limits.copy(), []
         sizes = np.array([(p[2], 1, p[3]) for p in self.waiting], np.float64)
         taken = np.zeros(len(sizes), bool)
-        cut: tuple | None = None
+        back: list[tuple] = []
         while free[0] >= 1 and free[1] >= 1 and not taken.all():
             fit = ~taken & (sizes <= free).all(1)
             if fit.any():
@@ -121,19 +123,37 @@ class Packer:
                 continue
             # Cut the first piece that is left: its head fills what is free.
             k = int(np.argmin(taken))
-            key, start, tokens, loss = self.waiting[k]
-            bears = loss > 0
-            n = int(min(tokens, free[0], free[2] if bears else tokens))
+            tokens, loss = self.waiting[k][2:]
+            n = int(min(tokens, free[0], tokens - loss + free[2]))
             if n < 1:
                 break
-            chosen.append((key, start, n, n if bears else 0))
-            taken[k], cut = True, (key, start + n, tokens - n, tokens - n if bears else 0)
-            free -= (n, 1, n if bears else 0)
-        rest = [p for p, gone in zip(self.waiting, taken, strict=True) if not gone]
-        self.waiting = [cut, *rest] if cut and cut[2] else rest
+            head, tail = _cut(self.waiting[k], n)
+            chosen.append(head)
+            back += [tail] if tail[2] else []
+            taken[k] = True
+            free -= (n, 1, head[3])
+        total = sum(p[2] for p in chosen)
+        over = total - (1 << (total.bit_length() - 1)) if total < self.limits[0] else 0
+        while over:
+            last = chosen.pop()
+            if last[2] > over:
+                last, tail = _cut(last, last[2] - over)
+                chosen.append(last)
+                back.append(tail)
+                break
+            over -= last[2]
+            back.append(last)
+        self.waiting = back + [p for p, gone in zip(self.waiting, taken, strict=True) if not gone]
         return chosen
 
 
+def _cut(piece: tuple, n: int) -> tuple[tuple, tuple]:
+    """The first ``n`` tokens and the rest; tokens that bear loss are a piece's last ones."""
+    key, start, tokens, loss = piece
+    head = max(0, n - (tokens - loss))
+    return (key, start, n, head), (key, start + n, tokens - n, loss - head)
+
+
 def pack_documents(
     docs: DataFrame,
     tokenizer_path: str,
@@ -141,13 +161,14 @@ def pack_documents(
     max_segments: int = 64,
     max_loss: int | None = None,
     end_id: int = 0,
-    bears_loss: Callable[[int], bool] | None = None,
+    loss_start: Callable[[int, int], int] | None = None,
     window: int = 128,
 ) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset: one row per piece.
 
     ``max_segments`` and ``max_loss`` (default: ``max_tokens``) are the other two limits of a sequence.
-    ``bears_loss``: says of a doc_id whether its tokens count against ``max_loss``; all do by default.
+    ``loss_start``: of a doc_id and its number of tokens, the token from which on they bear loss, as those of an answer
+    after its prompt; all do by default.
     A sequence_id holds the partition in its upper bits, so ids are unique without any exchange.
     """
     most_loss = max_tokens if max_loss is None else max_loss
@@ -180,8 +201,8 @@ def pack_documents(
                 ids = words.encode(text or "") + end
                 n = len(ids) // 4
                 kept[at] = [doc_id, ids, n, n]
-                loss = bears_loss is None or bears_loss(doc_id)
-                out.extend(rows(packer.add([(at, s, m := min(max_tokens, n - s), m if loss else 0) for s in range(0, n, max_tokens)])))
+                first = 0 if loss_start is None else loss_start(doc_id, n)
+                out.extend(rows(packer.add([(at, s, m := min(max_tokens, n - s), min(m, max(0, s + m - first))) for s in range(0, n, max_tokens)])))
                 at += 1
             yield batch_of(out)
         yield batch_of(list(rows(packer.finish())))

@@ -180,6 +180,8 @@ class Units(dict):
         self.of = self.__getitem__
 
     def __missing__(self, unit: str) -> bytes:
+        if len(unit) > 64:  # so that the cache is bounded in bytes
+            return array("I", self.encode(unit)).tobytes()
         if len(self) >= self.most:
             self.older = dict(self)
             self.clear()

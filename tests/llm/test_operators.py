@@ -89,7 +89,7 @@ def test_packing(spark, library):
     r = random.Random(5)
     texts = [" ".join(r.choice(["alpha", "beta", "x", "the", "é"]) for _ in range(r.choice([0, 1, 5, 50, 400, 3000]))) for _ in range(300)]
     df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(3)
-    for limits in ({}, {"max_segments": 3}, {"max_loss": 300, "bears_loss": lambda i: i % 2 == 0}):
+    for limits in ({}, {"max_segments": 3}, {"max_loss": 300, "loss_start": lambda i, n: 0 if i % 2 == 0 else n}):
         rows = packing.pack_documents(df, BPE, window=16, **limits).collect()
         ids = [np.array([*library.encode(t, add_special_tokens=False).ids, 0], "<u4") for t in texts]
         by_doc, by_seq = {}, {}
@@ -112,11 +112,38 @@ def test_packing(spark, library):
                 at += n
             assert at <= 1024 and len(pieces) <= limits.get("max_segments", 64)
             assert sum(n for _, n, k in pieces if k % 2 == 0) <= limits.get("max_loss", 1024) or "max_loss" not in limits
-        if not limits:
+        if "max_loss" not in limits:
             waste = sum(0 if n & (n - 1) == 0 else 1024 - n for n in (sum(p[1] for p in s) for s in by_seq.values()))
             assert waste == 0
 
 
+@pytest.mark.parametrize("sizes", [[1], [3], [12], range(1, 17), [1, 900]])
+def test_short_examples_need_no_padding(sizes):
+    r = random.Random(1)
+    lengths = [r.choice([*sizes]) for _ in range(3000)]
+    packer = packing.Packer(1024, 64, 1024)
+    packed = [s for k, n in enumerate(lengths) for s in packer.add([(k, 0, n, n)])] + list(packer.finish())
+    totals = [sum(p[2] for p in s) for s in packed]
+    assert sum(totals) == sum(lengths) and all(n & (n - 1) == 0 and len(s) <= 64 for n, s in zip(totals, packed, strict=True))
+    pieces = sorted((p[0], p[1], p[2]) for s in packed for p in s)
+    at: dict = {}
+    for k, start, n in pieces:
+        assert start == at.get(k, 0) and n > 0
+        at[k] = start + n
+    assert at == dict(enumerate(lengths))
+
+
+def test_loss_limit_of_answers():
+    """Prompts bear no loss: many fit beside few answers, and no sequence has more than its share."""
+    r = random.Random(2)
+    packer, lengths = packing.Packer(256, 16, 64), [(r.randint(1, 200), r.randint(0, 100)) for _ in range(400)]
+    packed = [s for k, (p, a) in enumerate(lengths) for s in packer.add([(k, 0, p + a, a)])] + list(packer.finish())
+    for s in packed:
+        loss = sum(max(0, start + n - max(start, lengths[k][0])) for k, start, n, _ in s)
+        assert loss <= 64 and loss == sum(p[3] for p in s) and sum(p[2] for p in s) <= 256 and len(s) <= 16
+    assert sum(p[2] for s in packed for p in s) == sum(p + a for p, a in lengths)
+
+
 def test_telephony():
     for law in (telephony.MU_LAW, telephony.A_LAW):
         table = telephony.EXPAND[law]
