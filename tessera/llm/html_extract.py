@@ -2,8 +2,8 @@
 
 A page is cut into tags and text and built into a tree with the usual implied ends (a paragraph ends where a block
 begins, and so on).  Every paragraph passes points, one and one more for each comma and for each hundred characters
-(three at most), to its parent whole, to its grandparent by half and to further ancestors by a third of their
-distance.  An ancestor's points are discounted by its link density.  The container with most points, and siblings
+(three at most), to its parent whole, to its grandparent by half and on to all further ancestors by a third of what
+the one below got; this is one pass from the leaves up.  An ancestor's points are discounted by its link density.  The container with most points, and siblings
 that score well enough or are real paragraphs, are the article; menus, notices, forms and the like inside it go.
 
 Null and empty pages have the empty text.  Unclosed, crossed or cut-off tags are closed by their parents.  The whole
@@ -16,14 +16,15 @@ import html
 import re
 from collections import Counter
 from collections.abc import Iterator
-from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|$)"
-    r"|<(?P<raw>script|style|noscript|template|svg|iframe|textarea|select|object|title)\b[^>]*(?:/>|>.*?(?:</(?P=raw)\s*>|$)|$)"
+    r"|<(?P<raw>script|style|noscript|template|svg|iframe)\b[^>]*(?:/>|>.*?(?:</(?P=raw)\s*>|$)|$)"
+    # Left open, these end with their tag: what follows is the page.
+    r"|<(?P<field>textarea|select|object|title)\b[^>]*(?:/>|>.*?</(?P=field)\s*>|>|$)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?>[^<>\"']+|\"[^\"]*\"|'[^']*'|[\"'])*+)(?:>|$)"
     r"|<[!?][^>]*(?:>|$)"
     r"|(?P<text>[^<]+|<)",
@@ -47,12 +48,22 @@ ENDS = {  # what an opening tag ends, and where that stops
     "option": (("option",), frozenset(["select"])),
 }
 BONUS = {"article": 25.0, "main": 15.0, "section": 3.0, "div": 5.0, "td": 3.0, "blockquote": 3.0, "body": 0.0, "ul": -3.0, "ol": -3.0}
-#: Ancestors that get points of a paragraph; beyond that the shares are small.
-LEVELS = 12
-_UNLIKELY = re.compile(
-    r"(?:^|[^a-z])(?:ads?|advert\w*|banner|breadcrumbs?|combx|comments?|commentlist|community|consent|cookies?|cookie\w*|disqus|disclaimer|footer|gdpr|header|legends?|login|masthead|menu|meta|modal|nav|navbar|navigation|newsletter|notice|outbrain|pager|pagination|popup|promo\w*|recommend\w*|related|remark|replies|reply|rss|share|sharing|shoutbox|sidebar|signup|skyscraper|social|sponsor\w*|subscribe|subscription|taboola|tags|teaser|toolbar|topbar|widget|alert|warning|paywall|hidden|trending|popular|copyright|site-info|responses?|feedback)(?:$|[^a-z])"
-)
-_LIKELY = re.compile(r"(?:^|[^a-z])(?:article|body|content|entry|main|post|story|text|blog|hentry)(?:$|[^a-z])")
+#: Words in names (class, id, role) of what is no article, by the role they stand for.  Whole words, as names are cut at
+#: all but letters.
+_ROLE_WORDS = {
+    "ways around the site": "nav navbar navigation menu breadcrumb breadcrumbs pagination pager toolbar topbar tags",
+    "frame of the page": "header footer sidebar copyright widget",
+    "advertising": "ad ads advert adverts advertisement advertising banner promo promotion promoted sponsor sponsored sponsors",
+    "notices": "cookie cookies consent gdpr notice alert warning popup modal paywall disclaimer hidden",
+    "other pages": "related recommended recommendations trending popular teaser",
+    "readers": "comment comments reply replies response responses feedback",
+    "signing up and sharing": "login signup subscribe subscription newsletter share sharing social rss",
+}
+_UNLIKELY = re.compile(r"(?:^|[^a-z])(?:" + "|".join(" ".join(_ROLE_WORDS.values()).split()) + r")(?:$|[^a-z])")
+#: Words in names of what holds an article.
+_LIKELY = re.compile(r"(?:^|[^a-z])(?:article|body|content|entry|main|post|story|text)(?:$|[^a-z])")
+#: Roles whose words count even where a name has a word of an article too, as in post-comments.
+_NEVER = re.compile(r"(?:^|[^a-z])(?:" + "|".join(" ".join(_ROLE_WORDS[k] for k in ("ways around the site", "advertising", "notices", "readers", "signing up and sharing")).split()) + r"|sidebar|footer|related)(?:$|[^a-z])")
 _NAMES = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)(?:hidden(?=[\s=/]|$)|aria-hidden\s*=\s*["']?true|style\s*=\s*["'][^"']*(?:display\s*:\s*none|visibility\s*:\s*hidden))""", re.I)
 _ROLES = re.compile(r"\b(?:navigation|banner|complementary|contentinfo|search|form|dialog|alert|menu|menubar)\b")
@@ -148,9 +159,6 @@ def unlikely(node: Node) -> bool:
     return bool(_ROLES.search(node.names)) or (_UNLIKELY.search(node.names) is not None and _LIKELY.search(node.names) is None) or _always(node.names)
 
 
-_NEVER = re.compile(r"(?:^|[^a-z])(?:comments?|commentlist|sidebar|ads?|advert\w*|related|share|social|newsletter|cookies?|promo\w*|sponsor\w*|nav|menu|footer)(?:$|[^a-z])")
-
-
 def _always(names: str) -> bool:
     return _NEVER.search(names) is not None
 
@@ -206,7 +214,8 @@ def _density(own: list[float]) -> float:
 
 
 def _score(order: list[Node], size: dict[int, list[float]]) -> list[Node]:
-    candidates = []
+    """The candidates, in page order, with their points."""
+    whole: dict[int, float] = {}
     for node in order:
         holds_blocks = any(not isinstance(k, str) and k.tag in BLOCK and k.tag != "hr" for k in node.kids)
         own_text = node.tag in CONTAINER and any(isinstance(k, str) and k.strip() for k in node.kids)
@@ -218,12 +227,22 @@ def _score(order: list[Node], size: dict[int, list[float]]) -> list[Node]:
         node.paragraph = True
         points = (1 + text.count(",") + min(3.0, len(text) / 100)) * (1 - _density(size[id(node)]))
         first = node if node.tag in CONTAINER else node.parent
-        for level, up in enumerate(islice(_up(first), LEVELS)):
-            if up.points is None:
-                up.points = BONUS.get(up.tag, 0.0) + (25 if up.names and _LIKELY.search(up.names) else 0)
-                candidates.append(up)
-            up.points += points / (1 if level == 0 else 2 if level == 1 else 3 * level)
-    return candidates
+        whole[id(first)] = whole.get(id(first), 0.0) + points
+    half: dict[int, float] = {}
+    rest: dict[int, float] = {}
+    candidates = []
+    for node in reversed(order):  # every node before its parent
+        own, below, far = whole.get(id(node)), half.get(id(node)), rest.get(id(node))
+        if own is None and below is None and far is None:
+            continue
+        own, below, far = own or 0.0, below or 0.0, far or 0.0
+        node.points = BONUS.get(node.tag, 0.0) + (25 if node.names and _LIKELY.search(node.names) else 0) + own + below + far
+        candidates.append(node)
+        if node.parent is not None:
+            up = id(node.parent)
+            half[up] = half.get(up, 0.0) + own / 2
+            rest[up] = rest.get(up, 0.0) + (below + far) / 3
+    return candidates[::-1]
 
 
 def _blocks(nodes: list[Node], size: dict[int, list[float]], trusted: bool = False) -> list[str]:

@@ -98,18 +98,30 @@ def encode_adpcm(samples: np.ndarray, block_bytes: int = 256) -> np.ndarray:
 
 
 def resample(samples: np.ndarray, rate: int, to: int) -> np.ndarray:
-    """Linear interpolation to another rate; the samples' ends are held."""
+    """Linear interpolation to another rate, rounded to the nearest (halves to even); the samples' ends are held.
+
+    Going down, frequencies that the new rate can't hold are taken out first, by a windowed sinc filter.
+    """
+    if rate <= 0 or to <= 0:
+        raise ValueError("sample rates must be positive")
     if rate == to or not len(samples):
         return samples.astype(np.int16)
     if to == 2 * rate:
         wide = samples.astype(np.int32)
+        twice = wide[:-1] + wide[1:]
         out = np.empty(2 * len(wide), np.int16)
         out[0::2] = wide
-        out[1:-1:2] = (wide[:-1] + wide[1:]) >> 1
+        out[1:-1:2] = (twice + ((twice >> 1) & 1)) >> 1
         out[-1] = wide[-1]
         return out
+    wide = samples.astype(np.float64)
+    if to < rate:
+        half = 16 * -(-rate // to)
+        at = np.arange(-half, half + 1)
+        kernel = np.sinc(at * to / rate) * np.hanning(2 * half + 3)[1:-1]
+        wide = np.convolve(np.pad(wide, half, "edge"), kernel / kernel.sum(), "valid")
     at = np.arange(len(samples) * to // rate) * (rate / to)
-    return np.rint(np.interp(at, np.arange(len(samples)), samples)).astype(np.int16)
+    return np.clip(np.rint(np.interp(at, np.arange(len(samples)), wide)), -32768, 32767).astype(np.int16)
 
 
 def wav(tag: int, data: bytes, rate: int = 8000, block: int = 1, bits: int = 8, samples: int | None = None) -> bytes:
@@ -130,7 +142,7 @@ def read_wav(data: bytes) -> dict:
     while at + 8 <= len(data):
         kind, n = data[at : at + 4], struct.unpack_from("<I", data, at + 4)[0]
         if kind == b"fmt ":
-            out["tag"], _, out["rate"], _, out["block"], out["bits"] = struct.unpack_from("<HHIIHH", data, at + 8)
+            out["tag"], out["channels"], out["rate"], _, out["block"], out["bits"] = struct.unpack_from("<HHIIHH", data, at + 8)
         elif kind == b"data":
             out["data"] = data[at + 8 : at + 8 + n]
         at += 8 + n + (n & 1)
@@ -139,19 +151,26 @@ def read_wav(data: bytes) -> dict:
     return out
 
 
-def to_pcm(media: bytes, rate: int = 16000) -> np.ndarray:
-    """16-bit samples of a mono telephony WAV file at ``rate``."""
+def samples_of(media: bytes) -> tuple[np.ndarray, int]:
+    """16-bit samples of a mono telephony WAV file, and their rate; ValueError for what is none."""
     x = read_wav(media)
+    if x["channels"] != 1:
+        raise ValueError("telephony audio has one channel")
     if x["tag"] in EXPAND:
-        samples = EXPAND[x["tag"]][np.frombuffer(x["data"], np.uint8)]
-    elif x["tag"] == IMA_ADPCM:
+        return EXPAND[x["tag"]][np.frombuffer(x["data"], np.uint8)], x["rate"]
+    if x["tag"] == IMA_ADPCM:
+        if x["block"] < 5:
+            raise ValueError("an ADPCM block has a header and codes")
         whole = len(x["data"]) // x["block"] * x["block"]
-        samples = decode_adpcm(np.frombuffer(x["data"][:whole], np.uint8).reshape(-1, x["block"])).ravel()
-    elif x["tag"] == PCM and x["bits"] == 16:
-        samples = np.frombuffer(x["data"], "<i2")
-    else:
-        raise ValueError(f"WAV format {x['tag']} is not telephony audio")
-    return resample(samples, x["rate"], rate)
+        return decode_adpcm(np.frombuffer(x["data"][:whole], np.uint8).reshape(-1, x["block"])).ravel(), x["rate"]
+    if x["tag"] == PCM and x["bits"] == 16:
+        return np.frombuffer(x["data"][: len(x["data"]) // 2 * 2], "<i2"), x["rate"]
+    raise ValueError(f"WAV format {x['tag']} is not telephony audio")
+
+
+def to_pcm(media: bytes, rate: int = 16000) -> np.ndarray:
+    """16-bit samples of a mono telephony WAV file at ``rate``."""
+    return resample(*samples_of(media), rate)
 
 
 def features(pcm: np.ndarray, rate: int) -> str:
@@ -185,24 +204,68 @@ def transcode(media: DataFrame, id_col: str = "media_id", media_col: str = "medi
     return media.selectExpr(f"cast({id_col} as bigint) media_id", f"cast({media_col} as binary) media").mapInArrow(run, "media_id long, pcm binary, feature string")
 
 
-def store_payloads(docs: DataFrame, rate: int = 8000, to: int = 16000) -> DataFrame:
-    """Texts' bytes as mu-law samples in WAV files, read back, and the features of their resampled PCM.
+#: Bytes of payload in one ADPCM block, which has a header of 4 bytes before them.
+ADPCM_BODY = 64
 
-    The payload is the UTF-8 text (null: empty) and zero bytes up to a positive multiple of 64; one byte is one
-    sample code, so nothing is lost.
+
+def pack_payload(payload: bytes) -> tuple[int, bytes]:
+    """(format tag, WAV file) of a payload of a multiple of 64 bytes: by its CRC-32 as mu-law codes, A-law codes, or the
+    4-bit codes of ADPCM blocks whose headers are zero."""
+    tag = (MU_LAW, A_LAW, IMA_ADPCM)[zlib.crc32(payload) % 3]
+    if tag != IMA_ADPCM:
+        return tag, wav(tag, payload)
+    blocks = np.zeros((len(payload) // ADPCM_BODY, ADPCM_BODY + 4), np.uint8)
+    blocks[:, 4:] = np.frombuffer(payload, np.uint8).reshape(-1, ADPCM_BODY)
+    return tag, wav(tag, blocks.tobytes(), block=ADPCM_BODY + 4, bits=4, samples=len(blocks) * (2 * ADPCM_BODY + 1))
+
+
+def read_payload(media: bytes) -> bytes:
+    """The payload of ``pack_payload``'s file."""
+    x = read_wav(media)
+    return x["data"] if x["tag"] != IMA_ADPCM else np.frombuffer(x["data"], np.uint8).reshape(-1, x["block"])[:, 4:].tobytes()
+
+
+def store_payloads(docs: DataFrame, rate: int = 8000, to: int = 16000, with_media: bool = False, group: int = 1 << 20) -> DataFrame:
+    """Texts' bytes as telephony WAV files, read back, and the stored PCM at ``to``: digests, and features of the PCM.
+
+    The payload is the UTF-8 text (null: empty) and zero bytes up to a positive multiple of 64.  A byte is one sample
+    code of mu-law or A-law, or two of ADPCM, by the payload's CRC-32; nothing is lost.  PCM is a 16-bit WAV file.
+    ``with_media``: also the files themselves, as ``media`` and ``pcm``.  ADPCM files are decoded together, in groups of
+    about ``group`` bytes.
     """
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pcm_bytes", "pcm_sha256", *(["media", "pcm"] if with_media else [])]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), *([pa.binary(), pa.binary()] if with_media else [])]
+
+    def decoded(files: list[tuple[int, bytes]]) -> list[np.ndarray]:
+        """Samples of each file; the blocks of all ADPCM files advance together."""
+        out = [samples_of(m)[0] if tag != IMA_ADPCM else None for tag, m in files]
+        data = [np.frombuffer(read_wav(m)["data"], np.uint8).reshape(-1, ADPCM_BODY + 4) if tag == IMA_ADPCM else None for tag, m in files]
+        if any(d is not None for d in data):
+            rows, at = decode_adpcm(np.concatenate([d for d in data if d is not None])), 0
+            for k, d in enumerate(data):
+                if d is not None:
+                    out[k] = rows[at : at + len(d)].ravel()
+                    at += len(d)
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols: list[list] = [[] for _ in names[1:]]
-            for text in utf8_list(batch.column(1)):
-                media = wav(MU_LAW, text + b"\0" * (-len(text) % 64 if text else 64), rate)
-                payload = read_wav(media)["data"]
-                row = (len(text), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), features(to_pcm(media, to), to))
-                for c, v in zip(cols, row, strict=True):
-                    c.append(v)
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=names)
-
-    return map_documents(docs, run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+            texts, k = utf8_list(batch.column(1)), 0
+            while k < len(texts):
+                j, size = k, 0
+                while j < len(texts) and (j == k or size + len(texts[j]) <= group):
+                    size += len(texts[j])
+                    j += 1
+                files = [pack_payload(t + b"\0" * (-len(t) % 64 if t else 64)) for t in texts[k:j]]
+                cols: list[list] = [[] for _ in kinds]
+                for text, (_, media), samples in zip(texts[k:j], files, decoded(files), strict=True):
+                    payload, pcm = read_payload(media), resample(samples, rate, to)
+                    stored = wav(PCM, pcm.astype("<i2").tobytes(), to, 2, 16)
+                    row = [len(text), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), features(pcm, to), len(stored), hashlib.sha256(stored).hexdigest(), media, stored]
+                    for c, v in zip(cols, row, strict=False):
+                        c.append(v)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, j - k), *(pa.array(c, kind) for c, kind in zip(cols, kinds, strict=True))], names=names)
+                k = j
+
+    more = ", media binary, pcm binary" * with_media
+    return map_documents(docs, run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pcm_bytes long, pcm_sha256 string" + more)

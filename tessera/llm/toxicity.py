@@ -7,7 +7,8 @@ edited or not, quoted or not.  Each kind's chance of toxicity is counted on the
 Scoring, in Arrow batches over whole texts: the score of a text is the chance that at least one of its hits is
 abuse; without hits it is the toxic share of the sample's documents without hits.
 
-Null and empty texts have no hits.  Without any usable label all texts get score 0.  Repeated rows are repeated.
+Null and empty texts have no hits.  Without any usable label all texts get score 0.  Repeated rows are repeated; texts
+of any length are read whole; other columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tessera.llm.docmap import map_documents
 from tessera.llm.fuzzy_lexicon import FuzzyLexicon
@@ -125,12 +126,11 @@ def fit(sample: list[tuple[str, int]]) -> ToxicModel:
     lexicon = FuzzyLexicon(learn_terms(toxic, clean))
     model = ToxicModel(lexicon, {}, frozenset(), 0.0)
     all_hits = [(model.hits(t), y) for t, y in sample]
-    edited: Counter = Counter()
+    edited: tuple[Counter, Counter] = (Counter(), Counter())
     for hits, y in all_hits:
-        if not y:
-            edited.update({t for t, e, _ in hits if e})
-    # An edited form is believed unless clean documents have it too.
-    model.noisy = frozenset(t for t, n in edited.items() if n >= 2)
+        edited[int(bool(y))].update({t for t, e, _ in hits if e})
+    # Edited forms of a term are believed unless clean documents have them, for their number, more than a tenth as often.
+    model.noisy = frozenset(t for t, n in edited[0].items() if n >= 2 and n * len(toxic) * 10 > edited[1][t] * len(clean))
     kinds = {(0, False): [9.0, 0.5], (1, False): [4.0, 1.0], (0, True): [2.0, 8.0], (1, True): [1.0, 9.0]}  # prior toxic, clean
     none = [0.5, 10.0]
     for hits, y in all_hits:
@@ -147,18 +147,24 @@ def held_out(id_col: str = "doc_id"):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, most: dict[int, int]) -> list[tuple[str, int]]:
-    """Up to ``most[y]`` labelled texts of each class y, chosen by the hash of their ids; none that are held out."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, most: dict[int, int], longest: int = 1 << 20, most_bytes: int = 1 << 26) -> list[tuple[str, int]]:
+    """Up to ``most[y]`` labelled texts of each class y, chosen by the hash of their ids; none that are held out.
+
+    Ids with both labels teach nothing, of an id's texts the smallest counts, texts of over ``longest`` bytes don't, and
+    what comes to the driver ends with ``most_bytes``.
+    """
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(target).cast("int").alias("y")).where(F.col("doc_id").isNotNull() & F.col("y").isNotNull() & ~held_out())
-    out: list[tuple[str, int]] = []
+    single = usable.groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("other")).where("y = other").select("doc_id", "y")
     parts = None
     for y, n in most.items():
-        part = usable.where(F.col("y") == y).dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+        part = single.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
         parts = part if parts is None else parts.union(part)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").isNotNull())
-    # At most sum(most) ids: bounded, so it may be broadcast.
-    out = [(r.text, r.y) for r in texts.join(F.broadcast(parts), "doc_id").orderBy("doc_id").select("text", "y").collect()]
-    return out
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.octet_length("text") <= longest)
+    # At most sum(most) ids: bounded, so they may be broadcast, and their texts counted up in one task.
+    chosen = texts.join(F.broadcast(parts), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    so_far = F.sum(F.octet_length("text")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))
+    rows = chosen.withColumn("so_far", so_far).where(F.col("so_far") <= most_bytes)
+    return [(r.text, r.y) for r in rows.orderBy("doc_id").select("text", "y").collect()]
 
 
 def train(docs: DataFrame, labels: DataFrame, most_toxic: int = 1000, most_clean: int = 4000) -> ToxicModel:
@@ -166,27 +172,30 @@ def train(docs: DataFrame, labels: DataFrame, most_toxic: int = 1000, most_clean
     return fit(labelled_sample(docs, labels, "toxic", {1: most_toxic, 0: most_clean}))
 
 
-def score_documents(docs: DataFrame, model: ToxicModel, threshold: float = 0.3, block: int = 1 << 21) -> DataFrame:
+def hits_of(texts: list[str], model: ToxicModel, block: int = 1 << 21) -> Iterator[list[tuple[int, int, bool]]]:
+    """The hits of each text; texts are read in groups of about ``block`` characters."""
+    k = 0
+    while k < len(texts):
+        j, size = k, 0
+        while j < len(texts) and (j == k or size < block):
+            size += len(texts[j]) + 1
+            j += 1
+        group = texts[k:j]
+        first = np.cumsum([0] + [len(t) + 1 for t in group])
+        found = model.lexicon.find(np.frombuffer("\n".join(group).encode("utf-32-le"), "<u4"))
+        own: list[list] = [[] for _ in group]
+        for h, d in zip(found, np.searchsorted(first, [h[0] for h in found], "right") - 1, strict=True):
+            own[d].append(h)
+        yield from (model.judged(t, h, s) if h else [] for t, h, s in zip(group, own, first.tolist(), strict=False))
+        k = j
+
+
+def score_documents(docs: DataFrame, model: ToxicModel, threshold: float = 0.3) -> DataFrame:
     """doc_id, score, predicted, n_hits, n_quoted, n_edited, terms (those hit, sorted) of every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            hits: list[list] = []
-            k = 0
-            while k < len(texts):
-                j, size = k, 0
-                while j < len(texts) and (j == k or size < block):
-                    size += len(texts[j]) + 1
-                    j += 1
-                group = texts[k:j]
-                first = np.cumsum([0] + [len(t) + 1 for t in group])
-                found = model.lexicon.find(np.frombuffer("\n".join(group).encode("utf-32-le"), "<u4"))
-                own: list[list] = [[] for _ in group]
-                for h, d in zip(found, np.searchsorted(first, [h[0] for h in found], "right") - 1, strict=True):
-                    own[d].append(h)
-                hits += [model.judged(t, h, s) if h else [] for t, h, s in zip(group, own, first.tolist(), strict=False)]
-                k = j
+            hits = list(hits_of([t or "" for t in batch.column(1).to_pylist()], model))
             scores = [model.score(h) for h in hits]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -209,6 +218,6 @@ def without_toxic(docs: DataFrame, model: ToxicModel, threshold: float = 0.3) ->
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
-        return pd.Series([model.score(model.hits(t or "")) for t in texts], dtype="float64")
+        return pd.Series([model.score(h) for h in hits_of(texts.tolist(), model)], dtype="float64")
 
-    return docs.where(score(F.coalesce("text", F.lit(""))) < threshold)
+    return docs.where(score(F.coalesce(F.col("text").cast("string"), F.lit(""))) < threshold)

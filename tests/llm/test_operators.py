@@ -173,17 +173,54 @@ def test_telephony():
 
 
 def test_media_query(spark):
-    texts = ["", "x" * 64, "é" * 100, None]
+    texts = ["", "x" * 64, "é" * 100, None, *(f"text {k} " * k for k in range(1, 40))]
     df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
-    for r in telephony.store_payloads(df).collect():
+    rows, kinds = telephony.store_payloads(df, with_media=True, group=500).collect(), set()
+    assert len(rows) == len(texts)
+    for r in rows:
         data = (texts[r.doc_id] or "").encode()
         payload = data + bytes(max(64, -(-len(data) // 64) * 64) - len(data))
-        media = telephony.wav(telephony.MU_LAW, payload)
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
-        assert (r.media_bytes, r.media_sha256) == (len(media), hashlib.sha256(media).hexdigest())
-    out = telephony.transcode(spark.createDataFrame([(1, bytearray(telephony.wav(telephony.A_LAW, b"abc"))), (2, bytearray(b"bad")), (3, None)], "media_id long, media binary")).collect()
-    got = {r.media_id: r for r in out}
-    assert telephony.read_wav(bytes(got[1].pcm))["rate"] == 16000 and got[2].pcm is None and got[3].feature is None
+        media, pcm = bytes(r.media), bytes(r.pcm)
+        assert (r.media_bytes, r.media_sha256, r.pcm_bytes, r.pcm_sha256) == (len(media), hashlib.sha256(media).hexdigest(), len(pcm), hashlib.sha256(pcm).hexdigest())
+        x = telephony.read_wav(media)
+        kinds.add(x["tag"])
+        # from the file alone, code by code
+        if x["tag"] == telephony.IMA_ADPCM:
+            blocks = np.frombuffer(x["data"], np.uint8).reshape(-1, 68)
+            assert blocks[:, 4:].tobytes() == payload
+            want = np.concatenate([telephony.decode_adpcm(b[None])[0] for b in blocks])
+        else:
+            assert x["data"] == payload
+            want = telephony.EXPAND[x["tag"]][np.frombuffer(payload, np.uint8)]
+        stored = telephony.read_wav(pcm)
+        got = np.frombuffer(stored["data"], "<i2")
+        assert stored["rate"] == 16000 and (got[::2] == want).all()
+        n = [int(f.split("=")[1]) for f in r.feature.split(";") if f.startswith(("n=", "peak=", "zc="))]
+        assert n == [len(got), int(np.abs(got.astype(int)).max()), sum((a >= 0) != (b >= 0) for a, b in zip(got, got[1:], strict=False))]
+    assert kinds == {telephony.MU_LAW, telephony.A_LAW, telephony.IMA_ADPCM}
+
+
+def test_transcode_gives_null_for_what_it_cant_read(spark):
+    good, stereo = telephony.wav(telephony.A_LAW, b"abc"), bytearray(telephony.wav(telephony.MU_LAW, b"abcd"))
+    stereo[22] = 2
+    media = [good, b"bad", None, stereo, telephony.wav(telephony.IMA_ADPCM, b"abcd" * 4, block=5)[:40], telephony.wav(telephony.MU_LAW, b"abc", rate=0)]
+    for block in (0, 2):
+        x = bytearray(telephony.wav(telephony.IMA_ADPCM, b"abcd" * 4, block=8))
+        x[32:34] = block.to_bytes(2, "little")
+        media.append(x)
+    df = spark.createDataFrame([(k, None if m is None else bytearray(m)) for k, m in enumerate(media)], "media_id long, media binary")
+    got = {r.media_id: r for r in telephony.transcode(df).collect()}
+    assert telephony.read_wav(bytes(got[0].pcm))["rate"] == 16000
+    assert all(got[k].pcm is None and got[k].feature is None for k in range(1, len(media)))
+    assert telephony.transcode(df.limit(0)).collect() == []
+
+
+def test_resampling_down_takes_out_what_does_not_fit():
+    t = np.arange(16000) / 16000
+    low, high = (8000 * np.sin(2 * np.pi * f * t) for f in (300, 7000))
+    got = telephony.resample((low + high).astype(np.int16), 16000, 8000)
+    assert len(got) == 8000 and np.abs(got - low[::2])[200:-200].max() < 400
 
 
 def slow_fingerprint(text):
