@@ -1,12 +1,13 @@
 """Quality rules: exact base statistics, and a calibrated logistic regression on hashed word and character n-grams.
 
-Features of a text are the shares of its hashed bytes' n-grams (2 to 4) and of its hashed words.  The regression is
+Features of a text are the shares of its hashed character n-grams (2 to 4 code points) and of its hashed words.  The regression is
 fitted on the driver by full-batch Adam on a bounded sample of labelled rows; Platt scaling on the part of the
 sample that fitting left out makes its margins probabilities.  Scoring gathers weights over whole texts in Arrow
 batches, and compares with fixed thresholds.
 
 Null and empty texts have no words and fail the base rules.  Without labels of both classes only the base rules
-judge.  Repeated rows are repeated; equal texts get equal rows.
+judge.  Repeated rows are repeated; equal texts get equal rows.  Texts of any length are read whole; other columns,
+whatever their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -37,14 +38,20 @@ class QualityModel:
     offset: float
 
 
-def gram_hashes(data: np.ndarray) -> list[np.ndarray]:
-    """Buckets of the n-grams of 2, 3 and 4 bytes that start at each byte (0 is padding at the end)."""
-    wide = np.concatenate([data, np.zeros(3, np.uint8)]).astype(np.uint32)
-    n = len(data)
-    two = wide[:n] | wide[1 : n + 1] << 8
-    three = two | wide[2 : n + 2] << 16
-    four = three | wide[3 : n + 3] << 24
-    return [(g * np.uint32(2654435761) + np.uint32(k * 0x9E3779B1 & 0xFFFFFFFF) >> np.uint32(32 - BITS)).astype(np.int32) for k, g in enumerate((two, three, four))]
+def points_of(text: bytes) -> np.ndarray:
+    """The code points of UTF-8 text."""
+    return np.frombuffer(text, np.uint8).astype(np.uint32) if text.isascii() else np.frombuffer(text.decode().encode("utf-32-le"), "<u4")
+
+
+def gram_hashes(points: np.ndarray) -> list[np.ndarray]:
+    """Buckets of the n-grams of 2, 3 and 4 characters that start at each one (0 is padding at the end)."""
+    n = len(points)
+    wide = np.concatenate([points, np.zeros(3, np.uint32)]).astype(np.uint32)
+    # Odd multipliers, one for each place: the sum's upper bits depend on all characters.
+    two = wide[:n] * np.uint32(2654435761) + wide[1 : n + 1] * np.uint32(2246822519)
+    three = two + wide[2 : n + 2] * np.uint32(3266489917)
+    four = three + wide[3 : n + 3] * np.uint32(668265263)
+    return [((g ^ g >> np.uint32(15)) * np.uint32(2654435769 + 2 * k) >> np.uint32(32 - BITS)).astype(np.int32) for k, g in enumerate((two, three, four))]
 
 
 def word_bucket(word: bytes) -> int:
@@ -63,15 +70,16 @@ def margins(texts: list[bytes], model: QualityModel, block: int = 1 << 20) -> np
             size += len(texts[j])
             j += 1
         group = texts[k:j]
-        data = np.frombuffer(b"\0\0\0".join(group), np.uint8)  # so much that no n-gram reaches the next text
-        sums = np.zeros(len(data))
-        for g in gram_hashes(data):
+        points = points_of(b"\0\0\0".join(group))  # so much that no n-gram reaches the next text
+        lengths = [len(t) if t.isascii() else len(t.decode()) for t in group]
+        sums = np.zeros(len(points))
+        for g in gram_hashes(points):
             sums += model.weights[g]
-        first = np.cumsum([0] + [len(t) + 3 for t in group[:-1]])
+        first = np.cumsum([0] + [n + 3 for n in lengths[:-1]])
         total = np.concatenate([[0.0], np.cumsum(sums)])
         for i, t in enumerate(group):
             if t:
-                out[k + i] += (total[first[i] + len(t)] - total[first[i]]) / (3 * len(t))
+                out[k + i] += (total[first[i] + lengths[i]] - total[first[i]]) / (3 * lengths[i])
                 words = t.split()
                 if words:
                     s = 0.0
@@ -88,11 +96,11 @@ def margins(texts: list[bytes], model: QualityModel, block: int = 1 << 20) -> np
 
 
 def _features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    data = np.frombuffer(text, np.uint8)
-    grams, n = np.unique(np.concatenate(gram_hashes(data)), return_counts=True)
+    points = points_of(text)
+    grams, n = np.unique(np.concatenate(gram_hashes(points)), return_counts=True)
     words = text.split()
     buckets, m = np.unique(np.fromiter(map(word_bucket, words), np.int32, len(words)), return_counts=True)
-    return np.concatenate([grams, buckets]), np.concatenate([n / (3 * max(1, len(data))), m / max(1, len(words))])
+    return np.concatenate([grams, buckets]), np.concatenate([n / (3 * max(1, len(points))), m / max(1, len(words))])
 
 
 def fit(sample: list[tuple[str, int]], rounds: int = 120, rate: float = 8.0, decay: float = 1e-5) -> QualityModel | None:

@@ -490,3 +490,16 @@ def test_pages(wrap):
     body = "<h2>Head &amp; shoulders</h2><p>First,   with <b>bold</b>\n and <a href=x>a link</a>, goes on for quite a while, as paragraphs do.<p>Second one, unclosed, &eacute;&#233;&#xe9; also with words enough.<ul><li>point one<li>point two</ul><div class=ad>Buy!</div><blockquote>Quoted, at last.</blockquote>"
     want = "Head & shoulders\nFirst, with bold and a link, goes on for quite a while, as paragraphs do.\nSecond one, unclosed, ééé also with words enough.\npoint one\npoint two\nQuoted, at last."
     assert html_extract.main_text(PAGE % (wrap % body)) == want
+
+
+def test_quality_margin_is_that_of_its_definition():
+    """Margins of scoring against features and weights, one text at a time, in many scripts."""
+    r = np.random.default_rng(3)
+    model = quality.QualityModel(r.standard_normal(2 * quality.SIZE).astype(np.float32), 0.25, 1.0, 0.0)
+    texts = [t.encode() for t in [*mixed(200, 4), "Straße élan 中文 текст 🙂"] if "\x00" not in t]
+    got = quality.margins(texts, model)
+    for t, m in zip(texts, got, strict=True):
+        points = [ord(c) for c in t.decode()]
+        assert quality.points_of(t).tolist() == points
+        where, share = quality._features(t) if t else (np.zeros(0, int), np.zeros(0))
+        assert abs(m - 0.25 - float((model.weights[where] * share).sum())) < 1e-4
