@@ -8,10 +8,15 @@ from tessera.functions.vectors import dot
 from tessera.operators.interactions import id_index
 
 
-def train(pairs: DataFrame, *, rank: int = 10, iterations: int = 10, reg: float = 0.001, alpha: float = 1.0, is_implicit: bool = True, seed: int = 1, blocks: int = 10, checkpoint_interval: int = 5) -> tuple[DataFrame, DataFrame]:
-    """(X, Y): (id, features) of users and items of (user, item, strength).  Ids are numbered in string order."""
+def train(pairs: DataFrame, *, rank: int = 10, iterations: int = 10, reg: float = 0.001, alpha: float = 1.0, is_implicit: bool = True, seed: int = 1, blocks: int | None = None, checkpoint_interval: int = 5) -> tuple[DataFrame, DataFrame]:
+    """(X, Y): (id, features) of users and items of (user, item, strength).  Ids are numbered in string order.
+
+    ``blocks`` of users and of items: as many as the cluster runs tasks at once (4 to 1,000) where not given.
+    """
     from pyspark.ml.recommendation import ALS
 
+    blocks = blocks or min(1000, max(4, pairs.sparkSession.sparkContext.defaultParallelism))
+
     users, items = id_index(pairs, "user"), id_index(pairs, "item")
     coded = pairs.select(F.col("user").cast("string").alias("user"), F.col("item").cast("string").alias("item"), "strength").join(users.toDF("user", "u"), "user").join(items.toDF("item", "i"), "item").select("u", "i", F.col("strength").cast("float").alias("r"))
     model = ALS(rank=rank, maxIter=iterations, regParam=reg, alpha=alpha, implicitPrefs=is_implicit, userCol="u", itemCol="i", ratingCol="r", seed=seed, numUserBlocks=blocks, numItemBlocks=blocks, checkpointInterval=checkpoint_interval).fit(coded)

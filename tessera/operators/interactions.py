@@ -12,9 +12,12 @@ MS_PER_DAY = 86_400_000.0
 
 
 def from_tokens(lines: DataFrame, tokens: str = "tokens") -> DataFrame:
-    """user, item, strength (null: delete), ts_ms of tokens user,item,strength,timestamp; malformed numbers fail."""
+    """user, item, strength (null: delete), ts_ms of tokens user,item,strength,timestamp; malformed numbers fail.
+
+    A strength that is no number (NaN) deletes, as an empty one does.
+    """
     t = F.col(tokens)
-    strength = F.when(F.get(t, 2) == "", F.lit(None)).otherwise(F.get(t, 2).cast("double"))
+    strength = F.when(F.get(t, 2) == "", F.lit(None)).otherwise(F.nanvl(F.get(t, 2).cast("double"), F.lit(None).cast("double")))
     return lines.select(F.get(t, 0).alias("user"), F.get(t, 1).alias("item"), strength.alias("strength"), F.get(t, 3).cast("bigint").alias("ts_ms"))
 
 
@@ -41,17 +44,18 @@ def implicit(rows: DataFrame, tie: list[str] | None = None) -> DataFrame:
     order = F.struct("ts_ms", *(tie or []))
     cut = F.max(F.when(F.col("strength").isNull(), order)).over(pair)
     live = rows.withColumn("_order", order).withColumn("_cut", cut).where(F.col("_cut").isNull() | (F.col("_order") > F.col("_cut")))
-    return live.groupBy("user", "item").agg(F.sum("strength").alias("strength"))
+    return live.groupBy("user", "item").agg(F.sum("strength").alias("strength")).where("strength is not null and not isnan(strength)")
 
 
 def explicit(rows: DataFrame, tie: list[str] | None = None) -> DataFrame:
     """user, item, strength: the pair's last value; pairs that end with a delete go."""
     last = F.max_by(F.struct("strength"), F.struct("ts_ms", *(tie or [])))
-    return rows.groupBy("user", "item").agg(last.alias("last")).select("user", "item", F.col("last.strength").alias("strength")).where("strength is not null")
+    return rows.groupBy("user", "item").agg(last.alias("last")).select("user", "item", F.col("last.strength").alias("strength")).where("strength is not null and not isnan(strength)")
 
 
 def log_strength(pairs: DataFrame, epsilon: float) -> DataFrame:
-    return pairs.withColumn("strength", F.log1p(F.col("strength") / epsilon))
+    """Strengths of which there is no logarithm go."""
+    return pairs.withColumn("strength", F.log1p(F.col("strength") / epsilon)).where("strength is not null and not isnan(strength)")
 
 
 def aggregated(rows: DataFrame, *, is_implicit: bool, decay: float = 1.0, now_ms: int = 0, zero_threshold: float = 0.0, log_epsilon: float | None = None, tie: list[str] | None = None) -> DataFrame:

@@ -23,10 +23,6 @@ from tessera.streaming import updates as U
 from tessera.streaming.layers import LearningApp
 
 
-def _append(spark: SparkSession, log_path: str, seq: int, key: str, value: str) -> None:
-    spark.createDataFrame([(seq, key, value)], "seq long, key string, value string").write.mode("append").parquet(log_path)
-
-
 @dataclass
 class Recommender(LearningApp):
     """Lines user,item,strength,timestamp.  Searched: rank, regularization and, for implicit data, alpha."""
@@ -47,6 +43,8 @@ class Recommender(LearningApp):
     search: str = "grid"
     seed: int = 1
     now_ms: int = 0
+    blocks: int | None = None  # of the factorization; as many as the cluster has cores, if not given
+    max_inline: int = U.MAX_INLINE
 
     @property
     def domains(self) -> list:
@@ -69,7 +67,7 @@ class Recommender(LearningApp):
         if pairs.isEmpty():
             return None
         rank, reg, *alpha = params
-        return als.train(pairs, rank=int(rank), iterations=self.iterations, reg=reg, alpha=alpha[0] if alpha else 1.0, is_implicit=self.is_implicit, seed=self.seed, blocks=4)
+        return als.train(pairs, rank=int(rank), iterations=self.iterations, reg=reg, alpha=alpha[0] if alpha else 1.0, is_implicit=self.is_implicit, seed=self.seed, blocks=self.blocks)
 
     def evaluate(self, model, train: DataFrame, test: DataFrame) -> float:
         x, y = model
@@ -85,15 +83,14 @@ class Recommender(LearningApp):
             store.write_factors(table, f"{folder}/{name}")
         x, y = (store.read_factors(spark, f"{folder}/{name}") for name in "XY")
         doc = mf.Manifest("als", {"implicit": self.is_implicit, "logStrength": self.log_epsilon is not None, "epsilon": self.log_epsilon, "users": x.count(), "items": y.count()}, {"X": f"{folder}/X", "Y": f"{folder}/Y"})
-        first = stamp_ms << 20
-        _append(spark, self.log_path, first, *U.model_message(doc.dumps(), folder))
-        U.publish(U.vector_messages(y, "Y"), self.log_path, first + 1)
+        U.publish_model(spark, doc.dumps(), folder, self.log_path, stamp_ms, self.max_inline)
+        U.publish(U.vector_messages(y, "Y"), self.log_path)
         if self.keep_known:
             seen = ix.known_items(self.rows(new.unionByName(old.select(new.columns))))
             items = seen.groupBy(F.col("user").alias("id")).agg(F.sort_array(F.collect_set("item")).alias("known"))
-            U.publish(U.vector_messages(x.join(items, "id"), "X", "known"), self.log_path, first + (1 << 18))
+            U.publish(U.vector_messages(x.join(items, "id"), "X", "known"), self.log_path)
         else:
-            U.publish(U.vector_messages(x, "X"), self.log_path, first + (1 << 18))
+            U.publish(U.vector_messages(x, "X"), self.log_path)
 
 
 @dataclass
@@ -108,10 +105,10 @@ class RecommenderSpeed:
     epsilon: float | None = None
 
     def consume(self, updates: DataFrame) -> None:
-        last = updates.where("key in ('MODEL', 'MODEL-REF')").orderBy(F.desc("seq")).first()
+        last = U.last_model(updates)
         if last is None:
             return
-        doc = mf.Manifest.loads(last.value)
+        doc = mf.Manifest.loads(last[1])
         now = U.latest_vectors(updates)
         self.x, self.y = (now.where(F.col("matrix") == m).select("id", "features") for m in "XY")
         expected = doc.extension("users", 0) + doc.extension("items", 0)
@@ -148,6 +145,7 @@ class Clusters(LearningApp):
     threshold: float | None = None
     search: str = "grid"
     seed: int = 1
+    max_inline: int = U.MAX_INLINE
 
     def __post_init__(self) -> None:
         if self.schema.has_target or any(self.schema.is_categorical(n) for n in self.schema.active):
@@ -169,7 +167,7 @@ class Clusters(LearningApp):
     def publish(self, model: DataFrame, new: DataFrame, old: DataFrame, stamp_ms: int) -> None:
         rows = [(r.id, list(r.center), r["count"]) for r in model.orderBy("id").collect()]
         model.write.mode("overwrite").parquet(f"{self.model_folder}/{stamp_ms}")
-        _append(new.sparkSession, self.log_path, stamp_ms << 20, *U.model_message(mf.clusters_xml(rows), f"{self.model_folder}/{stamp_ms}"))
+        U.publish_model(new.sparkSession, mf.clusters_xml(rows), f"{self.model_folder}/{stamp_ms}-message", self.log_path, stamp_ms, self.max_inline)
 
 
 @dataclass
@@ -178,11 +176,11 @@ class ClustersSpeed:
     clusters: DataFrame | None = None
 
     def consume(self, updates: DataFrame) -> None:
-        last = updates.where("key = 'MODEL'").orderBy(F.desc("seq")).first()
+        last = U.last_model(updates)
         if last is not None:
             spark = updates.sparkSession
-            base = spark.createDataFrame(mf.clusters_from_xml(last.value), "id int, center array<double>, count long")
-            moved = U.latest_clusters(updates.where(F.col("seq") > last.seq))
+            base = spark.createDataFrame(mf.clusters_from_xml(last[1]), "id int, center array<double>, count long")
+            moved = U.latest_clusters(updates.where(F.col("seq") > last[0]))
             self.clusters = base.join(moved.select("id"), "id", "left_anti").unionByName(moved)
 
     def build_updates(self, new: DataFrame) -> DataFrame:
@@ -205,6 +203,7 @@ class Forests(LearningApp):
     threshold: float | None = None
     search: str = "grid"
     seed: int = 1
+    max_inline: int = U.MAX_INLINE
 
     @property
     def domains(self) -> list:
@@ -241,7 +240,7 @@ class Forests(LearningApp):
         spark = new.sparkSession
         rdf.to_table(spark, forest).write.mode("overwrite").parquet(f"{self.model_folder}/{stamp_ms}")
         doc = json.dumps({"forest": mf.forest_xml(forest), "encodings": {str(k): v for k, v in codes.values.items()}})
-        _append(spark, self.log_path, stamp_ms << 20, *U.model_message(doc, f"{self.model_folder}/{stamp_ms}"))
+        U.publish_model(spark, doc, f"{self.model_folder}/{stamp_ms}-message", self.log_path, stamp_ms, self.max_inline)
 
 
 def forest_of(value: str) -> tuple[rdf.Forest, Encodings]:
@@ -257,9 +256,9 @@ class ForestsSpeed:
     codes: Encodings | None = None
 
     def consume(self, updates: DataFrame) -> None:
-        last = updates.where("key = 'MODEL'").orderBy(F.desc("seq")).first()
+        last = U.last_model(updates)
         if last is not None:
-            self.forest, self.codes = forest_of(last.value)
+            self.forest, self.codes = forest_of(last[1])
 
     def build_updates(self, new: DataFrame) -> DataFrame:
         s = self.schema
@@ -273,15 +272,19 @@ class ForestsSpeed:
 
 @dataclass
 class WordCounts:
-    """The example application: co-occurrence counts of all lines, then of micro-batches on top."""
+    """The example application: co-occurrence counts of all lines, then of micro-batches on top.
+
+    Counts stay a table, next to the log, that the model's message names: no row holds the whole vocabulary.
+    """
 
     log_path: str
     model: DataFrame | None = None
 
     def run_update(self, spark: SparkSession, stamp_ms: int, new: DataFrame, old: DataFrame) -> None:
         counts = words.cooccurrence(new.select("value").unionByName(old.select("value")))
-        doc = counts.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("word", "count")))).alias("m")).first().m
-        _append(spark, self.log_path, stamp_ms << 20, "MODEL", doc or "{}")
+        folder = f"{self.log_path.rstrip('/')}.models/{stamp_ms}"
+        counts.write.mode("overwrite").parquet(folder)
+        U.append(spark, self.log_path, "MODEL-REF", folder, stamp_ms)
 
     def consume(self, updates: DataFrame) -> None:
         self.model = U.latest_words(updates)

@@ -53,8 +53,9 @@ PAIRS = (
     pairs AS (SELECT u, i, sum(s) AS s FROM inter JOIN cut USING (u, i) WHERE c IS NULL OR struct_pack(t := t, e := e) > c GROUP BY u, i)"""
 )
 KNOWN = LOG + """, known AS (SELECT u, i FROM inter GROUP BY u, i HAVING arg_max(CASE WHEN s IS NULL THEN 0 ELSE 1 END, struct_pack(t := t, e := e)) = 1)"""
-FACTORS = """y AS (SELECT vec_id AS id, embedding::DOUBLE[] AS f FROM embeddings WHERE vec_id < 100),
-    x AS (SELECT u.id, v.embedding::DOUBLE[] AS f FROM (SELECT DISTINCT user_id AS id FROM events) u JOIN embeddings v ON v.vec_id = u.id % 400 + 100)"""
+NV = "nv AS (SELECT count(*) AS n FROM embeddings)"
+FACTORS = f"""{NV}, y AS (SELECT vec_id AS id, embedding::DOUBLE[] AS f FROM embeddings),
+    x AS (SELECT u.id, v.embedding::DOUBLE[] AS f FROM (SELECT DISTINCT user_id AS id FROM events) u JOIN embeddings v ON v.vec_id = (u.id * 7 + 100) % (SELECT n FROM nv))"""
 DOT, COS = "list_dot_product(x.f, y.f)", "list_dot_product({a}, {b}) / (sqrt(list_dot_product({a}, {a})) * sqrt(list_dot_product({b}, {b})))"
 
 
@@ -67,13 +68,15 @@ def known(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def item_factors(spark: SparkSession, sf_dir: str, rank: int | None = None) -> DataFrame:
-    return _cut(table(spark, sf_dir, "embeddings").where("vec_id < 100").select(F.col("vec_id").alias("id"), F.col("embedding").alias("features")), rank)
+    """Every embedding is an item."""
+    return _cut(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("features")), rank)
 
 
 def user_factors(spark: SparkSession, sf_dir: str, rank: int | None = None) -> DataFrame:
+    """Every user of the events, with the embedding that the user's number leads to."""
     users = table(spark, sf_dir, "events").select(F.col("user_id").alias("id")).distinct()
     vecs = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("features"))
-    return _cut(users.join(vecs, F.col("vec_id") == F.col("id") % 400 + 100).select("id", "features"), rank)
+    return _cut(users.join(vecs, F.col("vec_id") == (F.col("id") * 7 + 100) % vecs.count()).select("id", "features"), rank)
 
 
 def _cut(factors: DataFrame, rank: int | None) -> DataFrame:
@@ -175,10 +178,10 @@ def known_items(spark, sf_dir):
     return known(spark, sf_dir).select(F.col("user").alias("user_id"), F.col("item").alias("item_id"))
 
 
-@query("known_items_of_user", f"WITH {KNOWN} SELECT u AS user_id, i AS item_id FROM known WHERE u IN (0, 1, 2)")
+@query("known_items_of_user", f"WITH {KNOWN} SELECT u AS user_id, i AS item_id FROM known")
 def known_items_of_user(spark, sf_dir):
-    users = user_factors(spark, sf_dir).where("id in (0, 1, 2)")
-    return serving.known_of(users, known(spark, sf_dir)).select(F.col("user").alias("user_id"), F.col("item").alias("item_id"))
+    """Asked for every user of the model."""
+    return serving.known_of(user_factors(spark, sf_dir), known(spark, sf_dir)).select(F.col("user").alias("user_id"), F.col("item").alias("item_id"))
 
 
 for _name, _key in (("user_counts", "u"), ("item_counts", "i")):
@@ -259,8 +262,8 @@ def recommend_to_many(spark, sf_dir):
 
 
 # Rank 2, where the inverse has a closed form.
-_R2 = """y AS (SELECT vec_id AS id, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b FROM embeddings WHERE vec_id < 100),
-    x AS (SELECT u.id, v.embedding[1]::DOUBLE AS a, v.embedding[2]::DOUBLE AS b FROM (SELECT DISTINCT user_id AS id FROM events) u JOIN embeddings v ON v.vec_id = u.id % 400 + 100),
+_R2 = f"""{NV}, y AS (SELECT vec_id AS id, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b FROM embeddings),
+    x AS (SELECT u.id, v.embedding[1]::DOUBLE AS a, v.embedding[2]::DOUBLE AS b FROM (SELECT DISTINCT user_id AS id FROM events) u JOIN embeddings v ON v.vec_id = (u.id * 7 + 100) % (SELECT n FROM nv)),
     gy AS (SELECT sum(a * a) AS p, sum(a * b) AS q, sum(b * b) AS r FROM y), iy AS (SELECT r / (p * r - q * q) AS p, -q / (p * r - q * q) AS q, p / (p * r - q * q) AS r FROM gy),
     gx AS (SELECT sum(a * a) AS p, sum(a * b) AS q, sum(b * b) AS r FROM x), ix AS (SELECT r / (p * r - q * q) AS p, -q / (p * r - q * q) AS q, p / (p * r - q * q) AS r FROM gx)"""
 
@@ -303,13 +306,13 @@ def estimate_anonymous_r2(spark, sf_dir):
 
 @query(
     "recommend_context_r2",
-    f"""WITH {KNOWN}, {_R2}, z0 AS (SELECT id AS request, a, b FROM x WHERE id < 5), {_step("z0", 4, 1.0, "z1")}, {_step("z1", 5, 2.0, "z2")},
+    f"""WITH {KNOWN}, {_R2}, z0 AS (SELECT id AS request, a, b FROM x), {_step("z0", 4, 1.0, "z1")}, {_step("z1", 5, 2.0, "z2")},
     s AS (SELECT z.request AS user_id, y.id AS item_id, z.a * y.a + z.b * y.b AS v FROM z2 z, y WHERE y.id NOT IN (4, 5) AND NOT EXISTS (SELECT 1 FROM known k WHERE k.u = z.request AND k.i = y.id))
     SELECT user_id, item_id, round(v, 5) AS value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY v DESC, item_id) AS rn FROM s) WHERE rn <= 10""",
 )
 def recommend_context_r2(spark, sf_dir):
     users = user_factors(spark, sf_dir, 2)
-    path = users.where("id < 5").select(F.col("id").alias("request"), F.col("id").alias("user"), F.explode(F.array(F.struct(F.lit(0).alias("position"), F.lit(4).cast("long").alias("item"), F.lit(1.0).alias("weight")), F.struct(F.lit(1).alias("position"), F.lit(5).cast("long").alias("item"), F.lit(2.0).alias("weight")))).alias("p")).select("request", "user", "p.*")
+    path = users.select(F.col("id").alias("request"), F.col("id").alias("user"), F.explode(F.array(F.struct(F.lit(0).alias("position"), F.lit(4).cast("long").alias("item"), F.lit(1.0).alias("weight")), F.struct(F.lit(1).alias("position"), F.lit(5).cast("long").alias("item"), F.lit(2.0).alias("weight")))).alias("p")).select("request", "user", "p.*")
     who = foldin.profiles(path, item_factors(spark, sf_dir, 2), users).withColumnRenamed("request", "id")
     used = known(spark, sf_dir).unionByName(path.select("user", "item")).distinct()
     return serving.recommend(who, item_factors(spark, sf_dir, 2), used).select(F.col("user").alias("user_id"), F.col("item").alias("item_id"), _r("value", 5))
@@ -332,21 +335,21 @@ _SIM = COS.format(a="t.f", b="y.f")
 
 @query(
     "similarity_topk",
-    f"""WITH {FACTORS}, seeds AS (SELECT id AS item, id % 10 AS request FROM y WHERE id < 20),
+    f"""WITH {FACTORS}, seeds AS (SELECT id AS item, id // 2 AS request FROM y),
     t AS (SELECT request, list(v ORDER BY d) AS f FROM (SELECT request, d, sum(v) AS v FROM (SELECT request, unnest(f) AS v, generate_subscripts(f, 1) AS d FROM seeds JOIN y ON y.id = item) GROUP BY 1, 2) GROUP BY 1),
     s AS (SELECT t.request, y.id AS item_id, {_SIM} AS v FROM t, y WHERE NOT EXISTS (SELECT 1 FROM seeds WHERE seeds.request = t.request AND item = y.id))
     SELECT request, item_id, round(v, 6) AS value FROM (SELECT *, row_number() OVER (PARTITION BY request ORDER BY v DESC, item_id) AS rn FROM s) WHERE rn <= 10""",
 )
 def similarity_topk(spark, sf_dir):
     items = item_factors(spark, sf_dir)
-    seeds = items.where("id < 20").select((F.col("id") % 10).alias("request"), F.col("id").alias("item"))
+    seeds = items.select(F.floor(F.col("id") / 2).alias("request"), F.col("id").alias("item"))
     return serving.similar_items(seeds, items).select("request", F.col("item").alias("item_id"), _r("value"))
 
 
-@query("similarity_to_item", f"WITH {FACTORS}, p AS (SELECT id AS to_id, (id * 7 + 3) % 130 AS item_id FROM y) SELECT to_id, item_id, coalesce(round({_SIM}, 6), 0.0) AS value FROM p JOIN y t ON t.id = to_id LEFT JOIN y ON y.id = item_id")
+@query("similarity_to_item", f"WITH {FACTORS}, p AS (SELECT id AS to_id, (id * 7 + 3) % ((SELECT n FROM nv) * 5 // 4) AS item_id FROM y) SELECT to_id, item_id, coalesce(round({_SIM}, 6), 0.0) AS value FROM p JOIN y t ON t.id = to_id LEFT JOIN y ON y.id = item_id")
 def similarity_to_item(spark, sf_dir):
     items = item_factors(spark, sf_dir)
-    asked = items.select(F.col("id").alias("to"), ((F.col("id") * 7 + 3) % 130).alias("item"), F.lit(0).alias("position"))
+    asked = items.select(F.col("id").alias("to"), ((F.col("id") * 7 + 3) % (items.count() * 5 // 4)).alias("item"), F.lit(0).alias("position"))
     return serving.similarity_to_item(asked, items).select(F.col("to").alias("to_id"), F.col("item").alias("item_id"), _r("value"))
 
 
@@ -358,12 +361,13 @@ def estimate(spark, sf_dir):
 
 @query(
     "because",
-    f"""WITH {KNOWN}, {FACTORS}, r AS (SELECT id AS u, id % 100 AS target FROM x), s AS (SELECT r.u AS user_id, r.target AS target_id, y.id AS item_id, {_SIM} AS v FROM r JOIN y t ON t.id = target JOIN known k ON k.u = r.u JOIN y ON y.id = k.i)
+    f"""WITH {KNOWN}, {FACTORS}, r AS (SELECT id AS u, id * 3 % (SELECT n FROM nv) AS target FROM x), s AS (SELECT r.u AS user_id, r.target AS target_id, y.id AS item_id, {_SIM} AS v FROM r JOIN y t ON t.id = target JOIN known k ON k.u = r.u JOIN y ON y.id = k.i)
     SELECT user_id, target_id, item_id, round(v, 6) AS value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, target_id ORDER BY v DESC, item_id) AS rn FROM s) WHERE rn <= 5""",
 )
 def because(spark, sf_dir):
-    asked = user_factors(spark, sf_dir).select(F.col("id").alias("user"), (F.col("id") % 100).alias("target"))
-    rows = serving.because(asked, known(spark, sf_dir), item_factors(spark, sf_dir), 5)
+    items = item_factors(spark, sf_dir)
+    asked = user_factors(spark, sf_dir).select(F.col("id").alias("user"), (F.col("id") * 3 % items.count()).alias("target"))
+    rows = serving.because(asked, known(spark, sf_dir), items, 5)
     return rows.select(F.col("user").alias("user_id"), F.col("target").alias("target_id"), F.col("item").alias("item_id"), _r("value"))
 
 
@@ -512,11 +516,11 @@ def kmeans_silhouette(spark, sf_dir):
 
 @query(
     "kmeans_speed_update",
-    f"""WITH {_CENTERS}, e AS (SELECT id, unnest(f) AS v, generate_subscripts(f, 1) AS d FROM asg WHERE vec_id % 3 = 0), m AS (SELECT id, d, avg(v) AS m, count(*) AS k FROM e GROUP BY 1, 2)
+    f"""WITH {_CENTERS}, e AS (SELECT id, unnest(f) AS v, generate_subscripts(f, 1) AS d FROM asg), m AS (SELECT id, d, avg(v) AS m, count(*) AS k FROM e GROUP BY 1, 2)
     SELECT CAST(m.id AS INTEGER) AS id, CAST(d - 1 AS INTEGER) AS dim, round(c.f[d] + k / (n + k) * (m - c.f[d]), 6) AS value, n + k AS count FROM m JOIN c ON c.id = m.id""",
 )
 def kmeans_speed_update(spark, sf_dir):
-    rows = kmeans.speed_update(_points(spark, sf_dir).where("vec_id % 3 = 0"), _clusters(spark, sf_dir))
+    rows = kmeans.speed_update(_points(spark, sf_dir), _clusters(spark, sf_dir))
     return rows.select("id", "count", F.posexplode("center").alias("dim", "value")).select("id", "dim", _r("value"), "count")
 
 
@@ -644,13 +648,14 @@ def word_cooccurrence(spark, sf_dir):
     return words.cooccurrence(_text_lines(spark, sf_dir))
 
 
-_PARTS = "pw AS (SELECT list_distinct(string_split(rtrim(p_name, ' '), ' ')) AS w, p_partkey % 5 AS g FROM part), pa AS (SELECT unnest(w) AS word, w, g FROM pw), pp AS (SELECT DISTINCT g = 0 AS n, word, other FROM (SELECT g, word, unnest(w) AS other FROM pa) WHERE word <> other), pc AS (SELECT n, word, count(*) AS c FROM pp GROUP BY 1, 2)"
+_PARTS = "pw AS (SELECT list_distinct(string_split(rtrim(p_name, ' '), ' ')) AS w FROM part), pa AS (SELECT unnest(w) AS word, w FROM pw), pp AS (SELECT DISTINCT word, other FROM (SELECT word, unnest(w) AS other FROM pa) WHERE word <> other), pc AS (SELECT word, count(*) AS c FROM pp GROUP BY 1)"
 
 
-@query("word_speed_update", f"WITH {_PARTS} SELECT b.word, CAST(b.c + coalesce(m.c, 0) AS INTEGER) AS count FROM pc b LEFT JOIN pc m ON m.word = b.word AND NOT m.n WHERE b.n")
+@query("word_speed_update", f"WITH {_PARTS}, {_PAIRED}, m AS (SELECT word, count(*) AS c FROM p GROUP BY 1) SELECT b.word, CAST(b.c + coalesce(m.c, 0) AS INTEGER) AS count FROM pc b LEFT JOIN m ON m.word = b.word")
 def word_speed_update(spark, sf_dir):
+    """The model counts the documents' lines; the micro-batch is the names of all parts."""
     part = table(spark, sf_dir, "part").withColumnRenamed("p_name", "value")
-    return words.updated(words.cooccurrence(part.where("p_partkey % 5 <> 0")), part.where("p_partkey % 5 = 0"))
+    return words.updated(words.cooccurrence(_text_lines(spark, sf_dir)), part)
 
 
 # ---------------------------------------------------------------- update log
@@ -705,6 +710,19 @@ def update_log_clusters(spark, sf_dir):
     return latest_clusters(log).select("id", "count", F.get("center", 0).alias("c0"))
 
 
+@query("update_log_generations", "SELECT CAST(vec_id AS VARCHAR) AS id, CAST(label AS DOUBLE) + 1 AS f0 FROM embeddings")
+def update_log_generations(spark, sf_dir):
+    """Two generations published over many partitions: the log's last vectors are those of the second."""
+    from tessera.streaming import updates as U
+
+    log, e = f"{_scratch(spark)}/log", table(spark, sf_dir, "embeddings").repartition(16, "vec_id")
+    for generation in (0, 1):
+        rows = e.select(F.col("vec_id").cast("string").alias("id"), F.array(F.col("label") + generation).alias("features"))
+        U.publish_model(spark, "{}", f"{log}-model-{generation}", log, generation + 1)
+        U.publish(U.vector_messages(rows, "Y"), log)
+    return U.latest_vectors(spark.read.schema(U.LOG).parquet(log)).select("id", F.get("features", 0).cast("double").alias("f0"))
+
+
 @query("als_predict_pairs", f"WITH {PAIRS}, {FACTORS} SELECT u AS user_id, i AS item_id, round({DOT}, 6) AS predicted FROM pairs JOIN x ON x.id = u JOIN y ON y.id = i")
 def als_predict_pairs(spark, sf_dir):
     rows = als.predict(pairs(spark, sf_dir), user_factors(spark, sf_dir), item_factors(spark, sf_dir))
@@ -784,7 +802,7 @@ def assign_lines(spark, sf_dir):
 
 @query("als_train_topk")
 def als_train_topk(spark, sf_dir):
-    x, y = als.train(pairs(spark, sf_dir), rank=10, iterations=10, blocks=4)
+    x, y = als.train(pairs(spark, sf_dir), rank=10, iterations=10)
     seen = known(spark, sf_dir).select(F.col("user").cast("string").alias("user"), F.col("item").cast("string").alias("item"))
     return _named(serving.recommend(x, y, seen))
 
@@ -809,7 +827,7 @@ def forest_train_rmse(spark, sf_dir):
     return rdf.rmse(part.withColumn("p", rdf.regress(f, [F.col("size"), F.col("key")])), "p", "price")
 
 
-@query("hyperparam_grid")
+@query("hyperparam_grid", "SELECT CAST(r AS INTEGER) AS rank, g AS reg, i AS impurity FROM (SELECT unnest([1, 10]) AS r), (SELECT unnest([0.001e0, 1e0]) AS g), (SELECT unnest(['gini', 'entropy']) AS i)")
 def hyperparam_grid(spark, sf_dir):
     from tessera.plans.search import domain, grid
 
@@ -836,18 +854,33 @@ def stream_batch_generations(spark, sf_dir):
     return past(spark, kept, "event_id long, user_id long, event_type string, value double").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("event_id").alias("ids"))
 
 
+def _scratch(spark: SparkSession) -> str:
+    """A new folder that the cluster shares; it goes when the driver's JVM ends."""
+    import tempfile
+    import uuid
+
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the whole cluster shares")
+        shared = tempfile.mkdtemp(prefix="tessera-")
+    folder = f"{shared.rstrip('/')}/query-{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(where)
+    files.deleteOnExit(where)
+    return folder
+
+
 class _Nothing:
     def run_update(self, spark, stamp_ms, new, old) -> None:
         """Only stores."""
 
 
 def _streamed(spark: SparkSession, sf_dir: str) -> str:
-    import tempfile
-    import uuid
-
     from tessera.streaming.layers import batch_layer
 
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-")).rstrip("/") + f"/stream-{uuid.uuid4().hex}"
+    folder = _scratch(spark)
     table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value").repartition(4, "event_id").write.parquet(f"{folder}/in")
     schema = "event_id long, user_id long, event_type string, value double"
     source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")

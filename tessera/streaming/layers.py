@@ -118,7 +118,10 @@ def batch_layer(source: DataFrame, app: BatchApp, folder: str, checkpoint: str,
 
 
 def speed_layer(source: DataFrame, app: SpeedApp, publish: Callable[[DataFrame, int], None], checkpoint: str, *, interval_s: int | None = None) -> StreamingQuery:
-    """Each micro-batch's updates are built and published."""
+    """Each micro-batch's updates are built and published; ``publish`` gets them and the batch's number.
+
+    Numbers of messages aren't made of the batch's: ``updates.publish`` puts them after all that the log has.
+    """
 
     def run(batch: DataFrame, epoch: int) -> None:
         if not batch.isEmpty():

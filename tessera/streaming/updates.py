@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tessera.functions.parsing import to_json_array
 
 MAX_INLINE = 16 << 20
+LOG = "seq long, key string, value string"
 
 
 def vector_messages(vectors: DataFrame, matrix: str, others: str | None = None) -> DataFrame:
@@ -38,9 +41,63 @@ def model_message(document: str, path: str, max_inline: int = MAX_INLINE) -> tup
     return ("MODEL", document) if len(document.encode()) <= max_inline else ("MODEL-REF", path)
 
 
-def publish(messages: DataFrame, log_path: str, first_seq: int) -> None:
-    """Append (key, value) to the log, numbered from ``first_seq`` on; numbers rise within a partition and don't repeat."""
-    messages.select((F.monotonically_increasing_id() + first_seq).alias("seq"), "key", "value").write.mode("append").parquet(log_path)
+def _files(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def next_seq(spark: SparkSession, log_path: str, at_least: int = 0) -> int:
+    """A number above all in the log, and not below ``at_least``."""
+    files, where = _files(spark, log_path)
+    if not files.exists(where):
+        return at_least
+    last = spark.read.schema(LOG).parquet(log_path).agg(F.max("seq").alias("last")).first().last
+    return at_least if last is None else max(at_least, last + 1)
+
+
+def append(spark: SparkSession, log_path: str, key: str, value: str, at_least: int = 0) -> int:
+    """Append one message after all others; its number."""
+    seq = next_seq(spark, log_path, at_least)
+    spark.createDataFrame([(seq, key, value)], LOG).write.mode("append").parquet(log_path)
+    return seq
+
+
+def publish(messages: DataFrame, log_path: str, at_least: int = 0) -> int:
+    """Append (key, value) to the log, after all that it has and in the order of partitions and rows; the first number.
+
+    Numbers have no gaps: messages are written with their partition and place in it, and what earlier partitions hold,
+    one row a partition, is added.  So whatever is published later comes later, however the rows are partitioned.
+    """
+    spark = messages.sparkSession
+    first = next_seq(spark, log_path, at_least)
+    staging = f"{log_path.rstrip('/')}.staging-{uuid.uuid4().hex}"
+    place = F.monotonically_increasing_id()
+    try:
+        messages.select(F.shiftright(place, 33).alias("part"), place.bitwiseAND((1 << 33) - 1).alias("row"), "key", "value").write.parquet(staging)
+        staged = spark.read.schema("part long, row long, key string, value string").parquet(staging)
+        sizes = staged.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+        before = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+        staged.join(F.broadcast(before), "part").select((F.col("before") + F.col("row") + first).alias("seq"), "key", "value").write.mode("append").parquet(log_path)
+    finally:
+        files, where = _files(spark, staging)
+        files.delete(where, True)
+    return first
+
+
+def publish_model(spark: SparkSession, document: str, folder: str, log_path: str, at_least: int = 0, max_inline: int = MAX_INLINE) -> int:
+    """Append the model's message; a document too large for one is written to ``folder`` and named by its path."""
+    key, value = model_message(document, f"{folder.rstrip('/')}/document", max_inline)
+    if key == "MODEL-REF":
+        spark.createDataFrame([(document,)], "value string").coalesce(1).write.mode("overwrite").parquet(value)
+    return append(spark, log_path, key, value, at_least)
+
+
+def last_model(log: DataFrame) -> tuple[int, str] | None:
+    """(number, document) of the log's last model, read from its place if that is what the message names."""
+    last = log.where("key in ('MODEL', 'MODEL-REF')").orderBy(F.desc("seq")).select("seq", "key", "value").first()
+    if last is None:
+        return None
+    return last.seq, log.sparkSession.read.parquet(last.value).first().value if last.key == "MODEL-REF" else last.value
 
 
 def vectors_of(log: DataFrame) -> DataFrame:
@@ -81,9 +138,15 @@ def latest_clusters(log: DataFrame) -> DataFrame:
 
 
 def latest_words(log: DataFrame) -> DataFrame:
-    """word, count after the last MODEL (a JSON map) and the UP messages that follow it."""
-    last = log.where("key = 'MODEL'").agg(F.max("seq").alias("at"))
-    after = log.crossJoin(F.broadcast(last)).where("at is null or seq >= at")
-    model = after.where("key = 'MODEL'").select("seq", F.explode(F.from_json("value", "map<string,int>")).alias("word", "count"))
-    ups = after.where("key = 'UP'").select("seq", F.regexp_extract("value", "^(.*),([0-9]+)$", 1).alias("word"), F.regexp_extract("value", "^(.*),([0-9]+)$", 2).cast("int").alias("count"))
-    return model.unionByName(ups).groupBy("word").agg(F.max_by("count", "seq").alias("count"))
+    """word, count after the last model (a JSON map, or where a table of word and count is) and the messages after it."""
+    last = log.where("key in ('MODEL', 'MODEL-REF')").orderBy(F.desc("seq")).select("seq", "key", "value").first()
+    ups = log.where("key = 'UP'").select("seq", F.regexp_extract("value", "^(.*),([0-9]+)$", 1).alias("word"), F.regexp_extract("value", "^(.*),([0-9]+)$", 2).cast("int").alias("count"))
+    if last is None:
+        rows = ups
+    else:
+        if last.key == "MODEL-REF":
+            model = log.sparkSession.read.parquet(last.value).select(F.lit(last.seq).alias("seq"), "word", F.col("count").cast("int").alias("count"))
+        else:
+            model = log.where((F.col("seq") == last.seq) & (F.col("key") == "MODEL")).select("seq", F.explode(F.from_json("value", "map<string,int>")).alias("word", "count"))
+        rows = model.unionByName(ups.where(F.col("seq") > last.seq))
+    return rows.groupBy("word").agg(F.max_by("count", "seq").alias("count"))

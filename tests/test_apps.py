@@ -133,3 +133,28 @@ def test_input_endpoints(spark, tmp_path):
     ids = spark.createDataFrame([("a",), ("b",)], "id string")
     assert not apps.loaded_enough(log_df, ids) and apps.loaded_enough(log_df, ids.where("id = 'a'"))
     assert Encodings({0: ["x"]}).value(0, 0) == "x"
+
+
+def test_models_by_reference(spark, tmp_path):
+    """A model too large for a message is read from the place that the message names."""
+    r = random.Random(9)
+    logs = {k: str(tmp_path / f"log-{k}") for k in "acf"}
+    ref = lambda k: spark.read.parquet(logs[k]).where("key = 'MODEL-REF'").count()
+    rows = [f"u{r.randrange(12)},i{r.randrange(9)},1,{k + 1}" for k in range(200)]
+    app = apps.Recommender(str(tmp_path / "ma"), logs["a"], iterations=2, params={"rank": 2, "reg": 0.1, "alpha": 1.0}, max_inline=0, test_fraction=0)
+    app.run_update(spark, 1, lines(spark, rows), lines(spark, rows).limit(0))
+    speed = apps.RecommenderSpeed()
+    speed.consume(spark.read.parquet(logs["a"]))
+    assert ref("a") == 1 and speed.loaded == 1.0 and speed.build_updates(lines(spark, rows[:3])).count() > 0
+    s = InputSchema(feature_names=["id", "a"], id_features=["id"], categorical_features=[])
+    rows = [f"id{k},{k % 2 * 10 + r.random()}" for k in range(100)]
+    apps.Clusters(s, str(tmp_path / "mc"), logs["c"], k=2, max_inline=0, test_fraction=0).run_update(spark, 1, lines(spark, rows), lines(spark, rows).limit(0))
+    clusters = apps.ClustersSpeed(s)
+    clusters.consume(spark.read.parquet(logs["c"]))
+    assert ref("c") == 1 and clusters.clusters.count() == 2
+    s = InputSchema(feature_names=["size", "y"], categorical_features=["y"], target_feature="y")
+    rows = [f"{x},{'big' if x > 0.5 else 'small'}" for x in (r.random() for _ in range(200))]
+    apps.Forests(s, str(tmp_path / "mf"), logs["f"], trees=2, max_inline=0, test_fraction=0, params={"depth": 3, "bins": 10, "impurity": "gini"}).run_update(spark, 1, lines(spark, rows), lines(spark, rows).limit(0))
+    forest = apps.ForestsSpeed(s)
+    forest.consume(spark.read.parquet(logs["f"]))
+    assert ref("f") == 1 and len(forest.forest.trees) == 2

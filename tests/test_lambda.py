@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from tessera.plans.search import ContinuousAround, ContinuousRange, DiscreteAround, DiscreteRange, Unordered, best_candidate, domain, grid, random_search
 from tessera.sources import store
+from tessera.operators import interactions as ix
 from tessera.streaming import layers, updates as U
 
 
@@ -68,7 +69,7 @@ def test_streams(spark, tmp_path):
             return U.word_messages(cooccurrence(new))
 
     log = str(tmp_path / "log")
-    layers.speed_layer(layers.log_source(spark, source), Words(), lambda rows, epoch: U.publish(rows, log, epoch << 40), str(tmp_path / "cp2")).awaitTermination()
+    layers.speed_layer(layers.log_source(spark, source), Words(), lambda rows, epoch: U.publish(rows, log), str(tmp_path / "cp2")).awaitTermination()
     model = spark.createDataFrame([(-1, "MODEL", '{"z":9}')], "seq long, key string, value string")
     got = {r.word: r["count"] for r in U.latest_words(model.unionByName(spark.read.parquet(log))).collect()}
     assert got == {"z": 9, "w0": 1, "w1": 1, "w2": 1, "x": 3}
@@ -141,3 +142,22 @@ def test_files(spark, tmp_path):
     (c / "m.json").write_text("{}")
     store.promote(spark, str(c), str(tmp_path / "model"))
     assert (tmp_path / "model" / "m.json").exists() and not (tmp_path / "cand").exists()
+
+
+def test_generations_are_in_order_however_they_are_partitioned(spark, tmp_path):
+    log = str(tmp_path / "ordered")
+    for generation, parts in ((1, 4), (2, 1), (3, 7)):
+        rows = spark.range(50).select(F.col("id").cast("string").alias("id"), F.array(F.lit(float(generation))).alias("features")).repartition(parts)
+        U.publish(U.vector_messages(rows, "Y"), log)
+    both = spark.read.schema(U.LOG).parquet(log)
+    assert [r.seq for r in both.orderBy("seq").collect()] == list(range(150))
+    assert {tuple(r.features) for r in U.latest_vectors(both).collect()} == {(3.0,)}
+    assert U.append(spark, log, "MODEL", "{}") == 150 and U.next_seq(spark, log, 1000) == 1000
+    assert list(tmp_path.iterdir()) == [tmp_path / "ordered"]  # nothing staged is left
+
+
+def test_strengths_that_are_no_numbers(spark):
+    rows = spark.createDataFrame([(["a", "x", "1", "1"],), (["a", "x", "NaN", "2"],), (["b", "x", "NaN", "1"],), (["b", "x", "2", "2"],), (["c", "x", "-3", "1"],)], "tokens array<string>")
+    got = lambda **k: {r.user: r.strength for r in ix.aggregated(ix.from_tokens(rows), **k).collect()}
+    assert got(is_implicit=True) == {"b": 2.0, "c": -3.0} and got(is_implicit=False) == {"b": 2.0, "c": -3.0}
+    assert set(got(is_implicit=True, log_epsilon=1.0)) == {"b"}
