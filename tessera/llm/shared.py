@@ -73,13 +73,19 @@ class Scratch:
     """Tables of one computation, dropped together when its ``with`` block ends, by an error or not."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.paths, self.names = spark, [], []
+        self.spark, self.paths, self.names, self.of = spark, [], [], {}
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         out, path = shared_table(df, name)
         self.paths.append(path)
+        self.of[id(out)] = path
         return out
 
+    def drop(self, table: DataFrame) -> None:
+        """Before the others, if ``table`` made it."""
+        if path := self.of.pop(id(table), None):
+            drop_shared(self.spark, path)
+
     def bucketed(self, df: DataFrame, name: str, key: str) -> DataFrame:
         """In buckets of ``key``, so that joins and groups on it don't move it."""
         name = f"tessera_{name}_{uuid.uuid4().hex}"
