@@ -78,13 +78,13 @@ class Scratch:
     def table(self, df: DataFrame, name: str) -> DataFrame:
         out, path = shared_table(df, name)
         self.paths.append(path)
-        self.of[id(out)] = path
+        self.of[id(out)] = out, path  # kept, so that the number stays its own
         return out
 
     def drop(self, table: DataFrame) -> None:
         """Before the others, if ``table`` made it."""
-        if path := self.of.pop(id(table), None):
-            drop_shared(self.spark, path)
+        if made := self.of.pop(id(table), None):
+            drop_shared(self.spark, made[1])
 
     def bucketed(self, df: DataFrame, name: str, key: str) -> DataFrame:
         """In buckets of ``key``, so that joins and groups on it don't move it."""
