@@ -43,9 +43,10 @@ _RUN = r"A-Za-z0-9+/_.~\-"
 #: A secret name, the rest of its identifier and the assignment.
 _ASSIGNED = SECRET_NAMES + r"(?:s|[_\-][A-Za-z0-9_\-]{0,20}|[0-9]{1,4}|Id|ID|Value)?[\"'\]]{0,2}[ \t]{0,64}(?:=>|:=|==|[:=])[ \t]{0,64}"
 _VALUE = "{6,%d}+" % LONGEST
-#: A gap from the last match on (or else each place without one would be tried anew), then a value in double or single quotes, a bare value, or a run with a digit.
+#: A gap from the last match on (or else each place without one would be tried anew), then an assignment and a value in
+#: double or single quotes or a bare one, or a run with a digit.  Secret names begin with one of a few letters.
 CANDIDATE = (
-    rf"(?s)\G(.*?)(?:({_ASSIGNED}\")([^\"\r\n]{_VALUE})\"|({_ASSIGNED}')([^'\r\n]{_VALUE})'|({_ASSIGNED})([^\s\"'`,;]{_VALUE})(?=[\s\"'`,;]|\z)"
+    rf"(?s)\G(.*?)(?:(?=[abcpstABCPST])({_ASSIGNED})(?:\"([^\"\r\n]{_VALUE})\"|'([^'\r\n]{_VALUE})'|([^\s\"'`,;]{_VALUE})(?=[\s\"'`,;]|\z))"
     rf"|((?<![{_RUN}])(?=[A-Za-z+/_.~\-]*+[0-9])[{_RUN}]{{8,{LONGEST}}}+(?![{_RUN}])={{0,2}}))"
 )
 FEATURES = ["size", "digits", "upper", "letters", "symbols", "changes", "distinct", "hex", "only_digits", "dotted", "covered", "vowels", "path", "assigned", "quoted", "named", "benign", "known"]
@@ -70,7 +71,9 @@ def candidates(docs: DataFrame, path_col: str | None = None) -> DataFrame:
     def placed(match: Column, nth: Column) -> Column:
         part = lambda groups: F.regexp_replace(match, F.lit(CANDIDATE), F.lit(groups))
         skipped = F.aggregate(F.slice("found", F.lit(1), nth), F.lit(0), lambda n, m: n + F.length(m))
-        return F.struct(part("$3$5$7$8").alias("token"), (skipped + F.length(part("$1$2$4$6"))).alias("at"))
+        token = part("$3$4$5$6")
+        # What stands before the candidate: all but itself and a closing quote.
+        return F.struct(token.alias("token"), (skipped + F.length(match) - F.length(token) - F.when(part("$3$4") != "", 1).otherwise(0)).alias("at"))
 
     def around(x: Column) -> Column:
         token, at = x["token"], x["at"]
