@@ -1,7 +1,7 @@
 """Quality rules: exact base statistics, and a calibrated logistic regression on hashed word and character n-grams.
 
 Features of a text are the shares of its hashed character n-grams (2 to 4 code points) and of its hashed words.  The regression is
-fitted on the driver by full-batch Adam on a bounded sample of labelled rows; Platt scaling on the part of the
+fitted in one task by full-batch Adam on a bounded sample of labelled rows; Platt scaling on the part of the
 sample that fitting left out makes its margins probabilities.  Scoring gathers weights over whole texts in Arrow
 batches, and compares with fixed thresholds.
 
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tessera.llm.docmap import map_documents, utf8_list
-from tessera.llm.toxicity import labelled_sample
+from tessera.llm.toxicity import labelled_rows, learned
 
 BITS = 16
 SIZE = 1 << BITS
@@ -179,7 +179,7 @@ def base_statistics(text: bytes, words: list[bytes]) -> tuple[int, int, int, int
 
 def train(docs: DataFrame, labels: DataFrame, most_good: int = 2500, most_bad: int = 2500) -> QualityModel | None:
     """Learn from at most ``most_good`` and ``most_bad`` labelled rows that aren't held out."""
-    return fit(labelled_sample(docs, labels, "quality", {1: most_good, 0: most_bad}))
+    return learned(labelled_rows(docs, labels, "quality", {1: most_good, 0: most_bad}), fit)
 
 
 def judge(docs: DataFrame, model: QualityModel | None, threshold: float = 0.5, min_words: int = 50) -> DataFrame:

@@ -1,6 +1,6 @@
 """Toxicity: a learned lexicon met by fuzzy automata, and context windows that tell quotation from abuse.
 
-Learning, on the driver, from a bounded sample of labelled documents: terms (words, or stems of words) are those
+Learning, in one task, from a bounded sample of labelled documents: terms (words, or stems of words) are those
 that toxic documents have far more often than clean ones.  A hit has a kind:
 edited or not, quoted or not.  Each kind's chance of toxicity is counted on the sample, with priors.
 
@@ -16,12 +16,14 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from typing import Any
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tessera.llm.docmap import map_documents
@@ -147,11 +149,11 @@ def held_out(id_col: str = "doc_id"):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, most: dict[int, int], longest: int = 1 << 20, most_bytes: int = 1 << 26) -> list[tuple[str, int]]:
-    """Up to ``most[y]`` labelled texts of each class y, chosen by the hash of their ids; none that are held out.
+def labelled_rows(docs: DataFrame, labels: DataFrame, target: str, most: dict[int, int], longest: int = 1 << 20, most_bytes: int = 1 << 26) -> DataFrame:
+    """doc_id, text, y: up to ``most[y]`` labelled texts of each class y, chosen by the hash of their ids; none that are held out.
 
     Ids with both labels teach nothing, of an id's texts the smallest counts, texts of over ``longest`` bytes don't, and
-    what comes to the driver ends with ``most_bytes``.
+    the sample, which one task holds, ends with ``most_bytes``.
     """
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(target).cast("int").alias("y")).where(F.col("doc_id").isNotNull() & F.col("y").isNotNull() & ~held_out())
     single = usable.groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("other")).where("y = other").select("doc_id", "y")
@@ -163,13 +165,26 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, most: dict[
     # At most sum(most) ids: bounded, so they may be broadcast, and their texts counted up in one task.
     chosen = texts.join(F.broadcast(parts), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
     so_far = F.sum(F.octet_length("text")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))
-    rows = chosen.withColumn("so_far", so_far).where(F.col("so_far") <= most_bytes)
-    return [(r.text, r.y) for r in rows.orderBy("doc_id").select("text", "y").collect()]
+    return chosen.withColumn("so_far", so_far).where(F.col("so_far") <= most_bytes).select("doc_id", "text", "y")
+
+
+def learned(rows: DataFrame, fit: Callable[[list[tuple[str, int]]], Any]) -> Any:
+    """What ``fit`` makes of the (text, y) of ``labelled_rows``, in order of doc_id.
+
+    A task fits and only the model comes to the driver: no texts, and a lost executor's fit is done again elsewhere.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sample = sorted(row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array([cloudpickle.dumps(fit([row[1:] for row in sample]))], pa.binary())], names=["model"])
+
+    made = rows.coalesce(1).mapInArrow(run, "model binary").collect()
+    return cloudpickle.loads(bytes(made[0].model)) if made else fit([])
 
 
 def train(docs: DataFrame, labels: DataFrame, most_toxic: int = 1000, most_clean: int = 4000) -> ToxicModel:
     """Learn from at most ``most_toxic`` and ``most_clean`` labelled documents that aren't held out."""
-    return fit(labelled_sample(docs, labels, "toxic", {1: most_toxic, 0: most_clean}))
+    return learned(labelled_rows(docs, labels, "toxic", {1: most_toxic, 0: most_clean}), fit)
 
 
 def hits_of(texts: list[str], model: ToxicModel, block: int = 1 << 21) -> Iterator[list[tuple[int, int, bool]]]:

@@ -92,7 +92,7 @@ def test_training_on_odd_labels(docs, labels):
     assert toxicity.train(docs, labels.limit(0)).score([]) == 0.0
     assert quality.train(docs, labels.limit(0)) is None
     quality.judge(docs, quality.train(docs, labels)).collect()
-    rows = toxicity.labelled_sample(docs, labels, "toxic", {1: 10, 0: 10})
+    rows = [(r.text, r.y) for r in toxicity.labelled_rows(docs, labels, "toxic", {1: 10, 0: 10}).orderBy("doc_id").collect()]
     assert all(zlib.crc32(b"4") % 4 != 2 for _ in rows)
 
 
