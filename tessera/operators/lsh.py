@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from math import comb
 
 import numpy as np
@@ -54,6 +55,24 @@ def candidate_buckets(main: int, hashes: int, bits: int) -> list[int]:
     return [main ^ m for m in masks]
 
 
+@dataclass(frozen=True)
+class Hashes:
+    """What a top-N query looks at: items whose bucket under ``planes`` differs from the query's in at most ``bits`` bits."""
+
+    planes: np.ndarray
+    bits: int
+
+    @classmethod
+    def for_rate(cls, sample_rate: float, rank: int, cores: int, seed: int = 1) -> Hashes:
+        """So many that about ``sample_rate`` of the items are looked at."""
+        hashes, bits = choose(sample_rate, cores)
+        return cls(hyperplanes(hashes, rank, seed), bits)
+
+    @property
+    def masks(self) -> list[int]:
+        return candidate_buckets(0, len(self.planes), self.bits)
+
+
 def near(items: DataFrame, target: Column, bits: int, column: str = "bucket") -> DataFrame:
     """Items whose bucket differs from ``target`` in at most ``bits`` bits."""
     return items.where(F.bit_count(F.col(column).bitwiseXOR(target)) <= bits)

@@ -6,6 +6,9 @@ Scoring a set of users against all items is the heavy plan.  Small item tables (
 the tasks once and scored by matrix products in Arrow batches; larger ones are cut into blocks, every block meets
 every block of users by an equality join, and per-block top lists are merged.  Either way only ``top`` rows per user
 and block are shuffled.
+
+With ``hashes`` a user meets only the items of the buckets near its own: blocks are cut within buckets, and blocks of
+users of one bucket meet those of the near buckets.  A bucket of any size is any number of blocks.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tessera.functions.vectors import cosine, dot, mean_vector, norm, unit
+from tessera.operators import lsh
 from tessera.operators.rescoring import Rescorer
 
 MAX_ROWS = 100_000
@@ -66,38 +70,49 @@ def _top_blocks(mine: pd.DataFrame, ids: np.ndarray, matrix: np.ndarray, most: n
     return pd.concat(out, ignore_index=True)
 
 
-def top_candidates(users: DataFrame, items: DataFrame, extra: DataFrame | None, top: int, block: int = 8192) -> DataFrame:
+def top_candidates(users: DataFrame, items: DataFrame, extra: DataFrame | None, top: int, block: int = 8192, hashes: lsh.Hashes | None = None) -> DataFrame:
     """user, item, value: at least the ``top`` best items of each user once ``extra`` items of that user are left out.
 
     ``extra``: (user, n), how many items of a user may be left out afterwards; that many more are kept.
+    With ``hashes`` the best are those of the buckets near the user's.
     """
-    wanted = users.select(F.col("id").alias("user"), "features")
+    bucket = F.lit(0) if hashes is None else lsh.bucket(F.col("features"), hashes.planes)
+    masks = [0] if hashes is None else hashes.masks
+    wanted = users.select(F.col("id").alias("user"), "features", bucket.alias("bucket"))
     if extra is not None:
         wanted = wanted.join(extra.select("user", F.col("n").alias("extra")), "user", "left")
     else:
         wanted = wanted.withColumn("extra", F.lit(0))
-    wanted = wanted.select("user", "features", (F.coalesce("extra", F.lit(0)) + top).cast("long").alias("most"))
+    wanted = wanted.select("user", "features", (F.coalesce("extra", F.lit(0)) + top).cast("long").alias("most"), "bucket")
+    items = items.select("id", "features", bucket.alias("bucket"))
     kinds = dict(items.dtypes)
     schema = f"user {dict(wanted.dtypes)['user']}, item {kinds['id']}, value double"
-    sized = items.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("features")).alias("rank")).first()
-    if not sized.n:
+    # At most 2 ** MAX_HASHES rows.
+    sized = items.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("features")).alias("rank")).collect()
+    if not sized:
         return wanted.select("user", F.lit(None).cast(kinds["id"]).alias("item"), F.lit(0.0).alias("value")).limit(0)
-    if sized.n * (sized.rank or 0) * 8 <= SHIP_BYTES:
-        rows = items.select("id", "features").orderBy("id").toPandas()
-        ids, matrix = rows["id"].to_numpy(), np.stack(rows["features"].to_numpy()).astype(np.float64)
+    if sum(r.n for r in sized) * max(r["rank"] or 0 for r in sized) * 8 <= SHIP_BYTES:
+        rows = items.orderBy("id").toPandas()
+        ids, matrix, buckets = rows["id"].to_numpy(), np.stack(rows["features"].to_numpy()).astype(np.float64), rows["bucket"].to_numpy()
 
         def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                for k in range(0, len(pdf), 1024):
-                    part = pdf.iloc[k : k + 1024]
-                    yield _top_blocks(part, ids, matrix, part["most"].to_numpy())
+                for at, mine in pdf.groupby("bucket"):
+                    near = np.isin(buckets, [at ^ m for m in masks])
+                    own_ids, own = (ids, matrix) if near.all() else (ids[near], matrix[near])
+                    for k in range(0, len(mine) if len(own) else 0, 1024):
+                        part = mine.iloc[k : k + 1024]
+                        yield _top_blocks(part, own_ids, own, part["most"].to_numpy())
 
         return wanted.mapInPandas(score, schema)
 
-    n_blocks = -(-sized.n // block)
-    item_blocks = items.select("id", "features", F.pmod(F.xxhash64("id"), F.lit(n_blocks)).alias("block")).groupBy("block").agg(F.array_sort(F.collect_list(F.struct("id", "features"))).alias("rows"))
+    parts = F.broadcast(users.sparkSession.createDataFrame([(r.bucket, -(-r.n // block)) for r in sized], "bucket int, parts long"))
+    part = F.pmod(F.xxhash64("id"), F.col("parts"))
+    item_blocks = items.join(parts, "bucket").withColumn("part", part).groupBy("bucket", "part").agg(F.array_sort(F.collect_list(F.struct("id", "features"))).alias("rows"))
     n_users = max(1, -(-wanted.count() // 4096))
-    user_blocks = wanted.withColumn("ub", F.pmod(F.xxhash64("user"), F.lit(n_users))).groupBy("ub").agg(F.collect_list(F.struct("user", "features", "most")).alias("users")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))))
+    grouped = wanted.withColumn("ub", F.pmod(F.xxhash64("user"), F.lit(n_users))).groupBy("bucket", "ub").agg(F.collect_list(F.struct("user", "features", "most")).alias("users"))
+    near = F.explode(F.array(*[F.col("bucket").bitwiseXOR(F.lit(m)) for m in masks]))
+    user_blocks = grouped.select("users", near.alias("bucket")).join(parts, "bucket").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
 
     def score_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -107,19 +122,19 @@ def top_candidates(users: DataFrame, items: DataFrame, extra: DataFrame | None,
                 matrix = np.stack([np.asarray(r["features"]) for r in rows_]).astype(np.float64)
                 yield _top_blocks(mine, ids, matrix, mine["most"].to_numpy())
 
-    return user_blocks.join(item_blocks, "block").select("users", "rows").mapInPandas(score_blocks, schema)
+    return user_blocks.join(item_blocks, ["bucket", "part"]).select("users", "rows").mapInPandas(score_blocks, schema)
 
 
-def recommend(users: DataFrame, items: DataFrame, known: DataFrame | None = None, how_many: int = 10, offset: int = 0, rescorer: Rescorer | None = None) -> DataFrame:
-    """user, item, value: items by dot product, without the user's ``known`` items if given."""
+def recommend(users: DataFrame, items: DataFrame, known: DataFrame | None = None, how_many: int = 10, offset: int = 0, rescorer: Rescorer | None = None, hashes: lsh.Hashes | None = None) -> DataFrame:
+    """user, item, value: items by dot product, without the user's ``known`` items if given; of near buckets only with ``hashes``."""
     check_page(how_many, offset)
     if rescorer is not None:
         items = rescorer.filter_only(items, "id")
     if rescorer is not None and rescorer.rescore is not None:
-        scored = all_scores(users, items)
+        scored = all_scores(users, items, hashes)
     else:
         extra = known.groupBy("user").agg(F.count(F.lit(1)).alias("n")) if known is not None else None
-        scored = top_candidates(users, items, extra, how_many + offset)
+        scored = top_candidates(users, items, extra, how_many + offset, hashes=hashes)
     if known is not None:
         scored = scored.join(known.select("user", "item"), ["user", "item"], "left_anti")
     if rescorer is not None and rescorer.rescore is not None:
@@ -127,10 +142,10 @@ def recommend(users: DataFrame, items: DataFrame, known: DataFrame | None = None
     return page(scored.where(~F.isnan("value")), F.desc("value"), "item", how_many, offset, ["user"])
 
 
-def all_scores(users: DataFrame, items: DataFrame) -> DataFrame:
+def all_scores(users: DataFrame, items: DataFrame, hashes: lsh.Hashes | None = None) -> DataFrame:
     """Every item's score for each user; for requests whose rescoring may lift any item."""
     n = items.count()
-    return top_candidates(users, items, None, max(1, n))
+    return top_candidates(users, items, None, max(1, n), hashes=hashes)
 
 
 def recommend_to_group(groups: DataFrame, users: DataFrame, items: DataFrame, known: DataFrame | None = None, how_many: int = 10, offset: int = 0) -> DataFrame:
@@ -145,7 +160,7 @@ def recommend_to_group(groups: DataFrame, users: DataFrame, items: DataFrame, kn
     return recommend(means, items, mine, how_many, offset).withColumnRenamed("user", "group")
 
 
-def similar_items(seeds: DataFrame, items: DataFrame, how_many: int = 10, offset: int = 0, rescorer: Rescorer | None = None) -> DataFrame:
+def similar_items(seeds: DataFrame, items: DataFrame, how_many: int = 10, offset: int = 0, rescorer: Rescorer | None = None, hashes: lsh.Hashes | None = None) -> DataFrame:
     """request, item, value: items by cosine to the normalized sum of each request's (request, item) vectors."""
     check_page(how_many, offset)
     units = items.select("id", unit(F.col("features")).alias("features")).where("features is not null")
@@ -153,10 +168,10 @@ def similar_items(seeds: DataFrame, items: DataFrame, how_many: int = 10, offset
     sums = mean_vector(wanted, "features", ["request"], mean=False)
     targets = sums.select(F.col("request").alias("id"), unit(F.col("features")).alias("features")).where("features is not null")
     if rescorer is not None and rescorer.rescore is not None:
-        scored = all_scores(targets, units)
+        scored = all_scores(targets, units, hashes)
     else:
         left_out = seeds.groupBy(F.col("request").alias("user")).agg(F.count(F.lit(1)).alias("n"))
-        scored = top_candidates(targets, units if rescorer is None else rescorer.filter_only(units, "id"), left_out, how_many + offset)
+        scored = top_candidates(targets, units if rescorer is None else rescorer.filter_only(units, "id"), left_out, how_many + offset, hashes=hashes)
     scored = scored.withColumnRenamed("user", "request").join(seeds.select("request", "item"), ["request", "item"], "left_anti")
     if rescorer is not None:
         scored = rescorer.apply(scored, "item", "value")

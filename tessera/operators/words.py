@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tessera.functions.parsing import words
+from tessera.operators.serving import NotFoundError
 
 
 def cooccurrence(lines: DataFrame, column: str = "value") -> DataFrame:
@@ -25,4 +26,8 @@ def updated(model: DataFrame, lines: DataFrame, column: str = "value") -> DataFr
 
 
 def lookup(model: DataFrame, word: str) -> DataFrame:
-    return model.where(F.col("word") == word)
+    """The row of one word; NotFoundError without one."""
+    found = model.where(F.col("word") == word)
+    if found.isEmpty():
+        raise NotFoundError(word)
+    return found

@@ -449,6 +449,15 @@ def lsh_candidates_topk(spark, sf_dir):
     return serving.page(met, F.desc("value"), "item", 5, 0, ["query_id"]).select("query_id", F.col("item").alias("item_id"), _r("value"))
 
 
+@query(
+    "recommend_hashed_topk",
+    f"""WITH {KNOWN}, {NV}, y AS (SELECT vec_id AS id, embedding::DOUBLE[] AS f, {_BUCKET} AS b FROM embeddings), x AS (SELECT u.id, y.f, y.b FROM (SELECT DISTINCT user_id AS id FROM events) u JOIN y ON y.id = (u.id * 7 + 100) % (SELECT n FROM nv)),
+    s AS (SELECT x.id AS user_id, y.id AS item_id, {DOT} AS v FROM x JOIN y ON bit_count(xor(x.b, y.b)) <= 1 WHERE NOT EXISTS (SELECT 1 FROM known k WHERE k.u = x.id AND k.i = y.id)) {_TOP} WHERE rn <= 10""",
+)
+def recommend_hashed_topk(spark, sf_dir):
+    return _named(serving.recommend(user_factors(spark, sf_dir), item_factors(spark, sf_dir), known(spark, sf_dir), hashes=lsh.Hashes(_PLANES, 1)))
+
+
 # ---------------------------------------------------------------- clusters
 
 _CENTERS = """c AS (SELECT label AS id, list(m ORDER BY d) AS f, max(n) AS n FROM (SELECT label, d, avg(v) AS m, count(*) AS n FROM (SELECT label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS d FROM embeddings) GROUP BY 1, 2) GROUP BY 1),

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions.vectors import solver
-from tessera.operators import foldin, interactions as ix, lsh, serving
+from tessera.operators import foldin, interactions as ix, lsh, serving, words
 from tessera.operators.rescoring import Rescorer, RescorerProvider, combined, providers
 
 X = {"U0": [-0.35837504, 0.60391283], "U1": [-0.7757129, 0.4327127], "U2": [-0.7757129, -0.4327127], "U3": [-0.35837504, -0.60391283], "U4": [-1.1340879, 1.0366255], "U5": [-1.5514258, -3.5398357e-16], "U6": [-1.1340879, -1.0366255]}
@@ -43,6 +43,30 @@ def test_recommend(model):
             serving.recommend(x, y, known, n, o)
 
 
+@pytest.mark.parametrize("ship", [serving.SHIP_BYTES, 0])
+def test_hashes_look_at_near_buckets_only(spark, monkeypatch, ship):
+    monkeypatch.setattr(serving, "SHIP_BYTES", ship)
+    rng = np.random.default_rng(5)
+    users, items = rng.standard_normal((30, 8)), rng.standard_normal((400, 8))
+    items[200:300] = items[200]  # a bucket that holds a quarter of the items, and ties
+    table = lambda m: spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(m)], "id long, features array<double>")
+    planes = lsh.hyperplanes(6, 8)
+    signs = lambda m: m @ planes.T > 0
+    got = {}
+    for r in serving.recommend(table(users), table(items), None, 5, hashes=lsh.Hashes(planes, 1)).collect():
+        got.setdefault(r.user, []).append((r["item"], round(r.value, 6)))
+    for u in range(len(users)):
+        near = np.flatnonzero((signs(users[u : u + 1]) != signs(items)).sum(1) <= 1)
+        best = sorted(near, key=lambda i: (-round(float(items[i] @ users[u]), 9), i))[:5]
+        assert sorted(got.get(u, [])) == sorted((int(i), round(float(items[i] @ users[u]), 6)) for i in best)
+
+
+def test_hashes_for_a_rate():
+    h = lsh.Hashes.for_rate(0.3, 20, 8)
+    assert (len(h.planes), h.bits) == lsh.choose(0.3, 8) and len(h.masks) <= 0.3 * 2 ** len(h.planes)
+    assert lsh.Hashes.for_rate(1.0, 20, 1).masks == [0]
+
+
 def test_blocks_give_the_same(model, monkeypatch):
     x, y, known = model
     want = sorted((r.user, r["item"], round(r.value, 9)) for r in serving.recommend(x, y, known, 4).collect())
@@ -143,3 +167,10 @@ def test_hashes(spark):
     assert len(near) == len(set(near)) == 64 and near[0] == 0b1010101
     planes = lsh.hyperplanes(4, 16)
     assert np.abs(planes @ planes.T - np.eye(4)).max() < 0.2
+
+
+def test_unknown_word(spark):
+    counts = spark.createDataFrame([("a", 2)], "word string, count int")
+    assert words.lookup(counts, "a").collect() == [("a", 2)]
+    with pytest.raises(serving.NotFoundError):
+        words.lookup(counts, "b")
