@@ -7,8 +7,8 @@ the tasks once and scored by matrix products in Arrow batches; larger ones are c
 every block of users by an equality join, and per-block top lists are merged.  Either way only ``top`` rows per user
 and block are shuffled.
 
-With ``hashes`` a user meets only the items of the buckets near its own: blocks are cut within buckets, and blocks of
-users of one bucket meet those of the near buckets.  A bucket of any size is any number of blocks.
+With ``hashes`` a user meets only the items of the buckets near its own: blocks are cut within buckets, and meet
+blocks of users whose buckets are near.  A bucket of any size is any number of blocks.
 """
 
 from __future__ import annotations
@@ -109,10 +109,13 @@ def top_candidates(users: DataFrame, items: DataFrame, extra: DataFrame | None,
     parts = F.broadcast(users.sparkSession.createDataFrame([(r.bucket, -(-r.n // block)) for r in sized], "bucket int, parts long"))
     part = F.pmod(F.xxhash64("id"), F.col("parts"))
     item_blocks = items.join(parts, "bucket").withColumn("part", part).groupBy("bucket", "part").agg(F.array_sort(F.collect_list(F.struct("id", "features"))).alias("rows"))
-    n_users = max(1, -(-wanted.count() // 4096))
-    grouped = wanted.withColumn("ub", F.pmod(F.xxhash64("user"), F.lit(n_users))).groupBy("bucket", "ub").agg(F.collect_list(F.struct("user", "features", "most")).alias("users"))
+    # Users of near buckets are one block of at most about 4096, so an item block is sent once for each of these.
+    counts = wanted.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).collect()
+    user_parts = F.broadcast(users.sparkSession.createDataFrame([(r.bucket, -(-r.n * len(masks) // 4096)) for r in counts], "bucket int, user_parts long"))
     near = F.explode(F.array(*[F.col("bucket").bitwiseXOR(F.lit(m)) for m in masks]))
-    user_blocks = grouped.select("users", near.alias("bucket")).join(parts, "bucket").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
+    dealt = wanted.join(user_parts, "bucket").select("user", "features", "most", F.pmod(F.xxhash64("user"), F.col("user_parts")).alias("ub"), near.alias("bucket"))
+    grouped = dealt.join(parts, "bucket").groupBy("bucket", "parts", "ub").agg(F.collect_list(F.struct("user", "features", "most")).alias("users"))
+    user_blocks = grouped.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
 
     def score_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
