@@ -70,6 +70,14 @@ def _top_blocks(mine: pd.DataFrame, ids: np.ndarray, matrix: np.ndarray, most: n
     return pd.concat(out, ignore_index=True)
 
 
+def _parted(rows: DataFrame, counts: list, size: int, name: str) -> DataFrame:
+    """``rows`` of the counted buckets, with how many parts of about ``size`` their bucket has."""
+    if len(counts) == 1:
+        return rows.where(F.col("bucket") == counts[0].bucket).withColumn(name, F.lit(-(-counts[0].n // size)).cast("long"))
+    parts = rows.sparkSession.createDataFrame([(r.bucket, -(-r.n // size)) for r in counts], f"bucket int, {name} long")
+    return rows.join(F.broadcast(parts), "bucket")
+
+
 def top_candidates(users: DataFrame, items: DataFrame, extra: DataFrame | None, top: int, block: int = 8192, hashes: lsh.Hashes | None = None) -> DataFrame:
     """user, item, value: at least the ``top`` best items of each user once ``extra`` items of that user are left out.
 
@@ -106,16 +114,14 @@ def top_candidates(users: DataFrame, items: DataFrame, extra: DataFrame | None,
 
         return wanted.mapInPandas(score, schema)
 
-    parts = F.broadcast(users.sparkSession.createDataFrame([(r.bucket, -(-r.n // block)) for r in sized], "bucket int, parts long"))
     part = F.pmod(F.xxhash64("id"), F.col("parts"))
-    item_blocks = items.join(parts, "bucket").withColumn("part", part).groupBy("bucket", "part").agg(F.array_sort(F.collect_list(F.struct("id", "features"))).alias("rows"))
+    item_blocks = _parted(items, sized, block, "parts").withColumn("part", part).groupBy("part", "bucket").agg(F.array_sort(F.collect_list(F.struct("id", "features"))).alias("rows"))
     # Users of near buckets are one block of at most about 4096, so an item block is sent once for each of these.
     counts = wanted.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).collect()
-    user_parts = F.broadcast(users.sparkSession.createDataFrame([(r.bucket, -(-r.n * len(masks) // 4096)) for r in counts], "bucket int, user_parts long"))
     near = F.explode(F.array(*[F.col("bucket").bitwiseXOR(F.lit(m)) for m in masks]))
-    dealt = wanted.join(user_parts, "bucket").select("user", "features", "most", F.pmod(F.xxhash64("user"), F.col("user_parts")).alias("ub"), near.alias("bucket"))
-    grouped = dealt.join(parts, "bucket").groupBy("bucket", "parts", "ub").agg(F.collect_list(F.struct("user", "features", "most")).alias("users"))
-    user_blocks = grouped.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
+    dealt = _parted(wanted, counts, max(1, 4096 // len(masks)), "user_parts").select("user", "features", "most", F.pmod(F.xxhash64("user"), F.col("user_parts")).alias("ub"), near.alias("bucket"))
+    grouped = dealt.groupBy("bucket", "ub").agg(F.collect_list(F.struct("user", "features", "most")).alias("users"))
+    user_blocks = _parted(grouped, sized, block, "parts").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
 
     def score_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -125,7 +131,7 @@ def top_candidates(users: DataFrame, items: DataFrame, extra: DataFrame | None,
                 matrix = np.stack([np.asarray(r["features"]) for r in rows_]).astype(np.float64)
                 yield _top_blocks(mine, ids, matrix, mine["most"].to_numpy())
 
-    return user_blocks.join(item_blocks, ["bucket", "part"]).select("users", "rows").mapInPandas(score_blocks, schema)
+    return user_blocks.join(item_blocks, ["part", "bucket"]).select("users", "rows").mapInPandas(score_blocks, schema)
 
 
 def recommend(users: DataFrame, items: DataFrame, known: DataFrame | None = None, how_many: int = 10, offset: int = 0, rescorer: Rescorer | None = None, hashes: lsh.Hashes | None = None) -> DataFrame:
