@@ -78,12 +78,13 @@ def close_pairs(distinct: DataFrame, most: int = 3) -> DataFrame:
     )
     wild = _dealt(wild, 2 * HALF * distinct.count())
     zero, one = wild.where("side = 0").select(F.col("fp").alias("a"), "key", "part"), wild.where("side = 1").select(F.col("fp").alias("b"), "key", "part")
-    near = zero.join(one, ["key", "part"]).where(bits_apart(F.col("a"), F.col("b")) <= most).select("a", "b")
+    # Both joins are by merging: the planner takes an exploded side for as small as the table it comes from, and would send it to the driver.
+    near = zero.join(one.hint("merge"), ["key", "part"]).where(bits_apart(F.col("a"), F.col("b")) <= most).select("a", "b")
     same = halves.select("fp", F.explode(F.expr("array(0, 1, 2, 3)")).alias("byte"), "half", "own", "other").select(
         "fp", "own", F.expr("half * 1024 + byte * 256 + cast((other >> (8 * byte)) & 255L as int)").alias("rest")
     )
     twin = same.withColumnRenamed("fp", "twin")
-    equal = same.join(twin, ["own", "rest"]).where((F.col("fp") < F.col("twin")) & (bits_apart(F.col("fp"), F.col("twin")) <= most)).select(F.col("fp").alias("a"), F.col("twin").alias("b"))
+    equal = same.join(twin.hint("merge"), ["own", "rest"]).where((F.col("fp") < F.col("twin")) & (bits_apart(F.col("fp"), F.col("twin")) <= most)).select(F.col("fp").alias("a"), F.col("twin").alias("b"))
     return near.union(equal)
 
 
