@@ -5,15 +5,21 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 
 @dataclass(frozen=True)
 class Rescorer:
-    """``rescore(id, score)`` gives a new score (NaN or null drops the row); ``is_filtered(id)`` drops it before."""
+    """``rescore(id, score)`` gives a new score (NaN or null drops the row); ``is_filtered(id)`` drops it before.
+
+    ``on_arrays(ids, scores)`` may give what ``rescore`` gives for an array of ids and a matrix of scores (a row a user, a column an id;
+    NaN drops): scores of many users are then rescored as matrices, not as a row a pair.
+    """
 
     rescore: Callable[[Column, Column], Column] | None = None
     is_filtered: Callable[[Column], Column] | None = None
+    on_arrays: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None
 
     def filter_only(self, rows: DataFrame, item: str) -> DataFrame:
         return rows.where(~F.coalesce(self.is_filtered(F.col(item)), F.lit(False))) if self.is_filtered else rows
@@ -48,7 +54,14 @@ def combined(*rescorers: Rescorer | None) -> Rescorer | None:
                 out = out | F.coalesce(r.is_filtered(item), F.lit(False))
         return out
 
-    return Rescorer(rescore if any(r.rescore for r in some) else None, is_filtered if any(r.is_filtered for r in some) else None)
+    def on_arrays(ids: np.ndarray, scores: np.ndarray) -> np.ndarray:
+        for r in some:
+            if r.on_arrays is not None:
+                scores = np.where(np.isnan(scores), scores, r.on_arrays(ids, scores))
+        return scores
+
+    arrays = any(r.rescore for r in some) and all(r.on_arrays for r in some if r.rescore)
+    return Rescorer(rescore if any(r.rescore for r in some) else None, is_filtered if any(r.is_filtered for r in some) else None, on_arrays if arrays else None)
 
 
 @dataclass(frozen=True)

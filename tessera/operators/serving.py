@@ -13,7 +13,7 @@ blocks of users whose buckets are near.  A bucket of any size is any number of b
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -26,6 +26,8 @@ from tessera.operators.rescoring import Rescorer
 MAX_ROWS = 100_000
 #: Bytes of item factors up to which they are shipped to every task.
 SHIP_BYTES = 64 << 20
+#: Scores that a task holds at once, as a matrix and as rows.
+PAIRS, ROWS = 1 << 22, 1 << 18
 
 
 class BadRequestError(ValueError):
@@ -52,22 +54,51 @@ def page(rows: DataFrame, by: Column, tie: str, how_many: int, offset: int, keys
     return rows.withColumn("_rn", place).where(F.col("_rn") <= offset + how_many).where(F.col("_rn") > offset).drop("_rn")
 
 
-def _top_blocks(mine: pd.DataFrame, ids: np.ndarray, matrix: np.ndarray, most: np.ndarray) -> pd.DataFrame:
-    """The best rows of matrix for each vector of ``mine``, most[k] of them; ties in the order of ``ids``."""
-    scores = np.stack(mine["features"].to_numpy()).astype(np.float64) @ matrix.T
-    out = []
-    for k, user in enumerate(mine["user"].to_numpy()):
-        s = scores[k]
-        n = min(int(most[k]), len(s))
-        if n < len(s):
-            # All that tie with the last place stay in the race, so that ids decide.
-            bound = np.partition(s, len(s) - n)[len(s) - n]
-            at = np.flatnonzero(s >= bound)
-        else:
-            at = np.arange(len(s))
-        at = at[np.argsort(-s[at], kind="stable")][:n]
-        out.append(pd.DataFrame({"user": user, "item": ids[at], "value": s[at]}))
-    return pd.concat(out, ignore_index=True)
+def _scored(mine: pd.DataFrame, matrix: np.ndarray) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """Users of ``mine`` with their scores, a row each; not more than ``PAIRS`` scores at once."""
+    step = max(1, min(1024, PAIRS // max(1, len(matrix))))
+    for k in range(0, len(mine) if len(matrix) else 0, step):
+        part = mine.iloc[k : k + step]
+        yield part, np.stack(part["features"].to_numpy()).astype(np.float64) @ matrix.T
+
+
+def _top_blocks(mine: pd.DataFrame, ids: np.ndarray, matrix: np.ndarray, on_arrays: Callable | None = None) -> Iterator[pd.DataFrame]:
+    """The best rows of matrix for each vector of ``mine``, ``most`` of them; ties in the order of ``ids``; NaN is no score."""
+    for part, scores in _scored(mine, matrix):
+        if on_arrays is not None:
+            scores = on_arrays(ids, scores)
+        counts, items, values = [], [], []
+        for s, most in zip(scores, part["most"].to_numpy(), strict=True):
+            at = np.flatnonzero(~np.isnan(s))
+            n = min(int(most), len(at))
+            if n < len(at):
+                # All that tie with the last place stay in the race, so that ids decide.
+                bound = np.partition(s[at], len(at) - n)[len(at) - n]
+                at = np.flatnonzero(s >= bound)
+            at = at[np.argsort(-s[at], kind="stable")][:n]
+            counts.append(len(at))
+            items.append(ids[at])
+            values.append(s[at])
+        yield pd.DataFrame({"user": np.repeat(part["user"].to_numpy(), counts), "item": np.concatenate(items), "value": np.concatenate(values)})
+
+
+def _every_pair(mine: pd.DataFrame, ids: np.ndarray, matrix: np.ndarray) -> Iterator[pd.DataFrame]:
+    """All scores, a row each, a user's together."""
+    for part, scores in _scored(mine, matrix):
+        step = max(1, ROWS // len(ids))
+        for k in range(0, len(part), step):
+            some = scores[k : k + step]
+            each = part.iloc[k : k + step].loc[:, ["user", "most"]]
+            whole = pd.DataFrame({"user": np.repeat(each["user"].to_numpy(), len(ids)), "item": np.tile(ids, len(some)), "value": some.ravel(), "most": np.repeat(each["most"].to_numpy(), len(ids))})
+            for r in range(0, len(whole), ROWS):
+                yield whole.iloc[r : r + ROWS]
+
+
+def _best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of each user's rows in a batch the ``most`` best: what can't be among them overall goes before any shuffle."""
+    for pdf in batches:
+        pdf = pdf.sort_values(["user", "value", "item"], ascending=[True, False, True])
+        yield pdf[pdf.groupby("user").cumcount() < pdf["most"]].drop(columns="most")
 
 
 def _parted(rows: DataFrame, counts: list, size: int, name: str) -> DataFrame:
@@ -78,12 +109,17 @@ def _parted(rows: DataFrame, counts: list, size: int, name: str) -> DataFrame:
     return rows.join(F.broadcast(parts), "bucket")
 
 
-def top_candidates(users: DataFrame, items: DataFrame, extra: DataFrame | None, top: int, block: int = 8192, hashes: lsh.Hashes | None = None) -> DataFrame:
+def top_candidates(users: DataFrame, items: DataFrame, extra: DataFrame | None, top: int, block: int = 8192, hashes: lsh.Hashes | None = None, rescorer: Rescorer | None = None) -> DataFrame:
     """user, item, value: at least the ``top`` best items of each user once ``extra`` items of that user are left out.
 
     ``extra``: (user, n), how many items of a user may be left out afterwards; that many more are kept.
-    With ``hashes`` the best are those of the buckets near the user's.
+    With ``hashes`` the best are those of the buckets near the user's.  With a ``rescorer`` that rescores, the best are those
+    by the new scores: where it takes arrays these are rescored as matrices in the tasks, otherwise every pair is a row for
+    its Columns, and of these rows only each user's best of a batch go on.
     """
+    rescores = rescorer is not None and rescorer.rescore is not None
+    on_arrays = rescorer.on_arrays if rescores else None
+    by_rows = rescores and on_arrays is None
     bucket = F.lit(0) if hashes is None else lsh.bucket(F.col("features"), hashes.planes)
     masks = [0] if hashes is None else hashes.masks
     wanted = users.select(F.col("id").alias("user"), "features", bucket.alias("bucket"))
@@ -94,7 +130,15 @@ def top_candidates(users: DataFrame, items: DataFrame, extra: DataFrame | None,
     wanted = wanted.select("user", "features", (F.coalesce("extra", F.lit(0)) + top).cast("long").alias("most"), "bucket")
     items = items.select("id", "features", bucket.alias("bucket"))
     kinds = dict(items.dtypes)
-    schema = f"user {dict(wanted.dtypes)['user']}, item {kinds['id']}, value double"
+    best_schema = f"user {dict(wanted.dtypes)['user']}, item {kinds['id']}, value double"
+    schema = best_schema + ", most long" * by_rows
+
+    def results(mine: pd.DataFrame, ids: np.ndarray, matrix: np.ndarray) -> Iterator[pd.DataFrame]:
+        return _every_pair(mine, ids, matrix) if by_rows else _top_blocks(mine, ids, matrix, on_arrays)
+
+    def ended(scored: DataFrame) -> DataFrame:
+        return rescorer.apply(scored, "item", "value").mapInPandas(_best, best_schema) if by_rows else scored
+
     # At most 2 ** MAX_HASHES rows.
     sized = items.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("features")).alias("rank")).collect()
     if not sized:
@@ -108,11 +152,9 @@ def top_candidates(users: DataFrame, items: DataFrame, extra: DataFrame | None,
                 for at, mine in pdf.groupby("bucket"):
                     near = np.isin(buckets, [at ^ m for m in masks])
                     own_ids, own = (ids, matrix) if near.all() else (ids[near], matrix[near])
-                    for k in range(0, len(mine) if len(own) else 0, 1024):
-                        part = mine.iloc[k : k + 1024]
-                        yield _top_blocks(part, own_ids, own, part["most"].to_numpy())
+                    yield from results(mine, own_ids, own)
 
-        return wanted.mapInPandas(score, schema)
+        return ended(wanted.mapInPandas(score, schema))
 
     part = F.pmod(F.xxhash64("id"), F.col("parts"))
     item_blocks = _parted(items, sized, block, "parts").withColumn("part", part).groupBy("part", "bucket").agg(F.array_sort(F.collect_list(F.struct("id", "features"))).alias("rows"))
@@ -129,9 +171,9 @@ def top_candidates(users: DataFrame, items: DataFrame, extra: DataFrame | None,
                 mine = pd.DataFrame([dict(u.asDict() if hasattr(u, "asDict") else u) for u in users_])
                 ids = np.array([r["id"] for r in rows_])
                 matrix = np.stack([np.asarray(r["features"]) for r in rows_]).astype(np.float64)
-                yield _top_blocks(mine, ids, matrix, mine["most"].to_numpy())
+                yield from results(mine, ids, matrix)
 
-    return user_blocks.join(item_blocks, ["part", "bucket"]).select("users", "rows").mapInPandas(score_blocks, schema)
+    return ended(user_blocks.join(item_blocks, ["part", "bucket"]).select("users", "rows").mapInPandas(score_blocks, schema))
 
 
 def recommend(users: DataFrame, items: DataFrame, known: DataFrame | None = None, how_many: int = 10, offset: int = 0, rescorer: Rescorer | None = None, hashes: lsh.Hashes | None = None) -> DataFrame:
@@ -139,24 +181,13 @@ def recommend(users: DataFrame, items: DataFrame, known: DataFrame | None = None
     check_page(how_many, offset)
     if rescorer is not None:
         items = rescorer.filter_only(items, "id")
-    if rescorer is not None and rescorer.rescore is not None:
-        scored = all_scores(users, items, hashes)
-    else:
-        extra = known.groupBy("user").agg(F.count(F.lit(1)).alias("n")) if known is not None else None
-        scored = top_candidates(users, items, extra, how_many + offset, hashes=hashes)
+    extra = known.groupBy("user").agg(F.count(F.lit(1)).alias("n")) if known is not None else None
+    scored = top_candidates(users, items, extra, how_many + offset, hashes=hashes, rescorer=rescorer)
     if known is not None:
         scored = scored.join(known.select("user", "item"), ["user", "item"], "left_anti")
-    if rescorer is not None and rescorer.rescore is not None:
-        scored = rescorer.apply(scored, "item", "value")
     return page(scored.where(~F.isnan("value")), F.desc("value"), "item", how_many, offset, ["user"])
 
 
-def all_scores(users: DataFrame, items: DataFrame, hashes: lsh.Hashes | None = None) -> DataFrame:
-    """Every item's score for each user; for requests whose rescoring may lift any item."""
-    n = items.count()
-    return top_candidates(users, items, None, max(1, n), hashes=hashes)
-
-
 def recommend_to_group(groups: DataFrame, users: DataFrame, items: DataFrame, known: DataFrame | None = None, how_many: int = 10, offset: int = 0) -> DataFrame:
     """group, item, value: for each group of users (group, user) the items nearest their mean vector.
 
@@ -176,14 +207,9 @@ def similar_items(seeds: DataFrame, items: DataFrame, how_many: int = 10, offset
     wanted = seeds.join(items.select("id", F.col("features").cast("array<double>").alias("features")), seeds.item == F.col("id")).select("request", "features")
     sums = mean_vector(wanted, "features", ["request"], mean=False)
     targets = sums.select(F.col("request").alias("id"), unit(F.col("features")).alias("features")).where("features is not null")
-    if rescorer is not None and rescorer.rescore is not None:
-        scored = all_scores(targets, units, hashes)
-    else:
-        left_out = seeds.groupBy(F.col("request").alias("user")).agg(F.count(F.lit(1)).alias("n"))
-        scored = top_candidates(targets, units if rescorer is None else rescorer.filter_only(units, "id"), left_out, how_many + offset, hashes=hashes)
+    left_out = seeds.groupBy(F.col("request").alias("user")).agg(F.count(F.lit(1)).alias("n"))
+    scored = top_candidates(targets, units if rescorer is None else rescorer.filter_only(units, "id"), left_out, how_many + offset, hashes=hashes, rescorer=rescorer)
     scored = scored.withColumnRenamed("user", "request").join(seeds.select("request", "item"), ["request", "item"], "left_anti")
-    if rescorer is not None:
-        scored = rescorer.apply(scored, "item", "value")
     return page(scored, F.desc("value"), "item", how_many, offset, ["request"])
 
 

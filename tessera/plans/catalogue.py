@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tessera.functions import parsing, vectors
@@ -242,7 +243,8 @@ def recommend_offset(spark, sf_dir):
 @query("recommend_rescored", f"WITH {KNOWN}, {FACTORS}, s AS (SELECT x.id AS user_id, y.id AS item_id, {DOT} * CASE WHEN y.id % 5 = 0 THEN 2 ELSE 1 END AS v FROM x, y WHERE y.id % 2 = 1 AND y.id % 7 <> 0 AND NOT EXISTS (SELECT 1 FROM known k WHERE k.u = x.id AND k.i = y.id)) {_TOP} WHERE rn <= 10")
 def recommend_rescored(spark, sf_dir):
     nan = F.lit(float("nan"))
-    rescorer = Rescorer(lambda i, v: F.when(i % 7 == 0, nan).when(i % 5 == 0, v * 2).otherwise(v), lambda i: i % 2 == 0)
+    on_arrays = lambda i, v: v * np.where(i % 7 == 0, np.nan, np.where(i % 5 == 0, 2.0, 1.0))
+    rescorer = Rescorer(lambda i, v: F.when(i % 7 == 0, nan).when(i % 5 == 0, v * 2).otherwise(v), lambda i: i % 2 == 0, on_arrays)
     return _named(serving.recommend(user_factors(spark, sf_dir), item_factors(spark, sf_dir), known(spark, sf_dir), rescorer=rescorer))
 
 
