@@ -27,7 +27,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from tessera.llm.docmap import map_documents, utf8_list
 from tessera.llm.line_dedup import SLOTS
-from tessera.llm.near_copies import near_copies
 from tessera.llm.shared import Scratch, bits_apart, components, shared_table
 from tessera.llm.simhash_bits import fingerprint
 
@@ -88,12 +87,17 @@ def close_pairs(distinct: DataFrame, most: int = 3) -> DataFrame:
     return near.union(equal)
 
 
+def linked_fingerprints(distinct: DataFrame, most: int = 3, scratch: Scratch | None = None) -> DataFrame:
+    """(node, root) of the distinct fingerprints ``fp`` that others are within ``most`` bits of."""
+    return components(close_pairs(distinct, most), scratch=scratch)
+
+
 def near_duplicates(docs: DataFrame, most: int = 3) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable over links of ``most`` bits)."""
     with Scratch(docs.sparkSession) as scratch:
         fps, _ = shared_table(fingerprints(docs), "fingerprints")
         distinct = scratch.table(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-        roots = components(close_pairs(distinct.select("fp"), most), scratch=scratch)
+        roots = linked_fingerprints(distinct.select("fp"), most, scratch)
         joined = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
         firsts = joined.groupBy("root").agg(F.min("first").alias("component_id"))
         by_fp, _ = shared_table(joined.join(firsts, "root").select("fp", "component_id"), "components")
@@ -103,10 +107,13 @@ def near_duplicates(docs: DataFrame, most: int = 3) -> DataFrame:
 def keep_one(docs: DataFrame, width: int = 5, threshold: float = 0.8) -> DataFrame:
     """The documents without all but one of each component of near copies: the one whose doc_id names it.
 
-    Near copies share ``threshold`` of their ``width``-word shingles; ``near_duplicates`` keeps the query's contract.
+    Near copies share ``threshold`` of their ``width``-word shingles: fingerprints over these that link propose them, and
+    bands of minima those that lie further apart (``near_copies``); ``near_duplicates`` keeps the query's contract.
     A doc_id that several texts have doesn't tie these: each goes or stays by its own words.  Rows that repeat a kept
     id and text stay; rows with a null doc_id stay.
     """
+    from tessera.llm.near_copies import near_copies  # which imports this module
+
     gone = near_copies(docs, width, threshold).where("not kept").select(F.col("doc_id").alias("_t_id"), F.col("text_key").alias("_t_key")).distinct()
     same = (docs["doc_id"].cast("long") == gone["_t_id"]) & (F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))) == gone["_t_key"])
     return docs.join(gone, same, "left_anti").select(docs.columns)

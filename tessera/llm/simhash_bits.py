@@ -18,7 +18,16 @@ def fingerprint(text: bytes, width: int = 3, seed: int = 42, block: int = 1 << 1
         return 0
     if len(words) < width:
         return xxh64_intdigest(b" ".join(words), seed)
-    hashes = np.fromiter(map(xxh64_intdigest, map(b" ".join, zip(*(words[k:] for k in range(width)), strict=False)), repeat(seed)), "<u8", len(words) - width + 1)
+    return majority(shingle_hashes(words, width, seed), block)
+
+
+def shingle_hashes(words: list[bytes], width: int, seed: int = 42) -> np.ndarray:
+    """Hashes of the ``width``-word shingles of at least so many words, repeats included."""
+    return np.fromiter(map(xxh64_intdigest, map(b" ".join, zip(*(words[k:] for k in range(width)), strict=False)), repeat(seed)), "<u8", len(words) - width + 1)
+
+
+def majority(hashes: np.ndarray, block: int = 1 << 16) -> int:
+    """The bits that are set in over half of the hashes."""
     counts = np.zeros(64, np.int64)
     for k in range(0, len(hashes), block):
         bits = np.unpackbits(hashes[k : k + block].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
