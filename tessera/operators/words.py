@@ -23,7 +23,7 @@ from tessera.functions.parsing import words
 from tessera.operators.serving import NotFoundError
 
 #: Words of lines, repeats included, for each block; a cell holds two blocks.  Words that a task deals at once.  Pairs that are made at once.
-BLOCK, DEAL, CHUNK = 24_000_000, 4_000_000, 1 << 21
+BLOCK, DEAL, CHUNK = 24_000_000, 4_000_000, 1 << 20
 #: So many pairs of a word, and a 64th of the codes they may have, are marked, fewer are sorted.
 MARKED = 1000
 _SIDES = "{0}_words binary, {0}_codes binary, {0}_lengths binary"
