@@ -5,8 +5,9 @@ DataFrame functions only.
 1. Lines are trimmed of white space and lower-cased and equal ones are counted together (partial aggregates, so a line
    that a third of all documents share is one row per task before the shuffle).
 2. A line's shingles are all its windows of ``window`` characters, one at every character; a shorter line is one
-   shingle.  Windows are cut from the line's code points in four bytes each, where a window's place is known.  Of their
-   hashes the signature has, for each of ``hashes`` rotations and constants, the least rotated hash XOR constant.
+   shingle.  Windows are cut from the line's code points in four bytes each, where a window's place is known.  Their
+   hashes are dealt into ``hashes`` bins by their size; the signature has the least hash of each bin, and for an empty
+   bin that of another.
 3. A band is ``rows`` of the signature's numbers; each number is in about as many bands.  Lines that agree in all rows
    of a band are candidates: about 0.97 of the pairs with similarity 0.8, all but a few from 0.85 on.  Sets of every
    size have all bands.
@@ -29,6 +30,8 @@ from __future__ import annotations
 
 import random
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -43,7 +46,9 @@ _WHITE = " \t\r\x0b\x0c"
 
 
 def _norm(line: Column) -> Column:
-    return F.lower(F.btrim(line, F.lit(_WHITE)))
+    # Trimming by a set looks at every character, so only lines with white space at an end are trimmed.
+    ends = reduce(or_, [line.startswith(c) | line.endswith(c) for c in _WHITE])
+    return F.lower(F.when(ends, F.btrim(line, F.lit(_WHITE))).otherwise(line))
 
 
 def _blank(line: Column) -> Column:
@@ -53,31 +58,54 @@ def _blank(line: Column) -> Column:
 def split_lines(docs: DataFrame) -> DataFrame:
     """doc_id, text_key (hash of the text), line_no (from 0), line, norm, key (of the normalized line; null if blank)."""
     lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return lines.withColumn("norm", _norm(F.col("line"))).withColumn("key", F.when(~_blank(F.col("line")), F.xxhash64("norm")))
+    return lines.withColumn("norm", _norm(F.col("line"))).withColumn("key", F.when(F.col("norm") != "", F.xxhash64("norm")))
+
+
+def _points(lines: DataFrame, window: int) -> DataFrame:
+    """key, p (the code points in four bytes each), starts (the places of the windows, from 1)."""
+    points = lines.select("key", F.encode("norm", "UTF-32").alias("p"))
+    return points.select("key", "p", F.sequence(F.lit(1), F.greatest(F.octet_length("p") / 4 - (window - 1), F.lit(1)).cast("int")).alias("starts"))
+
+
+def _hashed(p: Column, k: Column, window: int) -> Column:
+    return F.xxhash64(F.substring(p, k * 4 - 3, F.lit(4 * window)))
 
 
 def shingles(lines: DataFrame, window: int) -> DataFrame:
     """key, h: the hash of every window of ``norm``, repeats included."""
-    points = lines.select("key", F.encode("norm", "UTF-32").alias("p"))
-    ends = F.sequence(F.lit(1), F.greatest(F.octet_length("p") / 4 - (window - 1), F.lit(1)).cast("int"))
-    return points.select("key", "p", F.explode(ends).alias("k")).select("key", F.xxhash64(F.substring("p", F.col("k") * 4 - 3, F.lit(4 * window))).alias("h"))
+    return _points(lines, window).select("key", "p", F.explode("starts").alias("k")).select("key", _hashed(F.col("p"), F.col("k"), window).alias("h"))
 
 
 def shingle_sets(lines: DataFrame, window: int) -> DataFrame:
-    """key, all: the upper 32 bits of the hashes, without repeats.
+    """key, all: the upper 32 bits of the hashes, without repeats; one row per row.
 
     Half the size of whole hashes: of 100,000 pairs of lines of 300 characters, about two have two shingles that then
     count as one.
     """
-    return shingles(lines, window).select("key", F.shiftright("h", 32).cast("int").alias("h")).groupBy("key").agg(F.collect_set("h").alias("all"))
+    # The outer variable holds the bytes; a column inside the inner function would be copied for every window.
+    upper = F.transform(F.array("p"), lambda p: F.transform("starts", lambda k: F.shiftright(_hashed(p, k, window), 32).cast("int")))
+    return _points(lines, window).select("key", F.array_distinct(upper[0]).alias("all"))
 
 
-def signatures(lines: DataFrame, window: int, hashes: int, seed: int) -> DataFrame:
-    """key, m0, m1, ...: the minima; repeats of a shingle don't change them."""
+def signatures(lines: DataFrame, window: int, hashes: int) -> DataFrame:
+    """key, b0, b1, ...: the least hash of each of ``hashes`` bins, or null; repeats of a shingle don't change them."""
+    binned = shingles(lines, window).withColumn("bin", F.shiftright(F.shiftrightunsigned("h", 32) * hashes, 32).cast("int"))
+    return binned.groupBy("key").agg(*[F.expr(f"min(h) FILTER (WHERE bin = {k})").alias(f"b{k}") for k in range(hashes)])
+
+
+def banded_signatures(lines: DataFrame, window: int, hashes: int, bands: int, rows: int, seed: int) -> DataFrame:
+    """key, bands: hashes of ``rows`` of the signature's numbers.
+
+    The number of an empty bin is that of the first bin that isn't, in an order of its own.  So two sets agree in a
+    number with the probability of their Jaccard similarity, as they do in a minimum over all shingles.
+    """
     draw = random.Random(seed)
-    turned = lambda k: F.col("h") if not k else F.shiftleft("h", k).bitwiseOR(F.shiftrightunsigned("h", 64 - k))
-    least = [F.min(turned(64 * k // hashes).bitwiseXOR(F.lit(_signed(draw.getrandbits(64))))).alias(f"m{k}") for k in range(hashes)]
-    return shingles(lines, window).groupBy("key").agg(*least)
+    order = [(k, *draw.sample([j for j in range(hashes) if j != k], hashes - 1)) for k in range(hashes)]
+    number = [F.coalesce(*[F.col(f"b{j}") for j in of]) for of in order]
+    made = F.array(*[F.xxhash64(F.lit(b), *[number[k] for k in chosen]) for b, chosen in enumerate(band_rows(hashes, bands, rows, seed))])
+    # With a function over arrays this projection is compiled by itself, in small methods; fused with the minima it is
+    # one method that is too long to be compiled to machine code.
+    return signatures(lines, window, hashes).select("key", F.transform(made, lambda x: x).alias("bands"))
 
 
 def band_rows(hashes: int, bands: int, rows: int, seed: int) -> list[list[int]]:
@@ -93,34 +121,36 @@ def band_rows(hashes: int, bands: int, rows: int, seed: int) -> list[list[int]]:
 
 def similar(a: Column, b: Column, threshold: float) -> Column:
     """Whether the Jaccard similarity of two arrays without repeats is at least ``threshold``."""
-    return F.size(F.array_intersect(a, b)) >= (F.size(a) + F.size(b)) * (threshold / (1 + threshold)) - 1e-9
-
-
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
+    least = (F.size(a) + F.size(b)) * (threshold / (1 + threshold)) - 1e-9
+    return (F.least(F.size(a), F.size(b)) >= least) & (F.size(F.array_intersect(a, b)) >= least)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b) whose sets (key, all) are similar enough."""
-    both = pairs.join(sets.toDF("a", "all_a"), "a").join(sets.toDF("b", "all_b"), "b")
+    # Pairs, the smaller side, are hashed; the second join sorts, as sets may be larger than a task's memory.
+    both = sets.toDF("a", "all_a").join(pairs.hint("shuffle_hash"), "a").join(sets.toDF("b", "all_b"), "b")
     return both.where(similar(F.col("all_a"), F.col("all_b"), threshold)).select("a", "b")
 
 
-def _by_prefix(open_: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+def _by_prefix(open_: DataFrame, sets: DataFrame, threshold: float, scratch: Scratch | None = None) -> DataFrame:
     """Pairs (a, b) of lines of different components that can be similar, by positional prefix filtering.
 
-    ``open_``: (key, root); ``sets``: (key, all).  Shingles are ordered by rarity, counted among the lines in question by
+    ``open_``: (key, root); ``sets``: (key, all); what is read several times goes to ``scratch``.  Shingles are ordered by rarity, counted among the lines in question by
     the last bits of their hashes, so the counts can go to all tasks and shingles stay where their lines are.  Similar
     lines' first common shingle lies in the first n - ceil(2t / (1 + t) n) + 1 shingles of the smaller set and the first
     n - ceil(t n) + 1 of the larger one, and what follows it in both must suffice for the similarity.
     """
-    each = sets.join(open_.select("key"), "key", "left_semi").select("key", F.explode("all").alias("h")).withColumn("low", F.col("h").bitwiseAND(_LOW))
+    table = scratch.table if scratch else lambda df, _: df
+    own = table(sets.join(open_.hint("shuffle_hash"), "key").select("key", "root", "all"), "open_sets")
+    each = own.select("key", "root", F.size("all").alias("size"), F.explode("all").alias("h")).withColumn("low", F.col("h").bitwiseAND(_LOW))
     counted = each.join(F.broadcast(each.groupBy("low").agg(F.count(F.lit(1)).alias("n"))), "low")
-    ordered = counted.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("n", "h"))).alias("all")).select("key", F.size("all").alias("size"), F.transform("all", lambda x: x["h"]).alias("all"))
+    # A count and a hash in one number, so that arrays of numbers are sorted.
+    rank = F.shiftleft("n", 32).bitwiseOR(F.col("h").cast("long").bitwiseAND(F.lit((1 << 32) - 1)))
     need = lambda share: F.ceil(F.col("size") * share - 1e-9)
     length = (F.col("size") - need(threshold) + 1).cast("int")
-    head = open_.join(ordered, "key").select("key", "root", "size", F.slice("all", F.lit(1), length).alias("head"))
-    each = head.select("*", F.posexplode("head").alias("pos", "h")).drop("head")
+    ordered = counted.groupBy("key", "root", "size").agg(F.sort_array(F.collect_list(rank)).alias("ranks"))
+    head = ordered.select("key", "root", "size", F.posexplode(F.slice("ranks", F.lit(1), length)).alias("pos", "rank"))
+    each = table(head.select("key", "root", "size", "pos", F.shiftright(F.shiftleft("rank", 32), 32).cast("int").alias("h")), "heads")
     # Of the lines with a shingle, those of the component that has most of them need not meet each other.
     main = each.groupBy("h", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("h").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
     each = each.join(main, "h").withColumn("odd", F.col("root") != F.col("main")).drop("main")
@@ -156,10 +186,13 @@ def linked(banded: DataFrame, sets_of: Callable[[DataFrame], DataFrame], thresho
     to ``scratch``, among them those that the result reads.
     """
     total = banded.agg(F.sum(F.size("bands"))).first()[0] or 0
+    member = _salted(banded.select("key", F.explode("bands").alias("band")), total)
+    # Most bands have one line; they go before the rest gets its places.
+    several = member.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("band", "salt"))).where("n > 1 or salt is not null").drop("n")
     group = Window.partitionBy("band", "salt").orderBy("key")
     before = [F.lag("key", k).over(group).alias(f"p{k}") for k in (1, 2, 3)]
-    placed = _salted(banded.select("key", F.explode("bands").alias("band")), total).select("*", *before, F.first("key").over(group).alias("head"), F.lead("key", 1).over(group).alias("next"), F.row_number().over(group).alias("place"))
-    met = scratch.table(placed.where("p1 is not null or next is not null or salt is not null").drop("next"), "bands")
+    placed = several.select("*", *before, F.first("key").over(group).alias("head"), F.row_number().over(group).alias("place"))
+    met = scratch.table(placed, "bands")
     scratch.drop(banded)
     heads = met.where("salt is not null").select("band", "head").distinct()
     firsts = heads.groupBy("band").agg(F.min("head").alias("a"))
@@ -179,7 +212,7 @@ def linked(banded: DataFrame, sets_of: Callable[[DataFrame], DataFrame], thresho
     own, other = open_.where("few").select("band", F.col("key").alias("a"), F.col("root").alias("root_a")), open_.where("few").select("band", F.col("key").alias("b"), F.col("root").alias("root_b"))
     near = own.join(other, "band").where("a < b and root_a <> root_b").select("a", "b")
     many = open_.where("not few").select("key", "root").distinct()
-    far = _by_prefix(many, sets, threshold)
+    far = _by_prefix(many, sets, threshold, scratch)
     left = near.unionByName(far).distinct().join(pairs, ["a", "b"], "left_anti")
     more = scratch.table(_verified(left, sets, threshold), "links")
     # The second union-find is over components.
@@ -194,14 +227,15 @@ def linked(banded: DataFrame, sets_of: Callable[[DataFrame], DataFrame], thresho
 def line_classes(docs: DataFrame, threshold: float = 0.8, window: int = 8, hashes: int = 24, bands: int = 14, rows: int = 5, seed: int = 7) -> DataFrame:
     """doc_id, line_no, text_key, class_doc, class_line (the line that is kept for it), kept: one row per line."""
     place = F.struct("doc_id", "text_key", "line_no")
-    distinct = split_lines(docs).where(~_blank(F.col("line"))).groupBy(F.xxhash64("norm").alias("key")).agg(F.min("norm").alias("norm"), F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
+    distinct = split_lines(docs).where("norm <> ''").groupBy(F.xxhash64("norm").alias("key")).agg(F.min("norm").alias("norm"), F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
     with Scratch(docs.sparkSession) as scratch:
         # Lines lie in buckets of their keys, so their signatures are made without a shuffle.
         lines = scratch.bucketed(distinct, "lines", "key")
-        band = F.array(*[F.xxhash64(F.lit(b), *[f"m{k}" for k in chosen]) for b, chosen in enumerate(band_rows(hashes, bands, rows, seed))])
-        banded = scratch.table(signatures(lines, window, hashes, seed).select("key", band.alias("bands")), "signatures")
-        nodes = linked(banded, lambda keys: shingle_sets(lines.join(keys, "key", "left_semi"), window), threshold, scratch)
-        classed = lines.select("key", "first", "n").join(nodes, lines.key == nodes.node, "left").where("n > 1 or root is not null").select("key", "first", F.coalesce("root", "key").alias("root"))
+        banded = scratch.table(banded_signatures(lines, window, hashes, bands, rows, seed), "signatures")
+        nodes = linked(banded, lambda keys: shingle_sets(lines.join(keys.hint("shuffle_hash"), "key", "left_semi"), window), threshold, scratch)
+        # A hash join, so that lines aren't sorted.
+        classed = lines.select("key", "first", "n").join(nodes.hint("shuffle_hash"), lines.key == nodes.node, "left").where("n > 1 or root is not null")
+        classed = scratch.table(classed.select("key", "first", F.coalesce("root", "key").alias("root")), "classed")
         firsts = classed.groupBy("root").agg(F.min("first").alias("head"))
         heads, _ = shared_table(classed.join(firsts, "root").select("key", "head"), "heads")
 
