@@ -57,7 +57,9 @@ def _blank(line: Column) -> Column:
 
 def split_lines(docs: DataFrame) -> DataFrame:
     """doc_id, text_key (hash of the text), line_no (from 0), line, norm, key (of the normalized line; null if blank)."""
-    lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    # A plain explode adds a filter on the array's size, for which texts would be split again; no array is empty here.
+    texts = docs.where(F.col("text").isNotNull())
+    lines = texts.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.posexplode_outer(F.split("text", "\n")).alias("line_no", "line"))
     return lines.withColumn("norm", _norm(F.col("line"))).withColumn("key", F.when(F.col("norm") != "", F.xxhash64("norm")))
 
 
@@ -73,7 +75,8 @@ def _hashed(p: Column, k: Column, window: int) -> Column:
 
 def shingles(lines: DataFrame, window: int) -> DataFrame:
     """key, h: the hash of every window of ``norm``, repeats included."""
-    return _points(lines, window).select("key", "p", F.explode("starts").alias("k")).select("key", _hashed(F.col("p"), F.col("k"), window).alias("h"))
+    # As in ``split_lines``: windows are counted once.
+    return _points(lines, window).select("key", "p", F.explode_outer("starts").alias("k")).select("key", _hashed(F.col("p"), F.col("k"), window).alias("h"))
 
 
 def shingle_sets(lines: DataFrame, window: int) -> DataFrame:
